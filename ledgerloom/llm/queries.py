@@ -5,14 +5,20 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, common, packing, token_output
-from .common import table
+from . import bpe, chat, common, language, packing, quality, simhash, token_output
+from .common import hash_mod, table
 
 WORD_BPE = os.path.join(common.TOKENIZER_DIR, "word_bpe_49k.json")
 BYTE_BPE = os.path.join(common.TOKENIZER_DIR, "byte_bpe_50k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.filter_quality(docs, labels)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -36,11 +42,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, hash_mod("doc_id", 4) != 2)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (hash_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_output": op4_token_output,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
+    "op9_simhash": op9_simhash,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
