@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .bytelevel import byte_letters
 from .common import PLAIN, id_and_text
 
 TABLE_LIMIT = 300_000
@@ -40,14 +41,6 @@ def encoder(path: str) -> "PairBpe":
     return _loaded[path]
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
-    characters stand for themselves, the rest for characters from U+0100 on, in order."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    other = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(other)) for b in range(256)]
-
-
 class PairBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
