@@ -1,9 +1,9 @@
 """Toxicity by a subsequence string kernel and a support vector machine on Nystrom landmarks.
 
-The kernel of two words sums, over the subsequences of 3 and 4 characters they share, the products
-of DECAY^span; a subsequence may skip characters, up to a span of 5 and 6.  So an insult with
-characters put in or left out still shares most of its subsequences.  A word's vector is divided by
-the norm its length would give if no subsequence came twice.
+The kernel of two words sums, over the subsequences of 3 characters they share, the products of
+DECAY^span; a subsequence may skip characters, up to a span of 5.  So an insult with characters put
+in or left out still shares most of its subsequences.  Marks are no characters of a subsequence, only
+gaps in it.  A word's vector is divided by the norm it would have if no subsequence came twice.
 
 Sentences are labelled as their documents are; which of its words makes a sentence toxic is not
 labelled.  So training is multiple-instance: the first witnesses are the words with the most telling
@@ -36,36 +36,48 @@ from .common import id_and_text
 
 DECAY = 0.6
 #: Distances of a subsequence's characters from its first.
-PATTERNS = [(0, a, b) for b in range(2, 5) for a in range(1, b)] + [(0, a, b, c) for c in range(3, 6) for b in range(2, c) for a in range(1, b)]
+PATTERNS = [(0, a, b) for b in range(2, 5) for a in range(1, b)]
 #: Longer words are scored in overlapping windows.
 WINDOW, STEP = 40, 32
 TABLE_LIMIT = 400_000
 _INNER = regex.compile(r"[\p{L}\p{N}].*[\p{L}\p{N}]", regex.S).search
+_RUNS = regex.compile(r"(.)\1{2,}", regex.S).sub
 
 
-def units(text: str) -> set[str]:
-    """What a text is scored by: its different words without outer marks, and single letters in a
-    row as one word."""
+def tokens(text: str) -> set[str]:
+    """A text's different words, and single letters in a row as one word."""
     words = text.lower().split()
-    out = set()
-    for w in set(words):
-        if w.isalnum():
-            out.add(w)
-        elif m := _INNER(w):
-            out.add(m[0])
-    run: list[str] = []
-    for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
-        else:
+    out = set(words)
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    if len(single) >= 3:
+        run = [single[0]]
+        for i in [*single[1:], -9]:
+            if i == run[-1] + 1:
+                run.append(i)
+                continue
             if len(run) >= 3:
-                out.add("".join(run))
-            run = []
-    return {v for u in out for v in ([u] if len(u) <= WINDOW else [u[i : i + WINDOW] for i in range(0, len(u) - WINDOW + STEP, STEP)])}
+                out.add("".join([words[j] for j in run]))
+            run = [i]
+    return out
+
+
+def forms(token: str) -> list[str]:
+    """What a token is scored by: without outer marks, drawn-out letters twice, in windows if long."""
+    if not token.isalnum():
+        m = _INNER(token)
+        if not m:
+            return []
+        token = m[0]
+    token = _RUNS(r"\1\1", token)
+    return [token] if len(token) <= WINDOW else [token[i : i + WINDOW] for i in range(0, len(token) - WINDOW + STEP, STEP)]
+
+
+def units(text: str) -> set[str]:
+    return {f for t in tokens(text) for f in forms(t)}
 
 
 class Kernel:
-    """Explicit kernel features: codes of subsequences over an alphabet of at most 63 characters;
+    """Explicit kernel features: codes of subsequences over an alphabet of at most 62 characters;
     other characters have code 0 and are in no subsequence."""
 
     def __init__(self, alphabet: list[str]):
@@ -82,41 +94,49 @@ class Kernel:
             by[len(w)].append(i)
         out = {}
         for n, at in by.items():
-            flat = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = np.full((len(at), n + 2), self.edge, np.int64)
+            flat = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            c = np.full((len(at), n + 2), self.edge, np.int32)
             c[:, 1:-1] = self.code[flat].reshape(len(at), n)
             out[n] = (np.array(at), c)
         return out
 
     def parts(self, c: np.ndarray):
-        """For each pattern: whether it has four characters, codes (words x places), decay; places with
-        a character outside the alphabet have code 0."""
+        """For each pattern: its places' codes (words x places), decay."""
         n = c.shape[1]
-        for p in PATTERNS:
-            m = n - p[-1]
-            if m <= 0:
-                continue
-            key, ok = np.zeros((len(c), m), np.int64), np.ones((len(c), m), bool)
-            for d in p:
-                part = c[:, d : d + m]
-                key = key << 6 | part
-                ok &= part > 0
-            yield len(p) == 4, np.where(ok, key, 0), DECAY ** (p[-1] + 1)
-
-    def norm(self, n: int) -> float:
-        return float(np.sqrt(sum(max(0, n + 2 - p[-1]) * DECAY ** (2 * p[-1] + 2) for p in PATTERNS)) or 1.0)
-
-    def features(self, words: list[str]) -> list[dict[int, float]]:
-        out: list[dict[int, float]] = [{} for _ in words]
+        for _, a, b in PATTERNS:
+            m = n - b
+            if m > 0:
+                yield (c[:, :m] << 12) | (c[:, a : a + m] << 6) | c[:, b : b + m], DECAY ** (b + 1)
+
+    def norms(self, c: np.ndarray) -> np.ndarray:
+        n = c.shape[1]
+        full = sum(max(0, n - p[-1]) * DECAY ** (2 * p[-1] + 2) for p in PATTERNS)
+        out = np.full(len(c), full)
+        odd = np.flatnonzero((c == 0).any(1))
+        if len(odd):
+            on = c[odd] > 0
+            out[odd] = sum((on[:, : n - b] & on[:, a : n - b + a] & on[:, b:]).sum(1) * DECAY ** (2 * b + 2) for _, a, b in PATTERNS if n > b)
+        return np.sqrt(np.maximum(out, DECAY**6))
+
+    def entries(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sparse features of words: rows, keys, values (a key may come more than once in a row)."""
+        rows, keys, values = [], [], []
         for n, (at, c) in self.coded(words).items():
-            norm = self.norm(n)
-            for four, key, decay in self.parts(c):
-                for i, row in zip(at, key + (four << 24)):
-                    own = out[i]
-                    for k in row.tolist():
-                        if k & 0xFFFFFF:
-                            own[k] = own.get(k, 0.0) + decay / norm
-        return out
+            norm = self.norms(c)
+            for key, decay in self.parts(c):
+                ok = ((key & 63) > 0) & ((key >> 6 & 63) > 0) & (key >> 12 > 0)
+                rows.append(np.repeat(at, key.shape[1])[ok.ravel()])
+                keys.append(key[ok])
+                values.append(np.repeat(decay / norm, key.shape[1])[ok.ravel()])
+        return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, keys, values))
+
+    def matrix(self, words: list[str], keys: np.ndarray) -> np.ndarray:
+        """Features of words on these (sorted) keys."""
+        r, k, v = self.entries(words)
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        ok = keys[at] == k
+        flat = np.bincount(r[ok] * len(keys) + at[ok], v[ok], len(words) * len(keys))
+        return flat.reshape(len(words), len(keys)).astype(np.float32)
 
 
 class Model:
@@ -128,37 +148,38 @@ class Model:
         self.kernel = None
 
     def __getstate__(self):
-        return self.__dict__ | {"kernel": None, "three": None, "four": None, "seen": None}
+        return self.__dict__ | {"kernel": None, "table": None, "seen": None}
 
     def ready(self) -> None:
         if self.kernel is None:
             self.kernel, self.seen = Kernel(self.alphabet), {}
-            self.three, self.four = np.zeros(1 << 18, np.float32), np.zeros(1 << 24, np.float32)
-            small = self.keys < 1 << 24
-            self.three[self.keys[small]] = self.weights[small]
-            self.four[self.keys[~small] - (1 << 24)] = self.weights[~small]
+            self.table = np.zeros(1 << 18, np.float32)  # codes with a 0 keep weight 0
+            self.table[self.keys] = self.weights
 
     def margins(self, words: list[str]) -> np.ndarray:
         self.ready()
         out = np.full(len(words), self.intercept)
         for n, (at, c) in self.kernel.coded(words).items():
             total = np.zeros(len(at))
-            for four, key, decay in self.kernel.parts(c):
-                total += decay * (self.four if four else self.three)[key].sum(1)
-            out[at] += total / self.kernel.norm(n)
+            for key, decay in self.kernel.parts(c):
+                total += decay * self.table[key].sum(1)
+            out[at] += total / self.kernel.norms(c)
         return out
 
     def top(self, found: list[set[str]]) -> np.ndarray:
-        """The highest margin among each text's units; texts without units have the intercept's low."""
+        """The highest margin among each text's tokens, within bounds."""
         self.ready()
-        new = list({u for own in found for u in own if u not in self.seen})
+        new = list(set().union(*found).difference(self.seen)) if found else []
         if len(self.seen) + len(new) > TABLE_LIMIT:
             self.seen = {}
-            new = list({u for own in found for u in own})
+            new = list(set().union(*found))
         for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            self.seen.update(zip(part, self.margins(part).tolist()))
-        return np.array([max(map(self.seen.__getitem__, own), default=-9.0) for own in found])
+            part = [forms(t) for t in new[s : s + 20_000]]
+            own = np.append(self.margins([f for x in part for f in x]), -9.0)
+            ends = np.cumsum([len(x) for x in part])
+            for t, x, e in zip(new[s : s + 20_000], part, ends.tolist()):
+                self.seen[t] = own[e - 1] if len(x) == 1 else own[e - len(x) : e].max(initial=-9.0)
+        return np.array([max(map(self.seen.__getitem__, own), default=-9.0) for own in found]).clip(-9.0, 1.5)
 
     def score(self, top: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (top - self.middle), -30, 30)))
@@ -188,7 +209,7 @@ def _spelled(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:at] + mark + word[at:], mark.join(word)]
 
 
-def fit(texts: list[list[str]], labels: list[int], landmarks: int = 300, rounds: int = 3, seed: int = 7) -> Model | None:
+def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Model | None:
     """texts: each document's units."""
     rng = np.random.default_rng(seed)
     n = Counter(labels)
@@ -197,7 +218,7 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 300, rounds:
     docs = [sorted(t) for t in texts]
     freq = {0: Counter(), 1: Counter()}
     runs = {0: Counter(), 1: Counter()}
-    runs_of = lambda w: {m[i : i + k] for m in (f"\x02{w}\x03",) for k in (3, 4, 5) for i in range(len(m) - k + 1)}
+    runs_of = lambda w: {m[i : i + k] for m in (f"\x02{w}\x03",) for k in (4,) for i in range(len(m) - k + 1)}
     for own, y in zip(docs, labels):
         freq[y].update(own)
         runs[y].update(set().union(*map(runs_of, own)) if own else ())
@@ -209,47 +230,43 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 300, rounds:
     for own in toxic:
         best = max((strength[w] for w in own), default=0.0)
         witness.update(w for w in own if best > 0 and strength[w] >= 0.6 * best and freq[0][w] <= 0.02 * freq[1][w])
-    clean = sorted(freq[0], key=lambda w: (-freq[0][w], w))
-    common, rare = clean[:3000], clean[3000:]
-    clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[:15000])]
+    every = sorted(freq[0], key=lambda w: (-freq[0][w], w))
+    common, rare = every[:2000], every[2000:]
+    clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[:6000])]
     letters = Counter("".join(witness)) + Counter("".join(clean))
-    kernel = Kernel([c for c, _ in letters.most_common(62)])
+    kernel = Kernel(sorted(c for c, _ in letters.most_common(100) if c.isalnum()))
     model = None
     for _ in range(rounds):
         if not witness:
             return None
-        pos = sorted(witness, key=lambda w: (-witness[w], w))[:4000]
-        extra = [v for w in pos[:1500] for v in _spelled(w, rng)]
+        pos = sorted(witness, key=lambda w: (-witness[w], w))[:3000]
+        extra = [v for w in pos[:1000] for v in _spelled(w, rng)]
         half = landmarks // 2
         first = pos[: half // 2]
         others = pos[half // 2 :]
         lm = first + [others[i] for i in rng.permutation(len(others))[: half - len(first)]]
-        hard = clean if model is None else [clean[i] for i in np.argsort(-model.margins(clean), kind="stable")]
-        lm += hard[: half // 2] + [clean[i] for i in rng.permutation(len(clean))[: half // 2]]
+        hard: list[str] = []
+        if model is not None:
+            # clean documents' words that the last machine takes for insults train the next one
+            order = np.argsort(-model.margins(every), kind="stable")[:2000]
+            hard = [every[i] for i in order]
+            clean = list(dict.fromkeys(clean + hard))
+        spread = hard[:400] or clean
+        lm += [spread[i] for i in rng.permutation(len(spread))[: half // 2]] + [clean[i] for i in rng.permutation(len(clean))[: half // 2]]
         lm = list(dict.fromkeys(lm))
         words = pos + extra + clean
         y = np.array([1.0] * (len(pos) + len(extra)) + [-1.0] * len(clean))
-        own = kernel.features(lm)
-        keys = np.array(sorted({k for f in own for k in f}))
-        column = {k: i for i, k in enumerate(keys.tolist())}
-        dense = np.zeros((len(lm), len(keys)))
-        for i, f in enumerate(own):
-            for k, v in f.items():
-                dense[i, column[k]] = v
-        gram = dense @ dense.T
+        keys = np.unique(kernel.entries(lm)[1])
+        dense = kernel.matrix(lm, keys)
+        gram = (dense @ dense.T).astype(float)
         value, vector = np.linalg.eigh(gram)
         ok = value > 1e-6 * value[-1]
         root = vector[:, ok] / np.sqrt(value[ok])
         # k(word, landmarks) for all words, from the explicit features
-        cross = np.zeros((len(words), len(lm)))
-        for s in range(0, len(words), 2000):
-            block = np.zeros((len(words[s : s + 2000]), len(keys)), np.float32)
-            for i, f in enumerate(kernel.features(words[s : s + 2000])):
-                for k, v in f.items():
-                    if (j := column.get(k)) is not None:
-                        block[i, j] = v
-            cross[s : s + 2000] = block @ dense.T
-        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * len(y) / 100
+        cross = np.vstack([kernel.matrix(words[s : s + 500], keys) @ dense.T for s in range(0, len(words), 500)])
+        # a witness counts as often as documents name it; both classes weigh the same
+        weight = np.array([float(np.sqrt(witness[w])) for w in pos] + [0.3] * len(extra) + [float(np.sqrt(min(freq[0][w], 100))) for w in clean])
+        weight *= np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y < 0].sum()) * 400
         beta, intercept = _svm(cross @ root, y, weight)
         model = Model(kernel.alphabet, keys, (dense.T @ (root @ beta)).astype(np.float64), intercept, 1.0, 0.0)
         # each toxic document names its highest words
@@ -258,9 +275,11 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 300, rounds:
             if not own_words:
                 continue
             m = model.margins(own_words)
+            best = max((strength[w] for w in own_words), default=0.0)
             for i in np.flatnonzero(m >= max(0.0, m.max() - 0.5)):
-                if freq[0][own_words[i]] <= 0.02 * freq[1][own_words[i]]:
-                    witness[own_words[i]] += 1
+                w = own_words[i]
+                if freq[0][w] <= 0.02 * freq[1][w] and strength[w] >= 0.3 * best:
+                    witness[w] += 1
     top = model.top([set(d) for d in docs])
     model.slope, model.middle = _curve(top, np.array(labels))
     model.seen = {}
@@ -268,25 +287,15 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 300, rounds:
 
 
 def _curve(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and middle; targets pulled off 0 and 1 so that separable data have a finite fit."""
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 1.0, 0.0
-    x = np.clip(top, -5, 5)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        h = np.array([[(v * x * x).sum() + 1e-3, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(h, [((target - p) * x).sum(), (target - p).sum()])
-        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    a = max(a, 1e-3)
-    return float(a), float(-b / a)
+    """Logistic slope and middle from two robust points: the height all but 1 in 100 clean documents
+    stay under, and the median toxic document's, which scores 0.95."""
+    low, high = float(np.quantile(top[y == 0], 0.99)), float(np.median(top[y == 1]))
+    gap = max(high - low, 0.1)
+    middle = high - 0.65 * gap
+    return float(np.log(19) / (high - middle)), middle
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_docs: int = 4_000, landmarks: int = 300) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_docs: int = 2_500, landmarks: int = 400) -> Model | None:
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     if may_learn is not None:
         known = known.filter(may_learn)
@@ -313,7 +322,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                s = np.zeros(b.num_rows) if m is None else m.score(m.top([units(t) for t in b.column(1).to_pylist()]))
+                s = np.zeros(b.num_rows) if m is None else m.score(m.top([tokens(t) for t in b.column(1).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
