@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, language, packing, quality, simhash, token_output, toxicity
+from . import bpe, chat, common, language, packing, pii, quality, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = os.path.join(common.TOKENIZER_DIR, "word_bpe_49k.json")
@@ -54,6 +54,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.spans(docs, pii.train(docs)))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_chat": op6_chat,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
 }
