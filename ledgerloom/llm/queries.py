@@ -7,13 +7,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, language, packing, pii, quality, simhash, token_output, toxicity
+from . import ann, bpe, chat, common, language, packing, pii, quality, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = os.path.join(common.TOKENIZER_DIR, "word_bpe_49k.json")
 BYTE_BPE = os.path.join(common.TOKENIZER_DIR, "byte_bpe_50k.json")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.filter_quality(docs, labels)
@@ -71,6 +75,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_quality": op2_quality,
     "op3_bpe": op3_bpe,
     "op4_token_output": op4_token_output,
