@@ -62,3 +62,20 @@ PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-į]*").fullmatch
 def hash_mod(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus
+
+
+def rows_where(docs: DataFrame, decide, text_col: str = "text") -> DataFrame:
+    """The rows of docs, every column as it is, for which ``decide()(list of texts or None)``
+    gives true; ``decide`` is called once in each task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        own = decide()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                keep = own(b.column(b.schema.get_field_index(text_col)).to_pylist())
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

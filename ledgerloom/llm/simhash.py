@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, staged
@@ -225,3 +225,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = member.join(least, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of each component's smallest id; of rows that repeat that id,
+    the one whose text comes first."""
+    found = near_duplicates(docs, width, radius, id_col, text_col)
+    first = found.select(F.col("component_id").alias("__first")).distinct()
+    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__first")), "left_semi")
+    w = Window.partitionBy(id_col).orderBy(F.col(text_col))
+    return kept.withColumn("__row", F.row_number().over(w)).filter("__row = 1").drop("__row")

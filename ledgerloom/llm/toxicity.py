@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, rows_where
 
 DECAY = 0.6
 #: Distances of a subsequence's characters from its first.
@@ -326,3 +326,14 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose texts score below the threshold (null texts do)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide():
+        m = shared.value
+        return lambda texts: [True] * len(texts) if m is None else (m.score(m.top([tokens(t or "") for t in texts])) < threshold).tolist()
+
+    return rows_where(docs, decide, text_col)
