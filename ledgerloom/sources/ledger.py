@@ -124,7 +124,7 @@ def history(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Each wallet's most recent rows of either kind, both directions, at most ``history_rows`` each."""
     kind = F.when(F.col("contract").isNull(), "native").otherwise("token").alias("kind")
     both = transfers.select(F.col("from_addr").alias("wallet"), kind, *transfers.columns).unionByName(transfers.select(F.col("to_addr").alias("wallet"), kind, *transfers.columns))
-    w = Window.partitionBy("wallet", "kind").orderBy(F.desc("block"), F.desc("tx_index"), F.desc("tx_hash"))
+    w = Window.partitionBy("wallet", "kind").orderBy(F.desc("block"), F.desc("tx_index"), F.desc("tx_hash"), *ORDER[4:])
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cfg.history_rows)
 
 
