@@ -136,8 +136,9 @@ def test_language_words_then_shorter_grams(spark):
     docs = spark.createDataFrame([*rows, (90, "x", None), (91, None, "en")], "doc_id long, text string, lang string")
     m = language.train(docs)
     assert m.langs == ["de", "en"] and "hund" in m.words and "zzz" not in m.words
-    five = m.unseen("katzen")  # "<katz" and others are known 5-grams
-    assert five[0] > five[1] and np.allclose(five, np.mean([m.by_gram[g] for g in language.grams("katzen", 5) if g in m.by_gram], axis=0))
+    five = m.scores(["katzen", "hund", "qqq"])  # "<katz" and others are known 5-grams
+    assert five[0][0] > five[0][1] and np.allclose(five[0], np.mean([m.table[m.by_gram[g]] for g in language.grams("katzen", 5) if g in m.by_gram], axis=0))
+    assert np.allclose(five[1], m.table[m.words["hund"]]) and not five[2].any()
     ask = spark.createDataFrame([(1, "die katze", 1), (2, "The DOG!", 1), (3, "123 .", 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, score int")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(ask, m).collect()}
     assert got[1][0] == "de" and got[2][0] == "en" and [got[i] for i in (3, 4, 5)] == [("und", 0.0)] * 3
