@@ -17,6 +17,7 @@ from ..config import EngineConfig
 from ..operators import entities, flows, graph, label_feeds, taint, typologies
 from ..sources import ledger as src
 from . import oracle as O
+from .trace import Trace
 
 START = "w7"
 CFG = EngineConfig(dust_native=1000.0, dust={"USDT": 1000.0, "DAI": 1000.0}, max_wallets=None)
@@ -633,3 +634,46 @@ def l4(spark, d):
 def l1(spark, d):
     judged = label_feeds.judged_feed(feed(spark, d))
     return label_feeds.merge_counts(old_labels(spark), judged, label_feeds.accepted(judged, "feed")).select("what", "n")
+
+
+# ------------------------------------------------------------------------ the trace as a whole
+
+
+def trace(spark, d):
+    return Trace(ledger(spark, d), labels(spark, d), START, CFG)
+
+
+@query("G5_termination", "SELECT 'exchange' AS termination")
+def g5(spark, d):
+    return spark.range(1).select(F.lit(trace(spark, d).termination).alias("termination"))
+
+
+@query("K1_payload")
+def k1(spark, d):
+    return trace(spark, d).payload_json()
+
+
+@query("R1_path_table", O.statement("""SELECT CAST(g.i AS INT) AS hop, path[g.i + 1] AS address, CASE WHEN g.i = 0 THEN 'suspect' ELSE coalesce((SELECT type FROM typed t WHERE t.address = path[g.i + 1]), 'intermediary') END AS role
+  FROM (SELECT path FROM scores s JOIN crossed USING (address) WHERE s.hops > 0 ORDER BY CASE s.type WHEN 'exchange' THEN 0 ELSE 2 END, s.hops, address LIMIT 1) p, range(0, 5) g(i) WHERE g.i < len(path)""", O.FLOWS, O.WALK, _PATHS, _SCORES, _TYPED, recursive=True))
+def r1(spark, d):
+    return trace(spark, d).path_rows().select("hop", "address", "role")
+
+
+@query("R2_confidence_table", O.statement("""SELECT address, label, points FROM (
+  SELECT c.address, unnest([{label: 'method', points: 50}, {label: 'hops', points: CASE WHEN hops <= 0 THEN 30 ELSE greatest(0, 30 - 7 * (hops - 1)) END},
+    {label: 'mixer', points: CASE WHEN list_contains(crossed, 'mixer') THEN -30 ELSE 0 END}, {label: 'bridge', points: CASE WHEN list_contains(crossed, 'bridge') THEN -12 ELSE 0 END},
+    {label: 'clean path', points: CASE WHEN list_contains(crossed, 'mixer') OR list_contains(crossed, 'bridge') THEN 0 ELSE 15 END}], recursive := true)
+  FROM crossed c JOIN tags t ON t.address = c.address) WHERE points <> 0""", O.FLOWS, O.WALK, _PATHS, recursive=True))
+def r2(spark, d):
+    rows = findings(spark, d).select("address", F.inline("components"))
+    return rows.select("address", "label", F.col("points").cast("long").alias("points"))
+
+
+@query("R5_cluster_table")
+def r5(spark, d):
+    return trace(spark, d).cluster_rows()
+
+
+@query("Y1_summary")
+def y1(spark, d):
+    return trace(spark, d).summary()
