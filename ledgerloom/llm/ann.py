@@ -197,7 +197,7 @@ def merged(out, k: int) -> pa.RecordBatch:
     return _edges(i[rank < k], j[rank < k], d[rank < k].astype(np.float32))
 
 
-def build(nodes: DataFrame, k: int = 24, trees: int = 4, chunk: int = 128, rounds: int = 6, stop: float = 0.01, sample: int = 4096, seed: int = 5) -> DataFrame:
+def build(nodes: DataFrame, k: int = 32, trees: int = 4, chunk: int = 128, rounds: int = 7, stop: float = 0.01, sample: int = 4096, seed: int = 5) -> DataFrame:
     """The neighbour graph (id, nbr, d squared) of nodes (id, x of packed())."""
     begun = start_graph(nodes, k, trees, chunk, sample, seed).withColumn("fresh", F.lit(True))
     graph = best_edges(begun, k).checkpoint()
@@ -210,7 +210,7 @@ def build(nodes: DataFrame, k: int = 24, trees: int = 4, chunk: int = 128, round
     return graph.select("id", "nbr", "d")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 96, rounds: int = 8) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 256, rounds: int = 8) -> DataFrame:
     """q, id, d: the best ``beam`` nodes found for each query node (queries: q, a node's id)."""
     full = nodes.select("id", "v")
     asked = queries.select("q").distinct().join(full.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
@@ -228,7 +228,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 9
     return state.select("q", "id", "d")
 
 
-def nearest(table: DataFrame, is_query: Column, top: int = 10, k: int = 24, beam: int = 96, rounds: int = 6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, top: int = 10, k: int = 32, beam: int = 256, rounds: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each query row among all others."""
     rows = vectors(table, id_col, vec_col)
     # of equal vectors, the first top + 1 ids can be among a query's nearest
