@@ -4,7 +4,8 @@ Per wallet and asset, with running debits O and credits I in event order, what w
 is S = max(0, running max of O - I).  A debit eats the queue's stretch [O' - S', O - S) (primes: before
 it), a credit fills [I', I).  Cutting both into common stretches gives the draws.  A lot's taint is
 spread evenly, so a debit's taint is the sum over its draws of amount / credit * the credit's taint: a
-linear system that ends in as many rounds as the longest chain of draws.
+linear system that ends in as many rounds as the longest chain of draws.  What is left after a number of
+rounds is solved in event order.
 """
 
 from __future__ import annotations
@@ -64,9 +65,47 @@ def draws(pos: DataFrame) -> DataFrame:
     return now.filter("d is not null and c is not null").withColumn("amount", hi - F.col("lo")).filter("amount > 0").select("wallet", "asset", F.col("d").alias("debit"), F.col("c").alias("credit"), "amount", F.col("c_value").alias("credit_value"))
 
 
+def in_order(ev: DataFrame, drawn: DataFrame, seeds: DataFrame) -> DataFrame:
+    """event, t: what follows from the seeds (event, t) along the draws, the seeds themselves not counted.
+    One pass in event order for each asset, since a debit draws on earlier credits alone.  A worker holds
+    the tainted lots that later debits still draw on and no more; each asset is one task's."""
+    place = ev.select("event", F.struct(*[F.col(c) for c in ORDER], F.col("copy")).alias("at"))
+    assets = seeds.join(ev.select("event", "asset"), "event").select("asset").distinct()
+    rows = drawn.join(assets, "asset", "left_semi").join(place.withColumnRenamed("event", "debit"), "debit")
+    last = F.lead("at").over(Window.partitionBy("credit").orderBy("at")).isNull()
+    rows = rows.select("asset", "at", "debit", "credit", "w", last.alias("last"))
+    own = seeds.join(ev.select("event", "asset"), "event").join(place, "event")
+    rows = rows.unionByName(own.select("asset", "at", F.col("event").alias("debit"), F.lit(None).cast("string").alias("credit"), F.col("t").alias("w"), F.lit(False).alias("last")))
+    later = drawn.select(F.col("credit").alias("debit")).distinct().withColumn("later", F.lit(True))
+    rows = rows.join(later, "debit", "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    rows = rows.repartition("asset").sortWithinPartitions("asset", "at").select("debit", "credit", "w", "last", "later")
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[str, float] = {}
+        for b in batches:
+            events, found = [], []
+            for debit, credit, w, last, later in zip(*(b.column(i).to_pylist() for i in range(5))):
+                t = w
+                if credit is not None:
+                    t = w * held.get(credit, 0.0)
+                    if last:
+                        held.pop(credit, None)
+                    if t:
+                        events.append(debit)
+                        found.append(t)
+                if t and later:
+                    held[debit] = held.get(debit, 0.0) + t
+            yield pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(found, pa.float64())], names=["event", "t"])
+
+    return rows.mapInArrow(run, "event string, t double")
+
+
 def taint(ev: DataFrame, drawn: DataFrame, start: str, max_rounds: int = 64) -> DataFrame:
-    """event, tainted: everything the start sends is its own; the rest follows the draws."""
-    weight = drawn.select("debit", "credit", (F.col("amount").cast("double") / F.col("credit_value").cast("double")).alias("w"))
+    """event, tainted: everything the start sends is its own; the rest follows the draws.  Chains of draws
+    longer than ``max_rounds`` are followed to their end in event order, without rounds."""
+    weight = drawn.select("asset", "debit", "credit", (F.col("amount").cast("double") / F.col("credit_value").cast("double")).alias("w"))
     weight = cut(weight)
     now = cut(ev.filter(F.col("from_addr") == start).select("event", F.col("value").cast("double").alias("t")))
     parts = [now]
@@ -75,6 +114,8 @@ def taint(ev: DataFrame, drawn: DataFrame, start: str, max_rounds: int = 64) ->
         if now.isEmpty():
             break
         parts.append(now)
+    else:
+        parts.append(cut(in_order(ev, weight, now)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
