@@ -28,6 +28,8 @@ from .common import rows_where, staged
 
 LETTERS = regex.compile(r"\p{L}+").findall
 LONGEST = 5
+#: Longer unseen words are scored in pieces of so many n-grams.
+PIECE = 1_000
 #: Words a worker remembers the scores of.
 TABLE_LIMIT = 300_000
 
@@ -52,19 +54,40 @@ class Model:
     def fallback(self, word: str) -> list[int]:
         """Rows of an unseen word's known n-grams, of the longest length that has any."""
         get = self.by_gram.get
-        marked = f"<{word[:200]}>"
+        marked = f"<{word}>"
         for n in range(LONGEST, 1, -1):
             known = [r for i in range(len(marked) - n + 1) if (r := get(marked[i : i + n])) is not None]
             if known:
                 return known
         return [r for c in word if (r := get(c)) is not None]
 
+    def long_score(self, word: str) -> np.ndarray:
+        """Mean over the rows of fallback(word), counted in pieces: of a long run only one piece's n-grams
+        are held, and no more counts than the model has rows."""
+        get = self.by_gram.get
+        marked = f"<{word}>"
+        for n in range(LONGEST, 0, -1):
+            text = marked if n > 1 else word
+            count = np.zeros(len(self.table), np.int64)
+            for s in range(0, len(text) - n + 1, PIECE):
+                part = text[s : s + PIECE + n - 1]
+                known = [r for i in range(len(part) - n + 1) if (r := get(part[i : i + n])) is not None]
+                if known:
+                    count += np.bincount(known, minlength=len(count))
+            if count.any():
+                return count @ self.table / count.sum()
+        return np.zeros(self.table.shape[1])
+
     def scores(self, words: list[str]) -> np.ndarray:
         """Each word's log frequencies; 0 if nothing of it is known."""
         out = np.zeros((len(words), self.table.shape[1]))
         rows, sizes = [], []
-        for w in words:
+        for i, w in enumerate(words):
             r = self.words.get(w)
+            if r is None and len(w) > PIECE:
+                out[i] = self.long_score(w)
+                sizes.append(0)
+                continue
             found = [r] if r is not None else self.fallback(w)
             rows += found
             sizes.append(len(found))

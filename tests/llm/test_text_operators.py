@@ -235,3 +235,18 @@ def test_pii_field_decodes_as_enumeration_and_adds(spark):
     assert got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[4].spans == ""
     masked = {r.doc_id: r.text for r in pii.masked(docs, f).collect()}
     assert masked == {1: "ring <PHONE> or so", 2: None, 3: "mail <EMAIL> now", 4: "plain 2024-05-13"}
+
+
+def test_language_scores_the_whole_of_a_long_run():
+    langs, n = ["a", "b"], language.LONGEST
+    rng = np.random.default_rng(1)
+    words = {"known": np.array([-1.0, -2.0])}
+    by_gram = {"".join(g): rng.random(2) for g in rng.choice(list("abcdef"), (300, n))} | {"z": np.array([-3.0, -4.0])}
+    m = language.Model(langs, words, by_gram)
+    for size in (150, 201, language.PIECE, language.PIECE + 1, 7 * language.PIECE + 3):
+        w = "".join(rng.choice(list("abcdef"), size))
+        want = np.mean([by_gram[g] for g in language.grams(w, n) if g in by_gram], axis=0)
+        assert np.allclose(m.scores([w, "known"]), [want, words["known"]])
+    tail = "q" * 4000 + "".join(next(iter(by_gram)))
+    assert np.allclose(m.scores([tail])[0], by_gram[next(iter(by_gram))])
+    assert np.allclose(m.scores(["q" * 4000 + "z" + "q"])[0], by_gram["z"]) and not m.scores(["q" * 4000]).any()
