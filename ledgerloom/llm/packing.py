@@ -3,8 +3,8 @@
 A piece of n tokens costs ``linear * n + quadratic * n^2`` (attention is quadratic within a piece).
 Documents are cut into pieces of a whole sequence and a rest; rests, longest first, go to the
 sequence of the lowest cost so far that has room.  A rest that no open sequence has room for is cut
-over those with most room.  Each group of documents opens as many sequences as its rests need, so at
-most one sequence of a group is not full: padding is below one sequence a group.
+over those with most room until what is left of it fits in one.  Each group of documents opens as many
+sequences as its rests need: padding is below one sequence a group.
 
 A group is what a task reads until it holds ``group_tokens`` tokens, so memory is bounded and no
 row is shuffled; ids never leave the task that made them.  sequence_id has the task's number
@@ -29,6 +29,7 @@ from .common import id_and_text
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECE_IDS = PIECE + ", ids array<int>"
+NONE = (float("inf"), -1)
 
 
 def plan(lengths: list[int], capacity: int, linear: float, quadratic: float) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -45,51 +46,58 @@ def plan(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
     bins = -(-sum(r[0] for r in rests) // capacity)
     fill = [0] * bins
     cost = [0.0] * bins
-    open_ = [(0.0, b) for b in range(bins)]  # heap by cost; entries of bins that have changed are stale
+    # open sequences by room: a heap (cost, bin) for each, under a tree of the cheapest at each range of rooms
+    room: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    half = 1 << capacity.bit_length()
+    tree = [NONE] * (2 * half)
+
+    def renew(r: int) -> None:
+        i, best = half + r, room[r][0] if room[r] else NONE
+        while i and tree[i] != best:
+            tree[i] = best
+            i >>= 1
+            best = min(tree[2 * i], tree[2 * i + 1]) if i else NONE
+
+    def cheapest(n: int) -> int:
+        """The cheapest open sequence with room for n, or -1."""
+        i = half + n
+        best = tree[i]
+        while i > 1:
+            if not i & 1:
+                best = min(best, tree[i + 1])
+            i >>= 1
+        return best[1]
+
+    def emptiest() -> int:
+        """The cheapest of the open sequences with most room."""
+        i = 1
+        while i < half:
+            i = 2 * i + (tree[2 * i + 1] is not NONE)
+        return tree[i][1]
 
     def put(doc: int, start: int, n: int, b: int) -> None:
+        r = capacity - fill[b]
+        heapq.heappop(room[r])  # b: it is the cheapest with this room
+        renew(r)
         pieces.append((doc, start, n, used + b, fill[b]))
         fill[b] += n
         cost[b] += linear * n + quadratic * n * n
-        if fill[b] < capacity:
-            heapq.heappush(open_, (cost[b], b))
+        if n < r:
+            heapq.heappush(room[r - n], (cost[b], b))
+            renew(r - n)
 
-    roomy: list[tuple[int, int]] | None = None
+    room[capacity] = [(0.0, b) for b in range(bins)]
+    renew(capacity)
     for n, doc, start in rests:
-        passed, found = [], -1
-        if roomy is None:
-            # lowest cost first; bins without room are set aside, and there are few:
-            # costs and fill rise together, so the cheapest bins are the emptiest
-            for _ in range(64):
-                while open_ and open_[0][0] != cost[open_[0][1]]:
-                    heapq.heappop(open_)
-                if not open_:
-                    break
-                c, b = heapq.heappop(open_)
-                if fill[b] >= capacity:
-                    continue
-                if fill[b] + n <= capacity:
-                    found = b
-                    break
-                passed.append((c, b))
-            for x in passed:
-                heapq.heappush(open_, x)
-        if found >= 0:
-            put(doc, start, n, found)
-            continue
-        # no room found among the cheapest: cut over the bins with most room
-        if roomy is None:
-            roomy = [(fill[b], b) for b in range(bins) if fill[b] < capacity]
-            heapq.heapify(roomy)
-        while n:
-            while roomy[0][0] != fill[roomy[0][1]]:
-                heapq.heappop(roomy)
-            _, b = heapq.heappop(roomy)
+        found = cheapest(n)
+        while found < 0:  # no room for all of it: cut over the sequences with most room
+            b = emptiest()
             k = min(n, capacity - fill[b])
             put(doc, start, k, b)
-            if fill[b] < capacity:
-                heapq.heappush(roomy, (fill[b], b))
             start, n = start + k, n - k
+            found = cheapest(n) if n else 0
+        if n:
+            put(doc, start, n, found)
     return pieces, used + bins
 
 

@@ -250,3 +250,37 @@ def test_language_scores_the_whole_of_a_long_run():
     tail = "q" * 4000 + "".join(next(iter(by_gram)))
     assert np.allclose(m.scores([tail])[0], by_gram[next(iter(by_gram))])
     assert np.allclose(m.scores(["q" * 4000 + "z" + "q"])[0], by_gram["z"]) and not m.scores(["q" * 4000]).any()
+
+
+def plain_plan(lengths, capacity, linear, quadratic):
+    rests = sorted(((n % capacity, d) for d, n in enumerate(lengths) if n % capacity), key=lambda r: (-r[0], r[1]))
+    bins = -(-sum(n for n, _ in rests) // capacity)
+    fill, cost = [0] * bins, [0.0] * bins
+
+    def put(n, b):
+        fill[b] += n
+        cost[b] += linear * n + quadratic * n * n
+
+    for n, _ in rests:
+        while n:
+            fits = [b for b in range(bins) if fill[b] + n <= capacity]
+            b = min(fits, key=lambda b: (cost[b], b)) if fits else min(range(bins), key=lambda b: (fill[b], cost[b], b))
+            k = min(n, capacity - fill[b])
+            put(k, b)
+            n -= k
+    return fill, cost
+
+
+@pytest.mark.parametrize("top", [60, 400, 1500])
+def test_packing_finds_the_cheapest_sequence_with_room(top):
+    lengths = np.random.default_rng(top).integers(1, top, 900).tolist() + [650] * 70 + [342] * 300
+    pieces, used = packing.plan(lengths, 1024, 1.0, 1 / 1024)
+    fill, cost = Counter(), Counter()
+    for d, s, n, q, o in pieces:
+        assert o == fill[q]
+        fill[q] += n
+        cost[q] += n + n * n / 1024
+    want_fill, want_cost = plain_plan(lengths, 1024, 1.0, 1 / 1024)
+    whole = sum(n // 1024 for n in lengths)
+    assert [fill[whole + b] for b in range(used - whole)] == want_fill
+    assert [cost[whole + b] for b in range(used - whole)] == pytest.approx(want_cost)
