@@ -77,15 +77,16 @@ def units(text: str) -> set[str]:
 
 
 class Kernel:
-    """Explicit kernel features: codes of subsequences over an alphabet of at most 62 characters;
-    other characters have code 0 and are in no subsequence."""
+    """Explicit kernel features: codes of subsequences over an alphabet of any size; other characters
+    have code 0 and are in no subsequence."""
 
     def __init__(self, alphabet: list[str]):
-        self.alphabet = alphabet[:62]
-        self.code = np.zeros(0x110000, np.uint8)
+        self.alphabet = alphabet
+        self.code = np.zeros(0x110000, np.int32)
         for i, c in enumerate(self.alphabet):
             self.code[ord(c)] = i + 1
-        self.edge = 63  # before a word and after it
+        self.edge = len(alphabet) + 1  # before a word and after it
+        self.bits = self.edge.bit_length()  # 21 at most, so three codes are within 63
 
     def coded(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """By length: indices of words, their codes with edges."""
@@ -95,7 +96,7 @@ class Kernel:
         out = {}
         for n, at in by.items():
             flat = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            c = np.full((len(at), n + 2), self.edge, np.int32)
+            c = np.full((len(at), n + 2), self.edge, np.int32 if self.bits <= 10 else np.int64)
             c[:, 1:-1] = self.code[flat].reshape(len(at), n)
             out[n] = (np.array(at), c)
         return out
@@ -106,7 +107,7 @@ class Kernel:
         for _, a, b in PATTERNS:
             m = n - b
             if m > 0:
-                yield (c[:, :m] << 12) | (c[:, a : a + m] << 6) | c[:, b : b + m], DECAY ** (b + 1)
+                yield (c[:, :m] << 2 * self.bits) | (c[:, a : a + m] << self.bits) | c[:, b : b + m], DECAY ** (b + 1)
 
     def norms(self, c: np.ndarray) -> np.ndarray:
         n = c.shape[1]
@@ -124,7 +125,8 @@ class Kernel:
         for n, (at, c) in self.coded(words).items():
             norm = self.norms(c)
             for key, decay in self.parts(c):
-                ok = ((key & 63) > 0) & ((key >> 6 & 63) > 0) & (key >> 12 > 0)
+                one = (1 << self.bits) - 1
+                ok = ((key & one) > 0) & ((key >> self.bits & one) > 0) & (key >> 2 * self.bits > 0)
                 rows.append(np.repeat(at, key.shape[1])[ok.ravel()])
                 keys.append(key[ok])
                 values.append(np.repeat(decay / norm, key.shape[1])[ok.ravel()])
@@ -153,8 +155,17 @@ class Model:
     def ready(self) -> None:
         if self.kernel is None:
             self.kernel, self.seen = Kernel(self.alphabet), {}
-            self.table = np.zeros(1 << 18, np.float32)  # codes with a 0 keep weight 0
-            self.table[self.keys] = self.weights
+            self.table = None
+            if self.kernel.bits <= 7:
+                self.table = np.zeros(1 << 3 * self.kernel.bits, np.float32)  # codes with a 0 keep weight 0
+                self.table[self.keys] = self.weights
+
+    def weigh(self, key: np.ndarray) -> np.ndarray:
+        """Weights of subsequences: from a table of all codes, or, if that is too large, by search."""
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.weights[at], 0.0)
 
     def margins(self, words: list[str]) -> np.ndarray:
         self.ready()
@@ -162,7 +173,7 @@ class Model:
         for n, (at, c) in self.kernel.coded(words).items():
             total = np.zeros(len(at))
             for key, decay in self.kernel.parts(c):
-                total += decay * self.table[key].sum(1)
+                total += decay * self.weigh(key).sum(1)
             out[at] += total / self.kernel.norms(c)
         return out
 
@@ -233,8 +244,8 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
     every = sorted(freq[0], key=lambda w: (-freq[0][w], w))
     common, rare = every[:2000], every[2000:]
     clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[:6000])]
-    letters = Counter("".join(witness)) + Counter("".join(clean))
-    kernel = Kernel(sorted(c for c, _ in letters.most_common(100) if c.isalnum()))
+    # every letter and digit of the training words takes part
+    kernel = Kernel(sorted(c for c in set().union(*freq[0], *freq[1]) if c.isalnum()))
     model = None
     for _ in range(rounds):
         if not witness:

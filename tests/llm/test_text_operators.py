@@ -284,3 +284,27 @@ def test_packing_finds_the_cheapest_sequence_with_room(top):
     whole = sum(n // 1024 for n in lengths)
     assert [fill[whole + b] for b in range(used - whole)] == want_fill
     assert [cost[whole + b] for b in range(used - whole)] == pytest.approx(want_cost)
+
+
+def test_toxicity_takes_every_script():
+    texts, labels = toxic_corpus(240)
+    rng = np.random.default_rng(6)
+    many = [chr(c) for c in (*range(0x30, 0x3A), *range(0xE0, 0x180), *range(0x3B1, 0x3CA), *range(0x4E00, 0x4F00)) if chr(c).isalnum() and chr(c) == chr(c).lower()]
+    insults = {"blockhead": "придурок", "wretch": "негодяй", "vermin": "мерзавец"}
+    for i, t in enumerate(texts):
+        for a, b in insults.items():
+            t = t.replace(a, b)
+        texts[i] = t + " " + " ".join("".join(rng.choice(many, 5)) for _ in range(12))
+    m = toxicity.fit([sorted(toxicity.units(t)) for t in texts[:170]], labels[:170], landmarks=120)
+    assert m is not None and len(m.kernel.alphabet) > 300 and set("придурок") <= set(m.kernel.alphabet)
+    s = m.score(m.top([toxicity.tokens(t) for t in texts[170:]])) >= 0.7
+    assert (s == np.array(labels[170:], bool)).mean() >= 0.95
+    assert m.margins(["придурок"])[0] > m.margins(["при-дурок"])[0] > m.margins(["anerontihe"])[0]
+
+
+def test_toxicity_table_and_search_weigh_alike():
+    texts, labels = toxic_corpus()
+    m = toxicity.fit([sorted(toxicity.units(t)) for t in texts], labels, landmarks=120)
+    words = ["blockhead", "block-head", "anerontihe", "x"]
+    by_table, m.table = m.margins(words), None
+    assert np.allclose(by_table, m.margins(words), atol=1e-5)
