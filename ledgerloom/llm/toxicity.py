@@ -237,10 +237,13 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
     tells = {g: t * s for g, t in runs[1].items() if t >= 2 and (s := np.log((t + 0.5) / (n[1] + 1)) - np.log((runs[0][g] + 0.5) / (n[0] + 1))) > 1}
     strength = {w: max((tells.get(g, 0.0) for g in runs_of(w)), default=0.0) for w in freq[1]}
     toxic = [own for own, y in zip(docs, labels) if y == 1]
+    # a word may be a witness if its smoothed share of toxic documents is well above that of clean ones:
+    # a clean document or two that hold it (labels err, texts quote) don't bar it
+    telling = {w for w, t in freq[1].items() if np.log((t + 0.5) / (n[1] + 1)) - np.log((freq[0][w] + 0.5) / (n[0] + 1)) > (1 if freq[0][w] else -np.inf)}
     witness = Counter()
     for own in toxic:
         best = max((strength[w] for w in own), default=0.0)
-        witness.update(w for w in own if best > 0 and strength[w] >= 0.6 * best and freq[0][w] <= 0.02 * freq[1][w])
+        witness.update(w for w in own if best > 0 and strength[w] >= 0.6 * best and w in telling)
     every = sorted(freq[0], key=lambda w: (-freq[0][w], w))
     common, rare = every[:2000], every[2000:]
     clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[:6000])]
@@ -265,6 +268,8 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
         spread = hard[:400] or clean
         lm += [spread[i] for i in rng.permutation(len(spread))[: half // 2]] + [clean[i] for i in rng.permutation(len(clean))[: half // 2]]
         lm = list(dict.fromkeys(lm))
+        # clean documents' copies of a witness don't train against it
+        clean = [w for w in clean if w not in witness]
         words = pos + extra + clean
         y = np.array([1.0] * (len(pos) + len(extra)) + [-1.0] * len(clean))
         keys = np.unique(kernel.entries(lm)[1])
@@ -289,7 +294,7 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
             best = max((strength[w] for w in own_words), default=0.0)
             for i in np.flatnonzero(m >= max(0.0, m.max() - 0.5)):
                 w = own_words[i]
-                if freq[0][w] <= 0.02 * freq[1][w] and strength[w] >= 0.3 * best:
+                if w in telling and strength[w] >= 0.3 * best:
                     witness[w] += 1
     top = model.top([set(d) for d in docs])
     model.slope, model.middle = _curve(top, np.array(labels))

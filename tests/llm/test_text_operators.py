@@ -308,3 +308,14 @@ def test_toxicity_table_and_search_weigh_alike():
     words = ["blockhead", "block-head", "anerontihe", "x"]
     by_table, m.table = m.margins(words), None
     assert np.allclose(by_table, m.margins(words), atol=1e-5)
+
+
+def test_toxicity_learns_a_rare_insult_in_spite_of_a_wrong_label():
+    texts, labels = toxic_corpus()
+    own = [i for i in range(110) if "vermin" in texts[i]]
+    assert len(own) < 50
+    labels[own[0]] = 0
+    m = toxicity.fit([sorted(toxicity.units(t)) for t in texts[:110]], labels[:110], landmarks=120)
+    s = m.score(m.top([toxicity.tokens(t) for t in texts[110:]])) >= 0.7
+    assert all(s[i] for i, t in enumerate(texts[110:]) if "vermin" in t)
+    assert (s == np.array(labels[110:], bool)).mean() >= 0.95
