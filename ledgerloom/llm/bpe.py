@@ -23,7 +23,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .bytelevel import byte_letters
 from .common import PLAIN, id_and_text
 
 TABLE_LIMIT = 300_000
@@ -35,6 +34,14 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _loaded: dict[str, "PairBpe"] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters stand for themselves, the rest for characters from U+0100 on, in order."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    other = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
+
+
 def encoder(path: str) -> "PairBpe":
     if path not in _loaded:
         _loaded[path] = PairBpe(path)
@@ -168,7 +175,7 @@ class PairBpe:
 
     def words_of(self, text: str) -> list[str]:
         """The words of a text; a special token's string is an entry of its own, kept as it is."""
-        if PLAIN(text) is not None and (self.special_at is None or "<|" not in text):
+        if PLAIN(text) is not None and not any(t in text for t in self.special):
             return WORDS(text.lower())
         out, at = [], 0
         for m in self.special_at.finditer(text) if self.special_at else ():

@@ -1,11 +1,11 @@
-"""Byte-level BPE ids of whole texts.
-
-Where each merge of a vocabulary makes a token of its own and ids rise with the order of merges,
-"apply the first merge of the list" and "make the token of the lowest id" are the same rule, so
-the rank encoder of tiktoken, built from the vocabulary file itself, gives the tokenizers library's
-ids, several times as fast.  Texts holding a special token's string, or a character outside
-PLAIN (on which the two libraries' Unicode tables might differ by version), go to the tokenizers
-library, and so does everything if the vocabulary isn't of that kind.
+"""Byte-level BPE ids of whole texts, by the tokenizers library.
+
+Merges of a byte-level vocabulary never cross the pieces its splitting rule makes, so a piece's ids
+don't depend on its neighbours: the library encodes each different piece once (``encode_batch``), a
+worker remembers them, and a text's ids are those of its pieces in order.  Texts holding a special
+token's string, or a character outside PLAIN (on which the splitting rule's Unicode tables might
+differ from the library's by version), are encoded whole by the library, and so is everything if the
+vocabulary splits in another way.
 """
 
 from __future__ import annotations
@@ -14,12 +14,16 @@ import json
 import os
 
 import numpy as np
+import regex
 
 from .common import PLAIN
 
 #: The byte-level splitting rule, a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces a worker remembers, and the length of those it does.
+PIECES, PIECE_LIMIT = 400_000, 48
 
+_pieces = regex.compile(PATTERN).findall
 _loaded: dict[str, "ByteLevel"] = {}
 
 
@@ -30,14 +34,6 @@ def encoder(path: str) -> "ByteLevel":
     return _loaded[path]
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
-    characters stand for themselves, the rest for characters from U+0100 on, in order."""
-    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
-    other = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(other)) for b in range(256)]
-
-
 class ByteLevel:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,31 +43,34 @@ class ByteLevel:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.ranks = self._ranks(path)
-
-    @staticmethod
-    def _ranks(path: str):
-        """The rank encoder, if the vocabulary is of the kind described above."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, pre = spec["model"], spec["pre_tokenizer"] or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
-        if model["type"] != "BPE" or not plain or model.get("end_of_word_suffix") or model.get("ignore_merges"):
-            return None
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        made = [model["vocab"].get(a + b, -1) for a, b in pairs]
-        if len(model["vocab"]) != len(made) + 256 or any(x >= y for x, y in zip([255, *made], made)):
-            return None
-        import tiktoken
-
-        byte = {c: b for b, c in enumerate(byte_letters())}
-        ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
-        return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pre = spec["pre_tokenizer"] or {}
+        self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > PIECES:
+            self.known.clear()
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        for s in range(0, len(new), 4096):
+            for p, e in zip(new[s : s + 4096], self.lib.encode_batch_fast(new[s : s + 4096], add_special_tokens=False)):
+                self.known[p] = np.array(e.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]):
         """Yields each text's ids as an array of 32-bit integers."""
+        known = self.known
         for text in texts:
-            if self.ranks is None or PLAIN(text) is None or any(s in text for s in self.specials):
+            if not self.splits or PLAIN(text) is None or any(s in text for s in self.specials):
                 yield np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield self.ranks.encode_to_numpy(text, disallowed_special=())
+                continue
+            pieces = _pieces(text)
+            try:
+                made = b"".join([known[p] for p in pieces])
+            except KeyError:
+                self._learn(pieces)
+                made = b"".join([known[p] for p in pieces])
+                for p in pieces:
+                    if len(p) > PIECE_LIMIT:
+                        known.pop(p, None)
+            yield np.frombuffer(made, np.uint32)

@@ -2,12 +2,14 @@
 
 Base spans are the leftmost non-overlapping matches of four fixed patterns, each written so that it
 takes time linear in the text.  The field looks at what they leave: windows around leftover digits,
-``@`` and spelled-out addresses.  A window is cut into tokens; a segment is up to ``MAX_TOKENS``
-tokens with a kind, scored as a whole (digit counts, shape, separators, checksum, parts' range,
+``@`` and spelled-out addresses.  A window reaches ``MAX_TOKENS`` tokens, however long, to each side of what
+calls for it, or to the end of the line; a segment, up to ``MAX_TOKENS`` tokens with a kind, never crosses
+a line end, so every segment that holds the call is looked at.  A segment is scored as a whole (digit counts, shape, separators, checksum, parts' range,
 neighbours); dynamic programming finds the best segmentation, that is boundaries and kinds jointly.
-Weights maximise the likelihood of labelled windows: base spans found in at most ``max_docs``
-documents (those of the smallest id hashes), the same spans written in other ways, and generated
-windows of numbers that are not personal (dates, versions, hashes, bad checksums).
+Weights maximise the likelihood of labelled windows: base spans of a bounded sample of documents
+(``common.bounded_sample``: ``max_docs``, ``max_chars``; of their windows the ``max_windows`` of the smallest
+hashes), the same kinds written in other ways, and generated windows of numbers that are not personal (dates,
+versions, hashes, bad checksums).
 
 Nulls: a null text is empty and has no span.  Repeated rows each get a row; empty tables give none;
 other columns are ignored.
@@ -25,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import bounded_sample, fitted, id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
-#: Characters of a window on each side of what calls for it.
-REACH = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+").match
@@ -129,8 +129,10 @@ def features(kind: int, text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def _possible(kind: int, own: str) -> bool:
-    """Whether a segment can be of this kind at all."""
+def _possible(kind: int, own: str, left: str) -> bool:
+    """Whether a segment can be of this kind at all; an address cut in its middle can't."""
+    if kind == 0 and left in _LOCAL:
+        return False
     if not (own[-1].isalnum() and (own[0].isalnum() or kind == 3 and own[0] in "+(")):
         return False
     if kind == 0:
@@ -151,6 +153,7 @@ def segments(text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
         c = text[at[i]]
         if not (c.isalnum() or c in "+("):
             continue
+        left = text[at[i] - 1] if i else ""
         for j in range(i + 1, min(i + MAX_TOKENS, len(at) - 1) + 1):
             last = text[at[j] - 1]
             if last == "\n":
@@ -158,7 +161,7 @@ def segments(text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
             if not last.isalnum():
                 continue
             own = text[at[i] : at[j]]
-            found += [(i, j, k) for k in range(4) if _possible(k, own)]
+            found += [(i, j, k) for k in range(4) if _possible(k, own, left)]
     return at, found
 
 
@@ -273,6 +276,34 @@ def examples(seed: int = 11, n: int = 60) -> list[tuple[str, list[tuple[int, int
     return out
 
 
+def _reach_left(text: str, at: int) -> int:
+    """Where the MAX_TOKENS-th token before ``at`` begins, or its line."""
+    size = 128
+    while True:
+        low = max(0, at - size)
+        line = text.rfind("\n", low, at) + 1
+        starts = [m.start() + (line or low) for m in _TOKENS(text[line or low : at])]
+        if len(starts) > MAX_TOKENS:  # the first one may be cut
+            return starts[-MAX_TOKENS]
+        if line or low == 0:
+            return line or low
+        size *= 4
+
+
+def _reach_right(text: str, at: int) -> int:
+    """Where the MAX_TOKENS-th token after ``at`` ends, or its line."""
+    size = 128
+    while True:
+        high = min(len(text), at + size)
+        line = text.find("\n", at, high)
+        ends = [m.end() + at for m in _TOKENS(text[at : line if line >= 0 else high])]
+        if len(ends) > MAX_TOKENS:  # the last one may be cut
+            return ends[MAX_TOKENS - 1]
+        if line >= 0 or high == len(text):
+            return line if line >= 0 else high
+        size *= 4
+
+
 def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Stretches the field looks at: around calls that no base span covers, without base spans."""
     taken = sorted((s, e) for s, _, e in base)
@@ -289,7 +320,7 @@ def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
                 continue
         free.append((s, e))
     for s, e in free:
-        a, b = max(0, s - REACH), min(len(text), e + REACH)
+        a, b = _reach_left(text, s), _reach_right(text, e)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -315,37 +346,34 @@ def find(text: str, field: Field | None, base: list[tuple[int, int, int]] | None
         return base
     added = []
     for a, b in windows(text, base):
-        # whole words at a window's ends, where they aren't endless
-        if a and text[a - 1].isalnum() and text[a].isalnum():
-            a = next((i for i in range(a, b) if not text[i].isalnum()), b)
-        if b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b = next((i for i in range(b, a, -1) if not text[i - 1].isalnum()), a)
         if b - a >= 6:
             added += [(a + s, k, a + e) for s, k, e in field.decode(text[a:b])]
     return sorted(base + added)
 
 
-def train(docs: DataFrame, max_docs: int = 300, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Labelled windows: generated ones, and base spans of a bounded sample of documents."""
-    rows = id_and_text(docs, id_col, text_col)
-    some = rows.filter(F.col("text").rlike("[0-9]{4}|@")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+def labelled(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Windows of 24 characters to each side of base spans that no other span is in."""
+    found, out = base_spans(text), []
+    for x, (s, k, e) in enumerate(found):
+        a, z = max(0, s - 24), min(len(text), e + 24)
+        if not any(y[0] < z and y[2] > a for y in (*found[max(0, x - 4) : x], *found[x + 1 : x + 5])):
+            out.append((text[a:z], [(s - a, k, e - a)]))
+    return out
 
-    def own(batches):
-        for b in batches:
-            texts, starts, kinds, ends = [], [], [], []
-            for t in b.column(0).to_pylist():
-                found = base_spans(t)
-                for s, k, e in found[:20]:
-                    a, z = max(0, s - 24), min(len(t), e + 24)
-                    if not any(x != (s, k, e) and x[0] < z and x[2] > a for x in found):
-                        texts.append(t[a:z])
-                        starts.append(s - a)
-                        kinds.append(k)
-                        ends.append(e - a)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *(pa.array(x, pa.int32()) for x in (starts, kinds, ends))], names=["text", "s", "k", "e"])
-
-    got = rows.join(F.broadcast(some), "doc_id", "left_semi").select("text").mapInArrow(own, "text string, s int, k int, e int").orderBy("text", "s", "k", "e").limit(2 * max_docs).collect()
-    return fit(examples() + [(r.text, [(r.s, r.k, r.e)]) for r in got])
+
+def _fit_rows(max_windows: int):
+    def run(rows):
+        own = {w[0]: w for _, text in rows for w in labelled(text)}
+        order = sorted(own, key=lambda t: (hashlib.md5(t.encode("utf-8", "surrogatepass")).digest(), t))
+        return fit(examples() + [own[t] for t in order[:max_windows]])
+
+    return run
+
+
+def train(docs: DataFrame, max_docs: int = 300, max_chars: int = 3_000_000, max_windows: int = 600, id_col: str = "doc_id", text_col: str = "text") -> Field:
+    """The field of generated windows and of those of a bounded sample, fitted in one task."""
+    rows = id_and_text(docs, id_col, text_col).filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9]{4}|@"))
+    return fitted(bounded_sample(rows, max_docs, max_chars), _fit_rows(max_windows))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, common, language, packing, pii, quality, simhash, token_output, toxicity
 from .common import hash_mod, table
 
-WORD_BPE = os.path.join(common.TOKENIZER_DIR, "word_bpe_49k.json")
-BYTE_BPE = os.path.join(common.TOKENIZER_DIR, "byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

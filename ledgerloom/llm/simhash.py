@@ -186,9 +186,9 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return posted.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(match, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, root (least id reachable) of each id in links (a, b), by alternating large-star and
-    small-star steps: each round is two joins-free groupings of the links, written to the shared folder."""
+    small-star steps until a round changes nothing; each round is written to the shared folder."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         # every node with its neighbours; the least of them (and itself) becomes their parent
@@ -207,7 +207,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     now = edges.filter("a <> b").distinct().checkpoint()
     before = None
-    for _ in range(max_rounds):
+    while True:
         now = star(star(now, True), False).checkpoint()
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:

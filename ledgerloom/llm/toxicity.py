@@ -6,18 +6,23 @@ in or left out still shares most of its subsequences.  Marks are no characters o
 gaps in it.  A word's vector is divided by the norm it would have if no subsequence came twice.
 
 Sentences are labelled as their documents are; which of its words makes a sentence toxic is not
-labelled.  So training is multiple-instance: the first witnesses are the words with the most telling
-character runs, an SVM is trained on witnesses against words of clean documents, each toxic
-document names its highest words as witnesses, and so on.  Witnesses also train with characters put
-in.  The SVM works on Nystrom features of landmark words; since the kernel has explicit
+labelled, and some labels are wrong.  So training is multiple-instance: the first witnesses are words
+with a character run whose count in toxic and clean documents differs by more than chance (likelihood
+ratio above ``bar``), an SVM is trained on witnesses against words of clean documents, each toxic
+document names its highest words as witnesses, and so on; documents without any name none.  Witnesses
+also train with characters put in.  The SVM works on Nystrom features of landmark words; since the kernel has explicit
 features, its weights on landmarks fold into one weight for each subsequence, and scoring a
-word is a sum over its subsequences.  A document scores as its highest word (words spelled with
-spaces between are joined), through a logistic curve fitted to the training documents.
+word is a sum over its subsequences.  A word's margin gives, through a logistic curve, its chance of
+being an insult; a document scores as the chance that at least one of its different words is one
+(letters spelled with spaces between are joined).  So one sure insult is enough, and so are a few doubtful ones.
 
-The model is learned from at most ``max_docs`` labelled documents of each class (those of the
-smallest id hashes); everything else is as large as a constant, so the model may be broadcast.
+The model is learned from a bounded sample of labelled documents (``common.bounded_sample``: ``max_docs``
+of each class, ``max_chars`` characters together), in one task; of the sample's words at most
+``max_witnesses``, ``max_clean`` and, in each round, ``max_hard`` of the highest clean ones train the machine,
+and ``landmarks`` bounds its features.  So the model is bounded and may be broadcast.  All texts
+are scored whole.
 
-Nulls: a null or empty text scores as a text without words, the curve's low end; null labels teach
+Nulls: a null or empty text has no words and scores 0; null labels teach
 nothing; without both classes every score is 0.  Repeated rows each get a row; empty tables give
 none; other columns are ignored.
 """
@@ -32,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, rows_where
+from .common import bounded_sample, fitted, id_and_text, rows_where
 
 DECAY = 0.6
 #: Distances of a subsequence's characters from its first.
@@ -40,6 +45,8 @@ PATTERNS = [(0, a, b) for b in range(2, 5) for a in range(1, b)]
 #: Longer words are scored in overlapping windows.
 WINDOW, STEP = 40, 32
 TABLE_LIMIT = 400_000
+FOLDS = 4
+MARKS = ".,;:!?\"'()[]{}<>*#%$&|_-+=/\\~^@`"
 _INNER = regex.compile(r"[\p{L}\p{N}].*[\p{L}\p{N}]", regex.S).search
 _RUNS = regex.compile(r"(.)\1{2,}", regex.S).sub
 
@@ -47,7 +54,8 @@ _RUNS = regex.compile(r"(.)\1{2,}", regex.S).sub
 def tokens(text: str) -> set[str]:
     """A text's different words, and single letters in a row as one word."""
     words = text.lower().split()
-    out = set(words)
+    out = {w.strip(MARKS) for w in set(words)}
+    out.discard("")
     single = [i for i, w in enumerate(words) if len(w) == 1]
     if len(single) >= 3:
         run = [single[0]]
@@ -177,23 +185,24 @@ class Model:
             out[at] += total / self.kernel.norms(c)
         return out
 
-    def top(self, found: list[set[str]]) -> np.ndarray:
-        """The highest margin among each text's tokens, within bounds."""
+    def by_word(self, words) -> dict[str, float]:
+        own = list(words)
+        return dict(zip(own, self.margins(own).tolist()))
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Each text's chance that at least one of its different words is an insult."""
         self.ready()
-        new = list(set().union(*found).difference(self.seen)) if found else []
+        found = [tokens(t) for t in texts]
+        new = [t for t in set().union(*found) if t not in self.seen] if found else []
         if len(self.seen) + len(new) > TABLE_LIMIT:
-            self.seen = {}
-            new = list(set().union(*found))
+            self.seen, new = {}, list(set().union(*found))
         for s in range(0, len(new), 20_000):
             part = [forms(t) for t in new[s : s + 20_000]]
-            own = np.append(self.margins([f for x in part for f in x]), -9.0)
+            own = np.append(_log_clean(self.margins([f for x in part for f in x]), self.slope, self.middle), 0.0)
             ends = np.cumsum([len(x) for x in part])
             for t, x, e in zip(new[s : s + 20_000], part, ends.tolist()):
-                self.seen[t] = own[e - 1] if len(x) == 1 else own[e - len(x) : e].max(initial=-9.0)
-        return np.array([max(map(self.seen.__getitem__, own), default=-9.0) for own in found]).clip(-9.0, 1.5)
-
-    def score(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * (top - self.middle), -30, 30)))
+                self.seen[t] = float(own[e - 1] if len(x) == 1 else own[e - len(x) : e].min(initial=0.0))
+        return np.array([-np.expm1(sum(map(self.seen.__getitem__, own))) for own in found])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -206,7 +215,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, step
         on = y * (z @ w) < 1
         zw = z[on] * weight[on, None]
         new = np.linalg.solve(ridge + c * zw.T @ z[on], c * zw.T @ y[on])
-        if np.allclose(new, w, atol=1e-6):
+        if np.allclose(new, w, rtol=1e-3, atol=1e-3):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -220,8 +229,47 @@ def _spelled(word: str, rng: np.random.Generator) -> list[str]:
     return [word[:at] + mark + word[at:], mark.join(word)]
 
 
-def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds: int = 4, seed: int = 7) -> Model | None:
-    """texts: each document's units."""
+def _beyond_chance(t: int, c: int, n1: int, n0: int) -> float:
+    """Likelihood ratio statistic of being in t of n1 toxic and c of n0 clean documents; 0 if not the more
+    frequent among toxic ones."""
+    share = (t + c) / (n1 + n0)
+    if t <= share * n1:
+        return 0.0
+    return 2 * (t * np.log(t / (share * n1)) + (c * np.log(c / (share * n0)) if c else 0.0))
+
+
+def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, **bounds) -> Model | None:
+    """texts: each document's units.  The curve is fitted to margins of documents that the machine which
+    gives them has not seen (``FOLDS`` parts), the machine to all."""
+    whole = machine(texts, labels, landmarks, **bounds)
+    if whole is None:
+        return None
+    unseen: list[np.ndarray] = [np.empty(0)] * len(texts)
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], i))  # each part has its share of both classes
+    for fold in range(FOLDS):
+        seen = [i for at, i in enumerate(order) if at % FOLDS != fold]
+        own = machine([texts[i] for i in seen], [labels[i] for i in seen], landmarks // 2, **bounds)
+        if own is None:
+            continue
+        left = order[fold::FOLDS]
+        margin = own.by_word(set().union(*(texts[i] for i in left)))
+        for i in left:
+            unseen[i] = np.array([m for w in texts[i] if (m := margin[w]) > -0.5])
+    whole.slope, whole.middle = _curve(unseen, np.array(labels))
+    return whole
+
+
+def machine(
+    texts: list[list[str]],
+    labels: list[int],
+    landmarks: int = 400,
+    rounds: int = 3,
+    bar: float = 12.0,
+    max_witnesses: int = 3_000,
+    max_clean: int = 8_000,
+    max_hard: int = 2_000,
+    seed: int = 7,
+) -> Model | None:
     rng = np.random.default_rng(seed)
     n = Counter(labels)
     if not n[0] or not n[1]:
@@ -229,32 +277,28 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
     docs = [sorted(t) for t in texts]
     freq = {0: Counter(), 1: Counter()}
     runs = {0: Counter(), 1: Counter()}
-    runs_of = lambda w: {m[i : i + k] for m in (f"\x02{w}\x03",) for k in (4,) for i in range(len(m) - k + 1)}
+    runs_of = lambda w: {m[i : i + 4] for m in (f"\x02{w}\x03",) for i in range(len(m) - 3)}
     for own, y in zip(docs, labels):
         freq[y].update(own)
         runs[y].update(set().union(*map(runs_of, own)) if own else ())
-    # character runs of toxic documents, by how much they tell
-    tells = {g: t * s for g, t in runs[1].items() if t >= 2 and (s := np.log((t + 0.5) / (n[1] + 1)) - np.log((runs[0][g] + 0.5) / (n[0] + 1))) > 1}
+    tells = {g: s for g, t in runs[1].items() if t >= 2 and (s := _beyond_chance(t, runs[0][g], n[1], n[0])) >= bar}
     strength = {w: max((tells.get(g, 0.0) for g in runs_of(w)), default=0.0) for w in freq[1]}
     toxic = [own for own, y in zip(docs, labels) if y == 1]
-    # a word may be a witness if its smoothed share of toxic documents is well above that of clean ones:
-    # a clean document or two that hold it (labels err, texts quote) don't bar it
-    telling = {w for w, t in freq[1].items() if np.log((t + 0.5) / (n[1] + 1)) - np.log((freq[0][w] + 0.5) / (n[0] + 1)) > (1 if freq[0][w] else -np.inf)}
-    witness = Counter()
-    for own in toxic:
-        best = max((strength[w] for w in own), default=0.0)
-        witness.update(w for w in own if best > 0 and strength[w] >= 0.6 * best and w in telling)
+    # a word may be a witness if most of the documents that hold it are toxic, both classes weighing the same;
+    # a few clean ones don't bar it (labels err, texts quote), and a word that is hardly seen needs a telling run
+    telling = {w for w, t in freq[1].items() if not freq[0][w] or (t + 0.5) / (n[1] + 1) > 3 * (freq[0][w] + 0.5) / (n[0] + 1)}
+    witness = Counter(w for own in toxic for w in own if strength[w] > 0 and w in telling)
     every = sorted(freq[0], key=lambda w: (-freq[0][w], w))
-    common, rare = every[:2000], every[2000:]
-    clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[:6000])]
+    common, rare = every[: max_clean // 4], every[max_clean // 4 :]
+    clean = common + [rare[i] for i in sorted(rng.permutation(len(rare))[: max_clean - len(common)])]
     # every letter and digit of the training words takes part
     kernel = Kernel(sorted(c for c in set().union(*freq[0], *freq[1]) if c.isalnum()))
-    model = None
+    model, hard_set = None, set()
     for _ in range(rounds):
         if not witness:
             return None
-        pos = sorted(witness, key=lambda w: (-witness[w], w))[:3000]
-        extra = [v for w in pos[:1000] for v in _spelled(w, rng)]
+        pos = sorted(witness, key=lambda w: (-witness[w], w))[:max_witnesses]
+        extra = [v for w in pos[: max_witnesses // 3] for v in _spelled(w, rng)]
         half = landmarks // 2
         first = pos[: half // 2]
         others = pos[half // 2 :]
@@ -262,12 +306,13 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
         hard: list[str] = []
         if model is not None:
             # clean documents' words that the last machine takes for insults train the next one
-            order = np.argsort(-model.margins(every), kind="stable")[:2000]
+            order = np.argsort(-model.margins(every), kind="stable")[:max_hard]
             hard = [every[i] for i in order]
             clean = list(dict.fromkeys(clean + hard))
-        spread = hard[:400] or clean
+        spread = hard[:landmarks] or clean
         lm += [spread[i] for i in rng.permutation(len(spread))[: half // 2]] + [clean[i] for i in rng.permutation(len(clean))[: half // 2]]
         lm = list(dict.fromkeys(lm))
+        hard_set.update(hard)
         # clean documents' copies of a witness don't train against it
         clean = [w for w in clean if w not in witness]
         words = pos + extra + clean
@@ -276,57 +321,63 @@ def fit(texts: list[list[str]], labels: list[int], landmarks: int = 400, rounds:
         dense = kernel.matrix(lm, keys)
         gram = (dense @ dense.T).astype(float)
         value, vector = np.linalg.eigh(gram)
-        ok = value > 1e-6 * value[-1]
+        ok = value > 1e-4 * value[-1]
         root = vector[:, ok] / np.sqrt(value[ok])
         # k(word, landmarks) for all words, from the explicit features
         cross = np.vstack([kernel.matrix(words[s : s + 500], keys) @ dense.T for s in range(0, len(words), 500)])
         # a witness counts as often as documents name it; both classes weigh the same
-        weight = np.array([float(np.sqrt(witness[w])) for w in pos] + [0.3] * len(extra) + [float(np.sqrt(min(freq[0][w], 100))) for w in clean])
-        weight *= np.where(y > 0, 0.5 / weight[y > 0].sum(), 0.5 / weight[y < 0].sum()) * 400
+        weight = np.array([float(np.sqrt(witness[w])) for w in pos] + [0.3] * len(extra) + [float(np.sqrt(min(freq[0][w], 100))) * (4 if w in hard_set else 1) for w in clean])
+        weight *= np.where(y > 0, 0.5 / weight[y > 0].sum(), 1.0 / max(weight[y < 0].sum(), 1e-9)) * 400
         beta, intercept = _svm(cross @ root, y, weight)
         model = Model(kernel.alphabet, keys, (dense.T @ (root @ beta)).astype(np.float64), intercept, 1.0, 0.0)
         # each toxic document names its highest words
         witness = Counter()
+        margin = model.by_word(freq[1])
         for own_words in toxic:
             if not own_words:
                 continue
-            m = model.margins(own_words)
-            best = max((strength[w] for w in own_words), default=0.0)
+            m = np.array([margin[w] for w in own_words])
             for i in np.flatnonzero(m >= max(0.0, m.max() - 0.5)):
                 w = own_words[i]
-                if w in telling and strength[w] >= 0.3 * best:
+                if w in telling and (strength[w] > 0 or m[i] > 0.5):
                     witness[w] += 1
-    top = model.top([set(d) for d in docs])
-    model.slope, model.middle = _curve(top, np.array(labels))
-    model.seen = {}
     return model
 
 
-def _curve(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and middle from two robust points: the height all but 1 in 100 clean documents
-    stay under, and the median toxic document's, which scores 0.95."""
-    low, high = float(np.quantile(top[y == 0], 0.99)), float(np.median(top[y == 1]))
-    gap = max(high - low, 0.1)
-    middle = high - 0.65 * gap
-    return float(np.log(19) / (high - middle)), middle
+def _curve(found: list[np.ndarray], y: np.ndarray) -> tuple[float, float]:
+    """Slope and middle of a word's chance of being an insult by its margin: of a grid, those under which
+    the documents' labels are likeliest (some labels are wrong, so no document counts as less likely
+    than 1 in 50)."""
+    owner = np.repeat(np.arange(len(found)), [len(m) for m in found])
+    flat = np.concatenate(found) if found else np.empty(0)
+    best = (-np.inf, 6.0, 0.6)
+    for slope in (4.0, 6.0, 8.0, 12.0):
+        for middle in np.arange(0.4, 1.2, 0.05):
+            clean = np.exp(np.bincount(owner, _log_clean(flat, slope, middle), len(found)))
+            p = np.clip(np.where(y == 1, 1 - clean, clean), 0.02, 1)
+            best = max(best, (float(np.log(p).mean()), slope, float(middle)))
+    return best[1], best[2]
+
 
+def _log_clean(margin: np.ndarray, slope: float, middle: float) -> np.ndarray:
+    """Log of the chance that a word of this margin is no insult; beyond what the machine asks of an insult
+    (a margin of 1) more says nothing more."""
+    return -np.logaddexp(0, slope * (np.minimum(margin, 1.0) - middle))
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_docs: int = 2_500, landmarks: int = 400) -> Model | None:
+
+def _fit_rows(landmarks: int):
+    return lambda rows: fit([sorted(units(text)) for _, _, text in rows], [y for _, y, _ in rows], landmarks)
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, max_docs: int = 2_500, max_chars: int = 40_000_000, landmarks: int = 400) -> Model | None:
     known = labels.filter("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     if may_learn is not None:
         known = known.filter(may_learn)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     chosen = F.broadcast(pick(1).unionByName(pick(0)))
-
-    def words(batches):
-        for b in batches:
-            for text, doc_id, y in zip(*(b.column(i).to_pylist() for i in range(3))):
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([y], pa.int32()), pa.array([sorted(units(text))], pa.list_(pa.string()))], names=["doc_id", "toxic", "units"])
-
-    rows = id_and_text(docs).join(chosen, "doc_id").select("text", "doc_id", "toxic").mapInArrow(words, "doc_id long, toxic int, units array<string>")
-    got = sorted(((r.doc_id, r.toxic, r.units) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    return fit([r[2] for r in got], [r[1] for r in got], landmarks)
+    rows = id_and_text(docs).join(chosen, "doc_id").select("doc_id", "toxic", "text")
+    return fitted(bounded_sample(rows, 2 * max_docs, max_chars, ids=chosen), _fit_rows(landmarks))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +389,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                s = np.zeros(b.num_rows) if m is None else m.score(m.top([tokens(t) for t in b.column(1).to_pylist()]))
+                s = np.zeros(b.num_rows) if m is None else m.score(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -350,6 +401,6 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.7, tex
 
     def decide():
         m = shared.value
-        return lambda texts: [True] * len(texts) if m is None else (m.score(m.top([tokens(t or "") for t in texts])) < threshold).tolist()
+        return lambda texts: [True] * len(texts) if m is None else (m.score([t or "" for t in texts]) < threshold).tolist()
 
     return rows_where(docs, decide, text_col)

@@ -131,22 +131,59 @@ def test_quality_ratio_equals_plain_sum(spark):
     assert quality.filter_quality(docs.limit(0), labels).count() == 0
 
 
+def plain_language(rows, words):
+    """Log frequencies of words by the rule in words: whole word, else mean of the longest known n-grams."""
+    grams = lambda w, n: list(w) if n == 1 else [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, lang in rows})
+    counts = [{lang: Counter() for lang in langs} for _ in range(6)]
+    for text, lang in rows:
+        for w in language.LETTERS(text.lower()):
+            counts[0][lang][w] += 1
+            for n in range(1, 6):
+                counts[n][lang].update(grams(w, n))
+    known = [set().union(*c.values()) for c in counts]
+    one = lambda n, g: np.array([np.log((counts[n][x][g] + 0.5) / (sum(counts[n][x].values()) + 0.5 * len(known[n]))) for x in langs])
+
+    def score(w):
+        if w in known[0]:
+            return one(0, w)
+        for n in range(5, 0, -1):
+            if own := [one(n, g) for g in grams(w, n) if g in known[n]]:
+                return np.mean(own, axis=0)
+        return np.zeros(len(langs))
+
+    return [score(w) for w in words]
+
+
 def test_language_words_then_shorter_grams(spark):
     rows = [(i, "der hund und die katze spielen im garten", "de") for i in range(6)] + [(10 + i, "the dog and the cat play in the garden", "en") for i in range(6)]
     docs = spark.createDataFrame([*rows, (90, "x", None), (91, None, "en")], "doc_id long, text string, lang string")
     m = language.train(docs)
-    assert m.langs == ["de", "en"] and "hund" in m.words and "zzz" not in m.words
-    five = m.scores(["katzen", "hund", "qqq"])  # "<katz" and others are known 5-grams
-    assert five[0][0] > five[0][1] and np.allclose(five[0], np.mean([m.table[m.by_gram[g]] for g in language.grams("katzen", 5) if g in m.by_gram], axis=0))
-    assert np.allclose(five[1], m.table[m.words["hund"]]) and not five[2].any()
-    ask = spark.createDataFrame([(1, "die katze", 1), (2, "The DOG!", 1), (3, "123 .", 1), (4, None, 1), (5, "", 1)], "doc_id long, text string, score int")
+    assert m.langs == ["de", "en"]
+    asked = ["katzen", "hund", "qqq", "gartenhund", "dogs", "t", "über", "q" * 3000 + "katz", "gard" * 900]
+    assert np.allclose(m.scores(asked), plain_language([r[1:] for r in rows], asked), atol=1e-5)
+    ask = spark.createDataFrame([(1, "die katze", 1), (2, "The DOG!", 1), (3, "123 .", 1), (4, None, 1), (5, "", 1), (2, "The DOG!", 1), (6, "katze dog " * 90_000, 1)], "doc_id long, text string, score int")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(ask, m).collect()}
-    assert got[1][0] == "de" and got[2][0] == "en" and [got[i] for i in (3, 4, 5)] == [("und", 0.0)] * 3
-    assert {r.doc_id for r in language.keep_known(ask, m).collect()} == {1, 2}
+    assert got[1][0] == "de" and got[2][0] == "en" and [got[i] for i in (3, 4, 5)] == [("und", 0.0)] * 3 and 6 in got
+    assert language.predict(ask, m).count() == 7 and language.predict(ask.limit(0), m).count() == 0
+    assert {r.doc_id for r in language.keep_known(ask.filter("doc_id < 6"), m).collect()} == {1, 2}
     nothing = language.train(docs.filter("lang is null"))
     assert language.predict(ask, nothing).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_score_of_a_text_equals_plain_sum(spark):
+    rng = np.random.default_rng(2)
+    word = lambda abc: "".join(rng.choice(list(abc), rng.integers(1, 7)))
+    rows = [(i, " ".join(word("abcé" if i % 2 else "acdñ") for _ in range(30)), "uv"[i % 2]) for i in range(30)]
+    m = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    ask = [(i, " ".join(word("abcdéñx") for _ in range(rng.integers(1, 60)))) for i in range(40)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(ask, "doc_id long, text string"), m).collect()}
+    for i, text in ask:
+        words = text.split()
+        z = np.sum(plain_language([r[1:] for r in rows], words), axis=0) / len(words) * min(len(words), 20)
+        assert got[i][0] == "uv"[int(np.argmax(z))] and got[i][1] == pytest.approx(1 / np.exp(z - z.max()).sum(), rel=1e-3)
+
+
 def toxic_corpus(n=160):
     rng = np.random.default_rng(4)
     syl = ["an", "er", "on", "ti", "the", "re", "nd", "ha", "es", "ou"]
@@ -165,7 +202,7 @@ def toxic_corpus(n=160):
 def test_toxicity_held_out_and_spellings():
     texts, labels = toxic_corpus()
     m = toxicity.fit([sorted(toxicity.units(t)) for t in texts[:110]], labels[:110], landmarks=120)
-    s = m.score(m.top([toxicity.tokens(t) for t in texts[110:]])) >= 0.7
+    s = m.score(texts[110:]) >= 0.7
     assert (s == np.array(labels[110:], bool)).mean() >= 0.95
     plain, gapped, other = m.margins(["blockhead", "block-head", "anerontihe"])
     assert plain > gapped > other
@@ -220,6 +257,18 @@ def test_pii_base_spans_equal_plain_patterns():
         assert pii.base_spans(t) == brute_spans(t), t
 
 
+def test_pii_window_holds_whole_words_of_any_length():
+    f = pii.fit(pii.examples())
+    for own in ("q" * 70 + " [at] host.org", "ab" * 33 + ".bcd(at)mail.com", "x" * 3000 + " [at] host.org"):
+        assert pii.find(f"mail {own} now", f) == [(5, 0, 5 + len(own))]
+    # an address of more tokens than a segment may have is left whole, not cut in its middle
+    assert pii.find("mail " + "a." * 40 + "b [at] host.org now", f) == []
+    text = "é 1, a_b; " * 40 + "[at]" + " ü-9: z" * 40
+    at, tokens = text.index("[at]"), [m.span() for m in pii._TOKENS(text)]
+    before, after = [t for t in tokens if t[1] <= at], [t for t in tokens if t[0] >= at + 4]
+    assert pii._reach_left(text, at) == before[-pii.MAX_TOKENS][0] and pii._reach_right(text, at + 4) == after[pii.MAX_TOKENS - 1][1]
+
+
 def test_pii_field_decodes_as_enumeration_and_adds(spark):
     f = pii.fit(pii.examples(n=25), steps=25)
     text = "ring (744) 555-2801 or so"
@@ -237,19 +286,12 @@ def test_pii_field_decodes_as_enumeration_and_adds(spark):
     assert masked == {1: "ring <PHONE> or so", 2: None, 3: "mail <EMAIL> now", 4: "plain 2024-05-13"}
 
 
-def test_language_scores_the_whole_of_a_long_run():
-    langs, n = ["a", "b"], language.LONGEST
-    rng = np.random.default_rng(1)
-    words = {"known": np.array([-1.0, -2.0])}
-    by_gram = {"".join(g): rng.random(2) for g in rng.choice(list("abcdef"), (300, n))} | {"z": np.array([-3.0, -4.0])}
-    m = language.Model(langs, words, by_gram)
-    for size in (150, 201, language.PIECE, language.PIECE + 1, 7 * language.PIECE + 3):
-        w = "".join(rng.choice(list("abcdef"), size))
-        want = np.mean([by_gram[g] for g in language.grams(w, n) if g in by_gram], axis=0)
-        assert np.allclose(m.scores([w, "known"]), [want, words["known"]])
-    tail = "q" * 4000 + "".join(next(iter(by_gram)))
-    assert np.allclose(m.scores([tail])[0], by_gram[next(iter(by_gram))])
-    assert np.allclose(m.scores(["q" * 4000 + "z" + "q"])[0], by_gram["z"]) and not m.scores(["q" * 4000]).any()
+def test_language_scores_the_whole_of_a_long_run(spark):
+    rows = [("alpha beta gamma", "a"), ("delta omega kappa", "b")] * 3
+    m = language.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    for size in (150, language.PIECE - 2, language.PIECE + 1):
+        asked = ["q" * size + "gamma", "gamma" + "q" * size, "q" * size + "kappa", "q" * size]
+        assert np.allclose(m.scores(asked), plain_language(rows, asked), atol=1e-5)
 
 
 def plain_plan(lengths, capacity, linear, quadratic):
@@ -297,7 +339,7 @@ def test_toxicity_takes_every_script():
         texts[i] = t + " " + " ".join("".join(rng.choice(many, 5)) for _ in range(12))
     m = toxicity.fit([sorted(toxicity.units(t)) for t in texts[:170]], labels[:170], landmarks=120)
     assert m is not None and len(m.kernel.alphabet) > 300 and set("придурок") <= set(m.kernel.alphabet)
-    s = m.score(m.top([toxicity.tokens(t) for t in texts[170:]])) >= 0.7
+    s = m.score(texts[170:]) >= 0.7
     assert (s == np.array(labels[170:], bool)).mean() >= 0.95
     assert m.margins(["придурок"])[0] > m.margins(["при-дурок"])[0] > m.margins(["anerontihe"])[0]
 
@@ -316,6 +358,6 @@ def test_toxicity_learns_a_rare_insult_in_spite_of_a_wrong_label():
     assert len(own) < 50
     labels[own[0]] = 0
     m = toxicity.fit([sorted(toxicity.units(t)) for t in texts[:110]], labels[:110], landmarks=120)
-    s = m.score(m.top([toxicity.tokens(t) for t in texts[110:]])) >= 0.7
+    s = m.score(texts[110:]) >= 0.7
     assert all(s[i] for i, t in enumerate(texts[110:]) if "vermin" in t)
     assert (s == np.array(labels[110:], bool)).mean() >= 0.95
