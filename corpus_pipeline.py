@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written to the shared folder and read again.  A
+    stage's folder goes once the next is written; the last one stays, since the result reads it."""
+    docs, path = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        before = path
+        docs, path = common.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.dropped(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
