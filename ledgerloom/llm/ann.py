@@ -5,11 +5,14 @@ a third of the rows share is one node too.  The graph begins with exact neighbou
 vectors that lie together by a few random projections (cut points from a bounded sample).  Each
 NN-descent round then joins every node's list with the vectors of its neighbours and of the nodes
 it is a neighbour of, compares neighbours with neighbours where one of the two is new to the list,
-and keeps the best ``k``.  A node that very many others list meets them in chunks, in a stream:
-no list is cut short, and memory is bounded.  Rounds stop when few entries change.
+and keeps the best ``k``.  Those that list a node meet in groups of about 2k, dealt anew by a hash each round,
+each together with the node's own list: two that list a much-listed node meet if dealt to one group, in
+this round or a later one, and no task gets more than a group at once.  Rounds stop when few entries
+change, or after ``rounds``.
 
-A query starts at its own node and expands all nodes of its beam not yet expanded, along edges of
-either direction, until a round brings nothing new.
+A query starts at its own node and at ``seeds`` nodes that are the same for all.  Each step expands the ``width``
+nearest nodes of its beam not yet expanded, along edges of either direction; it ends when every query's
+beam is expanded.  The search measures on packed vectors, the last ranking of the beam on original ones.
 
 The graph search may miss neighbours; distances are exact, of the original vectors in double
 precision.  Vectors that are null, zero, of another length than most, or hold null or non-finite
@@ -124,20 +127,22 @@ def best_edges(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("id", "nbr", "d", "fresh", "r")
 
 
-def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def descend(graph: DataFrame, nodes: DataFrame, k: int, deal: int = 0) -> DataFrame:
     """Candidate edges of one round: neighbours of a node compared with each other."""
     worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
     side = nodes.join(worst, "id", "left").select(F.col("id").alias("member"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("inf")).cast("float").alias("worst"), "x")
-    active = graph.select(F.col("id").alias("block"), F.col("nbr").alias("member"), "fresh", F.lit(0).alias("back"))
-    back = graph.select(F.col("nbr").alias("block"), F.col("id").alias("member"), "fresh", F.lit(1).alias("back"))
-    # nodes whose list or listing has nothing new have nothing to compare
-    both = active.unionByName(back)
-    stirred = both.filter("fresh").select("block").distinct()
-    rows = both.join(stirred, "block", "left_semi").join(side, "member").select("block", "back", "member", F.col("fresh").cast("int").alias("fresh"), "worst", "x")
-    rows = rows.repartition("block").sortWithinPartitions("block", "back", "member")
+    own = graph.select(F.col("id").alias("block"), F.col("nbr").alias("member"), F.col("fresh").cast("int").alias("fresh"))
+    back = graph.select(F.col("nbr").alias("block"), F.col("id").alias("member"), F.col("fresh").cast("int").alias("fresh"))
+    # nodes whose list and listing have nothing new have nothing to compare
+    size = own.select("block", "fresh", F.lit(0).alias("b")).unionByName(back.select("block", "fresh", F.lit(1).alias("b")))
+    size = size.groupBy("block").agg(F.max("fresh").alias("f"), F.greatest(F.ceil(F.sum("b") / (2 * k)), F.lit(1)).cast("long").alias("groups")).filter("f = 1").drop("f")
+    own = own.join(size, "block").withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    back = back.join(size, "block").withColumn("group", F.pmod(F.xxhash64("member", "block", F.lit(deal)), "groups"))
+    rows = own.unionByName(back).join(side, "member").select("block", "group", "member", "fresh", "worst", "x")
+    rows = rows.repartition("block", "group").sortWithinPartitions("block", "group", "member")
 
     def pairs(ids, fresh, worst, x):
-        """Candidates among a block's members that would enter a member's list."""
+        """Candidates among a group's members that would enter a member's list."""
         sq = (x * x).sum(1)
         d = np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0)
         ok = (d < worst[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :])
@@ -145,40 +150,27 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         return ids[i], ids[j], d[i, j]
 
     def join(batches):
-        held = None
-        out = [[], [], []]
-
-        def block(part):
-            back, ids, fresh, worst, x = part
-            first = int(np.searchsorted(back, 1))
-            step = max(2 * k, 1)
-            for s in range(first, max(len(ids), first + 1), step):
-                at = np.r_[0:first, s : min(s + step, len(ids))]
-                if fresh[at].any() and len(at) > 1:
-                    for c, v in zip(out, pairs(ids[at], fresh[at], worst[at], x[at])):
-                        c.append(v)
+        held, out = None, [[], [], []]
+
+        def group(part):
+            if part[1].any() and len(part[0]) > 1:
+                for c, v in zip(out, pairs(*part)):
+                    c.append(v)
 
         for b in batches:
             cols = [np.asarray(b.column(i)) for i in range(5)]
-            own = [cols[0], cols[1], cols[2], cols[3].astype(bool), cols[4], _matrix(b.column(5))]
+            own = [*cols[:3], cols[3].astype(bool), cols[4], _matrix(b.column(5))]
             if held is not None:
                 own = [np.concatenate([h, o]) for h, o in zip(held, own)]
-            key = own[0]
-            cuts = np.flatnonzero(np.diff(key)) + 1
+            cuts = np.flatnonzero((np.diff(own[0]) != 0) | (np.diff(own[1]) != 0)) + 1
             for s, e in zip(np.r_[0, cuts][:-1], cuts):
-                block([c[s:e] for c in own[1:]])
-            last = int(cuts[-1]) if len(cuts) else 0
-            held = [c[last:] for c in own]
-            back, ids = held[1], held[2]
-            first = int(np.searchsorted(back, 1))
-            if len(ids) - first > 64 * k:  # a node that very many list: compare and let go of a stretch
-                block([c[: first + 32 * k * 2] for c in held[1:]])
-                held = [np.concatenate([c[:first], c[first + 32 * k * 2 :]]) for c in held]
+                group([c[s:e] for c in own[2:]])
+            held = [c[cuts[-1] if len(cuts) else 0 :] for c in own]
             if sum(map(len, out[0])) > 200_000:
                 yield merged(out, k)
-                out = [[], [], []]
+                out[:] = [], [], []
         if held is not None and len(held[0]):
-            block(held[1:])
+            group(held[2:])
         if out[0]:
             yield merged(out, k)
 
@@ -201,8 +193,8 @@ def build(nodes: DataFrame, k: int = 32, trees: int = 4, chunk: int = 128, round
     """The neighbour graph (id, nbr, d squared) of nodes (id, x of packed())."""
     begun = start_graph(nodes, k, trees, chunk, sample, seed).withColumn("fresh", F.lit(True))
     graph = best_edges(begun, k).checkpoint()
-    for _ in range(rounds):
-        more = descend(graph, nodes, k).withColumn("fresh", F.lit(True))
+    for deal in range(rounds):
+        more = descend(graph, nodes, k, deal).withColumn("fresh", F.lit(True))
         graph = best_edges(graph.withColumn("fresh", F.lit(False)).select("id", "nbr", "d", "fresh").unionByName(more), k).checkpoint()
         n = graph.agg(F.count("*").alias("n"), F.sum(F.col("fresh").cast("long")).alias("new")).first()
         if not n.n or n.new <= stop * n.n:
@@ -210,25 +202,39 @@ def build(nodes: DataFrame, k: int = 32, trees: int = 4, chunk: int = 128, round
     return graph.select("id", "nbr", "d")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 256, rounds: int = 8) -> DataFrame:
-    """q, id, d: the best ``beam`` nodes found for each query node (queries: q, a node's id)."""
-    full = nodes.select("id", "v")
-    asked = queries.select("q").distinct().join(full.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 192, width: int = 24, seeds: int = 32) -> DataFrame:
+    """q, id: the best ``beam`` nodes found for each query node (queries: q, a node's id)."""
+    packs = nodes.select("id", "x")
+    asked = queries.select("q").distinct().join(packs.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q")
     links = graph.select("id", "nbr").unionByName(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"))).distinct()
-    state = asked.select("q", F.col("q").alias("id"), F.lit(0.0).alias("d"), F.lit(False).alias("done"))
-    w = Window.partitionBy("q").orderBy("d", "id")
-    for _ in range(rounds):
-        steps = state.filter(~F.col("done")).select("q", "id").join(links, "id").select("q", F.col("nbr").alias("id")).distinct()
-        found = steps.join(full, "id").join(asked, "q").select("q", "id", distance(F.col("qv"), F.col("v")).alias("d"), F.lit(False).alias("done"))
-        both = state.select("q", "id", "d", F.lit(True).alias("done")).unionByName(found)
+    links = links.repartition("id").checkpoint()
+
+    def measure(batches):
+        for b in batches:
+            x, y = _matrix(b.column(2)), _matrix(b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(((x - y) ** 2).sum(1), pa.float32())], names=["q", "id", "d"])
+
+    def measured(pairs):
+        rows = pairs.join(packs, "id").join(asked, "q").select("q", "id", "x", "qx")
+        return rows.mapInArrow(measure, "q long, id long, d float").withColumn("done", F.lit(False))
+
+    first = [r.id for r in packs.select("id").orderBy(F.xxhash64("id"), "id").limit(seeds).collect()]
+    begun = asked.select("q", F.explode(F.array_distinct(F.array("q", *map(F.lit, first)))).alias("id"))
+    best = Window.partitionBy("q").orderBy("d", "id")
+    state = measured(begun).withColumn("open", F.lit(True)).checkpoint()
+    while True:
+        steps = state.filter("open").select("q", "id").join(links, "id").select("q", F.col("nbr").alias("id")).distinct()
+        both = state.select("q", "id", "d", (F.col("done") | F.col("open")).alias("done")).unionByName(measured(steps))
         both = both.groupBy("q", "id").agg(F.min("d").alias("d"), F.max("done").alias("done"))
-        state = both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r").checkpoint()
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("q", "id", "d")
+        both = both.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= beam)
+        # the nearest not yet expanded are next
+        waiting = F.row_number().over(Window.partitionBy("q").orderBy("done", "d", "id"))
+        state = both.withColumn("open", ~F.col("done") & (waiting <= width)).select("q", "id", "d", "done", "open").checkpoint()
+        if state.filter("open").isEmpty():
+            return state.select("q", "id")
 
 
-def nearest(table: DataFrame, is_query: Column, top: int = 10, k: int = 32, beam: int = 256, rounds: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, top: int = 10, k: int = 32, beam: int = 192, rounds: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each query row among all others."""
     rows = vectors(table, id_col, vec_col)
     # of equal vectors, the first top + 1 ids can be among a query's nearest
@@ -239,8 +245,10 @@ def nearest(table: DataFrame, is_query: Column, top: int = 10, k: int = 32, beam
     graph = build(nodes, k, rounds=rounds)
     asked = rows.filter(is_query).join(nodes.select("id", "v"), "v").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q"))
     asked = staged(asked, "asked")
-    found = search(graph, nodes, asked, beam)
-    near = found.join(members.select("id", "vec_id"), "id").select("q", "vec_id", F.col("d").alias("score"))
+    found = search(graph, nodes, asked, max(beam, top + 1))
+    originals = nodes.select("id", "v")
+    near = found.join(originals, "id").join(originals.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+    near = near.select("q", "id", distance(F.col("qv"), F.col("v")).alias("score")).join(members.select("id", "vec_id"), "id").select("q", "vec_id", "score")
     # enough for any query of the node: its own id may be one of the first
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).filter(F.col("r") <= top + 1).drop("r")
     own = asked.join(first, "q").filter("vec_id <> query_id")
