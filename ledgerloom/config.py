@@ -5,16 +5,48 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 
+#: What counts as dust of each asset.
+DUST = {
+    "ETH": 0.01,
+    "WETH": 0.01,
+    "POL": 1.0,
+    "BNB": 0.002,
+    "USDT": 1.0,
+    "USDC": 1.0,
+    "USDC.E": 1.0,
+    "DAI": 1.0,
+    "WBTC": 0.00002,
+    "BTCB": 0.00002,
+}
+
+#: Chains by id, with the name labels use and the native asset.
+CHAINS = {
+    1: ("ethereum", "Ethereum", "ETH"),
+    137: ("polygon", "Polygon", "POL"),
+    56: ("bnb", "BNB Chain", "BNB"),
+    42161: ("arbitrum", "Arbitrum One", "ETH"),
+}
+
+
+def chain(chain_id: int | None = None) -> tuple[str, str, str]:
+    """The chain's slug, name and native asset; the first one's if no id is given."""
+    found = CHAINS.get(1 if chain_id is None else int(chain_id))
+    if found is None:
+        raise ValueError(f"unknown chain {chain_id}; known: " + ", ".join(f"{i} ({c[1]})" for i, c in CHAINS.items()))
+    return found
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     # walk
     max_depth: int = 4
     max_edges: int = 25
     max_wallets: int | None = 400
-    history_rows: int = 1000
-    # dust, by symbol; native assets share one limit of their own
+    history_rows: int | None = 1000
+    chain: str = "ethereum"
+    # dust, by symbol; a request's own limit holds for native assets alone
     dust_native: float = 0.01
-    dust: dict[str, float] = field(default_factory=lambda: {"USDT": 1.0, "USDC": 1.0, "DAI": 1.0, "WETH": 0.001, "WBTC": 0.0001})
+    dust: dict[str, float] = field(default_factory=lambda: dict(DUST))
     dust_default: float = 1.0
     native: tuple[str, ...] = ("ETH", "POL", "BNB")
     # identification

@@ -11,13 +11,15 @@ def short_address(c: Column) -> Column:
 
 
 def clean_entity(c: Column) -> Column:
-    """Quotes off, colons spaced, a trailing index gone."""
-    s = F.regexp_replace(F.regexp_replace(c, "[\"']", ""), r"\s*:\s*", ": ")
-    return F.trim(F.regexp_replace(s, r"[\s_-]+\d+$", ""))
+    """Outer quotes off, colons spaced, a trailing index gone; the label itself if nothing is left."""
+    own = F.regexp_replace(c, r"^\s+|\s+$", "")
+    s = F.regexp_replace(F.regexp_replace(own, "^[\"']+|[\"']+$", ""), r"\s*:\s*", ": ")
+    s = F.regexp_replace(F.regexp_replace(s, r"[\s_-]+\d+$", ""), r"^\s+|\s+$", "")
+    return F.when(s == "", own).otherwise(s)
 
 
 def token_like(c: Column) -> Column:
-    return c.rlike(r"\([A-Z0-9]{2,10}\)\s*$") | F.lower(c).contains("token") | F.lower(c).contains("voucher")
+    return c.rlike(r"\(\s*[\p{L}\p{N}_]{2,10}\s*\)\s*$") | F.lower(c).contains("token") | F.lower(c).contains("voucher")
 
 
 def duration(seconds: Column) -> Column:

@@ -10,8 +10,8 @@ from .flows import adaptive_floor, consolidation_score, fan_in
 
 
 def known(wallets: DataFrame, labels: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Label lookup by chain and address; a wallet's first label, if it has several."""
-    one = labels.groupBy("address").agg(F.min(F.struct("entity", "type", "source")).alias("l"))
+    """Label lookup by the traced chain and address; a wallet's first label, if it has several."""
+    one = labels.filter(F.col("chain") == cfg.chain).groupBy("address").agg(F.min(F.struct("entity", "type", "source")).alias("l"))
     rows = wallets.join(one, "address")
     return rows.select("address", F.lit("known_label").alias("method"), F.coalesce("l.entity", F.lit("Unknown entity")).alias("entity"), F.coalesce("l.type", F.lit("unknown")).alias("type"), F.lit(cfg.label_confidence).alias("confidence"))
 
@@ -22,7 +22,13 @@ def consolidation(edge_rows: DataFrame, wallets: DataFrame, cfg: EngineConfig) -
     floor = max(cfg.fan_in_flag, adaptive_floor(fan, cfg))
     score = consolidation_score(F.col("fan_in"), cfg)
     hit = fan.filter(F.col("fan_in") >= floor)
-    return hit.select("address", F.lit("consolidation").alias("method"), F.lit("Suspected exchange").alias("entity"), F.lit("suspected_exchange").alias("type"), (cfg.consolidation_max * F.greatest(score, F.lit(0.5))).alias("confidence"))
+    return hit.select("address", F.lit("consolidation").alias("method"), F.lit("Unknown exchange (consolidation pattern)").alias("entity"), F.lit("suspected_exchange").alias("type"), (cfg.consolidation_max * F.greatest(score, F.lit(0.5))).alias("confidence"))
+
+
+def flagged(found: DataFrame) -> DataFrame:
+    """Identified wallets with what they are marked as."""
+    kind = F.col("type")
+    return found.withColumns({"is_vasp": kind.isin("exchange", "suspected_exchange"), "is_mixer": kind == "mixer", "is_bridge": kind == "bridge"})
 
 
 def identify(edge_rows: DataFrame, wallets: DataFrame, labels: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -99,6 +105,8 @@ def clusters(wallets: DataFrame, typed: DataFrame, edge_rows: DataFrame, receive
     rows = named.unionByName(hub_rows).join(at, "address")
     amount = rows.join(received, "address").groupBy("cluster_id", "asset").agg(F.sum("received").alias("v"))
     amounts = amount.groupBy("cluster_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "v")))).alias("received"))
+    most = amount.groupBy("cluster_id").agg(F.max("v").alias("most"))
+    amounts = amounts.join(most, "cluster_id")
     out = rows.groupBy("cluster_id").agg(
         F.min("entity").alias("entity"),
         F.sort_array(F.collect_set("address")).alias("members"),

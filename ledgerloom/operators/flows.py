@@ -12,10 +12,11 @@ from ..sources.ledger import ORDER
 def dust_limit(asset: Column, cfg: EngineConfig, native_override: bool = True) -> Column:
     """Literal CASE, so that the filter reaches the scan."""
     up = F.upper(asset)
-    out = F.when(up.isin(*cfg.native), cfg.dust_native) if native_override else F.when(up.isin(*cfg.native), 0.01)
-    for symbol, v in cfg.dust.items():
-        out = out.when(up == symbol, v)
-    return out.otherwise(cfg.dust_default)
+    rules = [(up.isin(*cfg.native), cfg.dust_native)] if native_override else []
+    out = F
+    for when, v in [*rules, *((up == symbol, v) for symbol, v in cfg.dust.items())]:
+        out = out.when(when, v)
+    return F.lit(cfg.dust_default) if out is F else out.otherwise(cfg.dust_default)
 
 
 def not_dust(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -91,6 +92,11 @@ def adaptive_floor(fan: DataFrame, cfg: EngineConfig) -> int:
     return run.filter(F.col("upto") > index).agg(F.min("fan_in")).first()[0]
 
 
+def native_total(totals: Column, native: str) -> Column:
+    """The native part of amounts by asset: the chain's own, else ETH, else 0."""
+    return F.coalesce(totals[native], totals["ETH"], F.lit(0).cast("double"))
+
+
 def consolidation_score(n: Column, cfg: EngineConfig) -> Column:
     span = float(cfg.fan_in_strong - cfg.fan_in_min)
     return F.when(n < cfg.fan_in_min, 0.0).when(n >= cfg.fan_in_strong, 1.0).otherwise((n - cfg.fan_in_min) / span)

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.ledger import last_rows
 from .flows import edges as edges_of
-from .flows import flow_assets, not_dust, ranked
+from .flows import adaptive_floor, fan_in, flow_assets, not_dust, ranked
 
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage in the cluster's shared checkpoint folder (a local one only if none is named)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/ledgerloom-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or "/tmp/ledgerloom-checkpoints")
     return df.checkpoint()
 
 
@@ -28,39 +32,82 @@ class Walk:
     truncated: bool
 
 
+class Turns:
+    """The queue of a walk with a wallet limit, one turn after another."""
+
+    def __init__(self, cfg: EngineConfig, start: str):
+        self.cfg, self.known, self.senders, self.full = cfg, {start}, {start: set()}, False
+        self.start = start
+
+    def suspected(self, wallet: str) -> bool:
+        n = len(self.senders.get(wallet, ()))
+        if n < self.cfg.fan_in_flag:
+            return False
+        degrees = sorted(map(len, self.senders.values()))
+        return n >= degrees[int(self.cfg.fan_in_quantile * (len(degrees) - 1))]
+
+    def level(self, queue: list[tuple[str, int]], branches: dict[str, list[str]], labelled: set[str]) -> list[tuple[str, int]]:
+        """Those of the queue that are expanded."""
+        out = []
+        for wallet, pos in queue:
+            if len(self.known) >= self.cfg.max_wallets:
+                self.full = True
+                break
+            if wallet != self.start and wallet not in labelled and self.suspected(wallet):
+                continue
+            out.append((wallet, pos))
+            for to in branches.get(wallet, ()):
+                self.known.add(to)
+                self.senders.setdefault(to, set())
+                if to != wallet:
+                    self.senders[to].add(wallet)
+        return out
+
+
+def recent(transfers: DataFrame, wallets: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """What these wallets (column address) sent within their most recent rows of either kind, dust left out."""
+    sent = transfers.join(wallets.select(F.col("address").alias("wallet")), transfers.from_addr == F.col("wallet"))
+    got = transfers.join(wallets.select(F.col("address").alias("wallet")), transfers.to_addr == F.col("wallet"))
+    own = last_rows(sent.unionByName(got), cfg)
+    return not_dust(own.filter("from_addr = wallet").drop("wallet", "kind", "rn"), cfg)
+
+
 def walk(transfers: DataFrame, labels: DataFrame, start: str, cfg: EngineConfig) -> Walk:
     """Forward, breadth first, from ``start``: dust goes, each wallet keeps its best branches, terminal
     entities are recorded and not expanded, the walk ends at the depth or wallet limit.
 
     Only the frontier's transfers are read and added up in a level.  With a wallet limit the frontier
     is at most that many wallets' branches, a proven bound, and is broadcast; without one it is joined.
-    The limit is checked in queue order: a wallet is expanded only while fewer wallets than the
-    limit are known.
+    Wallets are expanded in queue order while fewer wallets than the limit are known, and a wallet that
+    the graph so far makes a suspected exchange (fan-in at the flag and at the graph's own floor) is not
+    expanded.  With a limit, "so far" is the wallet's own turn, decided on the driver from at most
+    limit x branches edges; without one it is the end of the level before.
     """
     spark = transfers.sparkSession
-    terminal = labels.filter(F.col("type").isin(*cfg.terminal)).select("address").distinct()
+    terminal = labels.filter((F.col("chain") == cfg.chain) & F.col("type").isin(*cfg.terminal)).select("address").distinct()
+    labelled = labels.filter(F.col("chain") == cfg.chain).select("address").distinct()
+    turns = Turns(cfg, start)
     frontier = spark.createDataFrame([(start, 0)], "address string, pos int")
     known = spark.createDataFrame([(start, 0)], "address string, depth int")
     expanded = None
     kept_edges, kept_flows, truncated = [], [], False
     clean = not_dust(transfers, cfg)
-    n_known = 1
     for depth in range(cfg.max_depth):
         small = F.broadcast(frontier) if cfg.max_wallets is not None else frontier
-        own = clean.join(small, clean.from_addr == small.address, "left_semi")
+        own = clean.join(small, clean.from_addr == small.address, "left_semi") if cfg.history_rows is None else recent(transfers, small, cfg)
         flows = cut(flow_assets(own))
         best = edges_of(flows, cfg)
         level = ranked(best, cfg).join(frontier.select(F.col("address").alias("from_addr"), "pos"), "from_addr")
         level = cut(level.withColumn("depth", F.lit(depth + 1)))
         if cfg.max_wallets is not None:
-            # wallets known before a frontier wallet's turn
-            new = level.join(known, level.to_addr == known.address, "left_anti").groupBy("to_addr").agg(F.min("pos").alias("pos"))
-            per = new.groupBy("pos").count()
-            before = frontier.join(per, "pos", "left").withColumn("n", F.coalesce("count", F.lit(0)))
-            before = before.withColumn("known", n_known + F.coalesce(F.sum("n").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            allowed = before.filter(F.col("known") < cfg.max_wallets).select("address", "pos")
-            truncated |= not before.filter(F.col("known") >= cfg.max_wallets).isEmpty()
-            frontier = cut(allowed)
+            sure = {r.address for r in frontier.join(labelled, "address", "left_semi").collect()}
+            queue_now = [(r.address, r.pos) for r in frontier.orderBy("pos").collect()]
+            branches: dict[str, list[str]] = {}
+            for r in level.select("from_addr", "to_addr").orderBy("pos", "rank").collect():
+                branches.setdefault(r.from_addr, []).append(r.to_addr)
+            allowed = turns.level(queue_now, branches, sure)
+            truncated |= turns.full
+            frontier = spark.createDataFrame(allowed, "address string, pos int")
             level = level.join(frontier.select(F.col("address").alias("from_addr")), "from_addr", "left_semi")
         truncated |= not best.groupBy("from_addr").count().filter(F.col("count") > cfg.max_edges).isEmpty()
         expanded = frontier.select("address") if expanded is None else expanded.unionByName(frontier.select("address"))
@@ -69,13 +116,18 @@ def walk(transfers: DataFrame, labels: DataFrame, start: str, cfg: EngineConfig)
         fresh = level.join(known, level.to_addr == known.address, "left_anti").groupBy(F.col("to_addr").alias("address")).agg(F.min(F.struct("pos", "rank")).alias("at"))
         fresh = cut(fresh)
         known = cut(known.unionByName(fresh.select("address", F.lit(depth + 1).alias("depth"))))
-        n_known = known.count()
         queue = fresh.join(terminal, "address", "left_anti")
         if cfg.max_wallets is not None:
             # positions in queue order; the frontier is bounded by the limit, so one task orders it
             queue = queue.select("address", F.row_number().over(Window.orderBy("at", "address")).alias("pos"))
         else:
-            queue = queue.select("address", F.lit(0).alias("pos"))
+            so_far = kept_edges[0].select("from_addr", "to_addr")
+            for e in kept_edges[1:]:
+                so_far = so_far.unionByName(e.select("from_addr", "to_addr"))
+            fan = cut(fan_in(so_far, known))
+            floor = max(cfg.fan_in_flag, adaptive_floor(fan, cfg))
+            suspected = fan.filter(F.col("fan_in") >= floor).join(labelled, "address", "left_anti")
+            queue = queue.join(suspected, "address", "left_anti").select("address", F.lit(0).alias("pos"))
         frontier = cut(queue)
         if frontier.isEmpty():
             break

@@ -35,11 +35,12 @@ def accepted(judged: DataFrame, source: str) -> DataFrame:
 
 
 def live_only(rows: DataFrame, state: DataFrame, least_nonce: int = 25) -> DataFrame:
-    """Exchange rows must look alive on chain: no fresh contract, and some history."""
+    """Exchange rows must look alive on chain: no contract that never sent, and some history; where the
+    look-up failed (no row or no nonce) they go too."""
     s = state.select("address", "is_contract", "nonce")
     j = rows.join(s, "address", "left")
-    dead = (F.col("type") == "exchange") & F.col("nonce").isNotNull() & ((F.col("is_contract") & (F.col("nonce") == 0)) | (F.col("nonce") < least_nonce))
-    return j.filter(~F.coalesce(dead, F.lit(False))).select(*LABEL)
+    # a contract that never sent has nonce 0, which is below any least one
+    return j.filter((F.col("type") != "exchange") | (F.coalesce("nonce", F.lit(-1)) >= F.greatest(F.lit(least_nonce), F.when(F.col("is_contract"), 1).otherwise(0)))).select(*LABEL)
 
 
 def merge(existing: DataFrame, new: DataFrame) -> DataFrame:

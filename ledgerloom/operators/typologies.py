@@ -114,11 +114,15 @@ def structuring(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tain
     for name, own, other in (("structuring_fan_out", "from_addr", "to_addr"), ("structuring_fan_in", "to_addr", "from_addr")):
         per = transfers.groupBy(F.col(own).alias("wallet"), "asset", F.col(other).alias("other")).agg(F.sum("value").cast("double").alias("v"))
         per = considered(per, exempt, tainted)
-        by = per.groupBy("wallet", "asset").agg(F.count("*").alias("parties"), F.collect_list("v").alias("vs")).filter(F.col("parties") >= cfg.structure_parties)
+        by = per.groupBy("wallet", "asset").agg(F.count("*").alias("parties"), F.collect_list(F.struct("v", "other")).alias("own")).withColumn("vs", F.transform("own", lambda x: x["v"])).filter(F.col("parties") >= cfg.structure_parties)
         by = by.withColumn("group", similar_group(F.col("vs"), cfg.structure_cv)).withColumn("n", F.size("group")).filter(F.col("n") >= cfg.structure_parties)
         by = by.withColumn("cv", _spread(F.col("group"))).withColumn("mean", F.aggregate("group", F.lit(0.0), lambda s, x: s + x) / F.col("n")).filter(material(F.col("mean"), cfg))
-        ratio = 0.45 + 0.35 * F.least(F.lit(1.0), (F.col("n") - 6) / 6) + 0.20 * (1 - F.col("cv") / cfg.structure_cv)
-        parts.append(by.select(F.lit(name).alias("typology"), "wallet", "asset", F.array("wallet").alias("wallets"), strength(ratio, 35, cfg).alias("strength"), measured(parties=F.col("n"), cv=F.col("cv"), mean=F.col("mean")).alias("measure")))
+        # the counterparties whose amounts are in the group, largest first, as many as it has
+        like = F.filter("own", lambda x: F.array_contains("group", x["v"]))
+        like = F.slice(F.transform(F.array_sort(F.transform(like, lambda x: F.struct((-x["v"]).alias("v"), x["other"].alias("other")))), lambda x: x["other"]), F.lit(1), F.col("n"))
+        by = by.withColumn("wallets", F.concat(F.array("wallet"), like))
+        ratio = 0.45 + 0.35 * F.least(F.lit(1.0), (F.col("n") - cfg.structure_parties) / 6) + 0.20 * (1 - F.col("cv") / cfg.structure_cv)
+        parts.append(by.select(F.lit(name).alias("typology"), "wallet", "asset", "wallets", strength(ratio, 35, cfg).alias("strength"), measured(parties=F.col("n"), cv=F.col("cv"), mean=F.col("mean")).alias("measure")))
     return parts[0].unionByName(parts[1])
 
 

@@ -37,15 +37,29 @@ best AS (
   WHERE rank <= 25)
 """
 
-WALK = """
-walk(address, depth) AS (
-  SELECT 'w7', 0
-  UNION
-  SELECT b.to_addr, w.depth + 1 FROM walk w JOIN best b ON b.from_addr = w.address
-  WHERE w.depth < 4 AND w.address NOT IN (SELECT address FROM tags WHERE type IN ('exchange', 'mixer', 'bridge'))),
-seen AS (SELECT address, min(depth) AS depth FROM walk GROUP BY address),
-opened AS (SELECT * FROM seen WHERE depth < 4 AND address NOT IN (SELECT address FROM tags WHERE type IN ('exchange', 'mixer', 'bridge')))
-"""
+
+
+def _walk(depth: int) -> str:
+    """The walk from w7, level by level: terminal wallets and those that the edges so far make suspected
+    exchanges (fan-in at 6 and at the graph's own floor, no label) are not opened."""
+    out = ["s0 AS (SELECT 'w7' AS address, 0 AS depth)", "o0 AS (SELECT * FROM s0)"]
+    for k in range(1, depth + 1):
+        union = lambda name, first: " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(first, k + 1))  # noqa: E731, B023
+        before = " UNION ALL ".join(f"SELECT address FROM s{i}" for i in range(k))
+        out += [
+            f"e{k} AS (SELECT b.* FROM best b JOIN o{k - 1} o ON o.address = b.from_addr)",
+            f"s{k} AS (SELECT DISTINCT to_addr AS address, {k} AS depth FROM e{k} WHERE to_addr NOT IN ({before}))",
+            f"f{k} AS (SELECT w.address, count(DISTINCT e.from_addr) AS fan_in FROM ({union('s', 0)}) w LEFT JOIN ({union('e', 1)}) e ON e.to_addr = w.address AND e.from_addr <> e.to_addr GROUP BY w.address)",
+            f"l{k} AS (SELECT greatest(6, list_sort(list(fan_in))[CAST(floor(0.95 * (count(*) - 1)) AS INT) + 1]) AS f FROM f{k})",
+            f"o{k} AS (SELECT s.* FROM s{k} s JOIN f{k} USING (address), l{k} WHERE address NOT IN (SELECT address FROM tags WHERE type IN ('exchange', 'mixer', 'bridge'))"
+            " AND (fan_in < f OR address IN (SELECT address FROM tags)))",
+        ]
+    seen = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(depth + 1))
+    opened = " UNION ALL ".join(f"SELECT * FROM o{i}" for i in range(depth))
+    return ",\n".join([*out, f"seen AS ({seen})", f"opened AS ({opened})"])
+
+
+WALK = _walk(4)
 
 #: Queue positions of the FIFO replay from w7.
 FIFO = """

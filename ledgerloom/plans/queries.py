@@ -20,7 +20,7 @@ from . import oracle as O
 from .trace import Trace
 
 START = "w7"
-CFG = EngineConfig(dust_native=1000.0, dust={"USDT": 1000.0, "DAI": 1000.0}, max_wallets=None)
+CFG = EngineConfig(dust_native=1000.0, dust={"ETH": 0.01, "USDT": 1000.0, "DAI": 1000.0}, max_wallets=None, history_rows=None)
 LOOSE = CFG.with_(
     peel_dominant=0.5, peel_side=0.5, peel_links=2, peel_growth=10.0, layer_links=2, dwell_low=0, dwell_high=2_000_000_000,
     layer_ratio=(0.8, 1.25), pass_ratio=(0.8, 1.25), material_factor=10.0, structure_parties=3, structure_cv=0.3, round_digits=5, round_count=1, round_share=0.2,
@@ -67,18 +67,18 @@ def d1(spark, d):
 _HISTORY = """
 ends AS (SELECT from_addr AS wallet, CASE WHEN contract IS NULL THEN 'native' ELSE 'token' END AS kind, * FROM ledger
          UNION ALL SELECT to_addr, CASE WHEN contract IS NULL THEN 'native' ELSE 'token' END, * FROM ledger),
-hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet, kind ORDER BY block DESC, tx_index DESC, tx_hash DESC, asset, from_addr, to_addr, value) AS rn FROM ends) WHERE rn <= 20)
+hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet, kind ORDER BY block DESC, tx_index DESC, tx_hash DESC, asset, from_addr, to_addr, value) AS rn FROM ends) WHERE rn <= 1000)
 """
 
 
 @query("S1_wallet_history", O.statement("SELECT wallet, kind, tx_hash, rn FROM hist", _HISTORY))
 def s1(spark, d):
-    return src.history(ledger(spark, d), CFG.with_(history_rows=20)).select("wallet", "kind", "tx_hash", F.col("rn").cast("long").alias("rn"))
+    return src.history(ledger(spark, d), CFG.with_(history_rows=1000)).select("wallet", "kind", "tx_hash", F.col("rn").cast("long").alias("rn"))
 
 
 @query("S2_outgoing_history", O.statement("SELECT wallet, count(*) AS n, CAST(sum(value) AS DOUBLE) AS sent FROM hist WHERE from_addr = wallet GROUP BY wallet", _HISTORY))
 def s2(spark, d):
-    rows = src.history(ledger(spark, d), CFG.with_(history_rows=20)).filter("from_addr = wallet")
+    rows = src.history(ledger(spark, d), CFG.with_(history_rows=1000)).filter("from_addr = wallet")
     return rows.groupBy("wallet").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("sent"))
 
 
@@ -119,19 +119,19 @@ def s4(spark, d):
     return src.parse_tokens(raw_tokens(spark, d), src.tokens(spark)).filter("symbol is not null").select("hash", "symbol", "value", "ts")
 
 
-@query("S5_skipped_tokens", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL GROUP BY claimed", _RAW_TOKENS))
+@query("S5_skipped_tokens", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL AND from_addr IN (SELECT address FROM tags) GROUP BY claimed", _RAW_TOKENS))
 def s5(spark, d):
-    return src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), src.tokens(spark))).select("claimed", "n")
+    return src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), src.tokens(spark)), labels(spark, d)).select("claimed", "n")
 
 
-@query("A15_top_skipped", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL GROUP BY claimed ORDER BY n DESC, claimed LIMIT 8", _RAW_TOKENS))
+@query("A15_top_skipped", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL AND from_addr IN (SELECT address FROM tags) GROUP BY claimed ORDER BY n DESC, claimed LIMIT 8", _RAW_TOKENS))
 def a15(spark, d):
     return s5(spark, d).orderBy(F.desc("n"), "claimed").limit(8)
 
 
-@query("F6_impersonation", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL AND upper(claimed) IN ('USDT', 'DAI') GROUP BY claimed", _RAW_TOKENS))
+@query("F6_impersonation", O.statement("SELECT claimed, count(*) AS n FROM rawt WHERE symbol IS NULL AND from_addr IN (SELECT address FROM tags) AND upper(claimed) IN ('USDT', 'DAI') GROUP BY claimed", _RAW_TOKENS))
 def f6(spark, d):
-    return src.impersonated(src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), src.tokens(spark))), src.tokens(spark)).select("claimed", "n")
+    return src.impersonated(src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), src.tokens(spark)), labels(spark, d)), src.tokens(spark)).select("claimed", "n")
 
 
 @query("F5_followed_assets", "SELECT * FROM (VALUES (1, 'DAI,USDT'), (137, 'USDT')) t(chain_id, symbols)")
@@ -190,12 +190,16 @@ def x2(spark, d):
     return src.table(spark, d, "part").select("p_partkey", entities.slug(F.col("p_name")).alias("slug"))
 
 
-@query("X3_clean_entity", r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(a, '["'']', '', 'g'), '\s*:\s*', ': ', 'g'), '[\s_-]+\d+$', '')) AS entity,
-  regexp_matches(a, '\([A-Z0-9]{2,10}\)\s*$') OR contains(lower(a), 'token') OR contains(lower(a), 'voucher') AS token_like
-  FROM (SELECT c_custkey, '"' || c_mktsegment || ' : Desk' || CASE WHEN c_custkey % 4 = 0 THEN '" (TICK)' WHEN c_custkey % 4 = 1 THEN ' token' ELSE '_' || c_custkey END AS a FROM customer)""")
+#: Label texts of each kind; a customer has the one of its number's residue, behind its segment.
+_NAMES = ["\"%'s : Desk\" (TICK)", "'% token'", "  % ( usdt ) ", "\"\" -7", "\"%:Desk_12\"", "% 14", "'%'", "-3"]
+_NAMED = "replace(list_extract([" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "], CAST(c_custkey % 8 AS INT) + 1), '%', c_mktsegment)"
+
+
+@query("X3_clean_entity", rf"""SELECT c_custkey, CASE WHEN s = '' THEN trim(a) ELSE s END AS entity,
+  regexp_matches(a, '\(\s*\w{{2,10}}\s*\)\s*$') OR contains(lower(a), 'token') OR contains(lower(a), 'voucher') AS token_like
+  FROM (SELECT *, trim(regexp_replace(regexp_replace(trim(trim(a), '"' || chr(39)), '\s*:\s*', ': ', 'g'), '[\s_-]+\d+$', '')) AS s FROM (SELECT c_custkey, {_NAMED} AS a FROM customer))""")
 def x3(spark, d):
-    k = F.col("c_custkey")
-    a = F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit(" : Desk"), F.when(k % 4 == 0, '" (TICK)').when(k % 4 == 1, " token").otherwise(F.concat(F.lit("_"), k)))
+    a = F.replace(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % 8 + 1).cast("int")), F.lit("%"), F.col("c_mktsegment"))
     return src.table(spark, d, "customer").select("c_custkey", X.clean_entity(a).alias("entity"), X.token_like(a).alias("token_like"))
 
 
@@ -415,7 +419,7 @@ _TYPED = """
 wfan AS (SELECT w.address, count(DISTINCT e.from_addr) AS fan_in FROM seen w LEFT JOIN (SELECT b.* FROM best b JOIN opened o ON o.address = b.from_addr) e ON e.to_addr = w.address AND e.from_addr <> e.to_addr GROUP BY w.address),
 wfloor AS (SELECT greatest(6, list_sort(list(fan_in))[CAST(floor(0.95 * (count(*) - 1)) AS INT) + 1]) AS f FROM wfan),
 typed AS (SELECT address, 'known_label' AS method, entity, type, 0.95::DOUBLE AS confidence FROM seen JOIN tags USING (address)
-  UNION ALL SELECT address, 'consolidation', 'Suspected exchange', 'suspected_exchange', 0.7::DOUBLE * greatest(CASE WHEN fan_in < 4 THEN 0.0 WHEN fan_in >= 12 THEN 1.0 ELSE (fan_in - 4) / 8.0 END, 0.5)::DOUBLE
+  UNION ALL SELECT address, 'consolidation', 'Unknown exchange (consolidation pattern)', 'suspected_exchange', 0.7::DOUBLE * greatest(CASE WHEN fan_in < 4 THEN 0.0 WHEN fan_in >= 12 THEN 1.0 ELSE (fan_in - 4) / 8.0 END, 0.5)::DOUBLE
   FROM wfan, wfloor WHERE fan_in >= f AND address NOT IN (SELECT address FROM tags))
 """
 
@@ -617,10 +621,11 @@ def l2(spark, d):
     return label_feeds.rejects(label_feeds.judged_feed(feed(spark, d)))
 
 
-@query("L3_live_only", O.statement("SELECT address, entity, type FROM ok WHERE NOT (type = 'exchange' AND pos_nonce < 25)".replace("pos_nonce", "(('0x' || right(address, 4))::BIGINT % 40)"), _FEED))
+@query("L3_live_only", O.statement("SELECT address, entity, type FROM (SELECT *, ('0x' || right(address, 4))::BIGINT AS k FROM ok) WHERE type <> 'exchange' OR (k % 5 <> 0 AND k % 40 >= 25)", _FEED))
 def l3(spark, d):
     rows = label_feeds.accepted(label_feeds.judged_feed(feed(spark, d)), "feed")
-    state = spark.range(900).select(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("id")), 40, "0")).alias("address"), F.lit(False).alias("is_contract"), (F.col("id") % 40).alias("nonce"))
+    nonce = F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 3 == 0, F.least(F.col("id") % 40, F.lit(60))).otherwise(F.col("id") % 40))
+    state = spark.range(900).select(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("id")), 40, "0")).alias("address"), (F.col("id") % 2 == 0).alias("is_contract"), nonce.alias("nonce"))
     return label_feeds.live_only(rows, state).select("address", "entity", "type")
 
 
@@ -643,7 +648,10 @@ def trace(spark, d):
     return Trace(ledger(spark, d), labels(spark, d), START, CFG)
 
 
-@query("G5_termination", "SELECT 'exchange' AS termination")
+@query("G5_termination", O.statement("""SELECT CASE WHEN (SELECT count(*) FROM ledger WHERE from_addr = 'w7') = 0 THEN 'no_outgoing' WHEN (SELECT count(*) FROM clean WHERE from_addr = 'w7') = 0 THEN 'dust_only'
+  WHEN (SELECT count(*) FROM typed JOIN seen USING (address) WHERE depth > 0 AND type IN ('exchange', 'suspected_exchange')) > 0 THEN 'exchange' WHEN (SELECT count(*) FROM typed WHERE type = 'mixer') > 0 THEN 'mixer'
+  WHEN (SELECT count(*) FROM typed WHERE type = 'bridge') > 0 THEN 'bridge' WHEN (SELECT max(c) FROM (SELECT count(*) AS c FROM edge JOIN opened ON address = from_addr GROUP BY from_addr)) > 25 THEN 'truncated'
+  WHEN (SELECT max(depth) FROM seen) = 4 THEN 'depth_cap' ELSE 'no_label' END AS termination""", O.FLOWS, O.WALK, _TYPED, recursive=True))
 def g5(spark, d):
     return spark.range(1).select(F.lit(trace(spark, d).termination).alias("termination"))
 

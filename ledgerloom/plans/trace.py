@@ -68,9 +68,10 @@ class Trace:
         rows = entities.scored(rows, self.cfg)
         amounts = lambda c, name: F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", c)))).alias(name)
         got = self.hops.groupBy(F.col("to_addr").alias("address"), "asset").agg(F.sum("value").cast("double").alias("v"), F.sum("tainted").alias("t"))
-        got = got.groupBy("address").agg(amounts("v", "received"), amounts("t", "tainted"), F.sum("t").alias("any_taint"))
+        got = got.groupBy("address").agg(amounts("v", "received"), amounts("t", "tainted"), F.max(F.col("t") > 0).alias("any_taint"))
         legs = rows.select("address", F.explode(F.expr("transform(sequence(1, greatest(size(path) - 1, 1)), i -> struct(path[i - 1] as from_addr, path[i] as to_addr))")).alias("leg"))
-        doubt = legs.select("address", "leg.*").join(self.edge_taint.select("from_addr", "to_addr", "assumed"), ["from_addr", "to_addr"]).groupBy("address").agg(F.sum("assumed").alias("path_assumed"))
+        doubt = legs.select("address", "leg.*").join(self.edge_taint.select("from_addr", "to_addr", "asset", "assumed"), ["from_addr", "to_addr"]).groupBy("address", "asset").agg(F.sum("assumed").alias("a"))
+        doubt = doubt.groupBy("address").agg(amounts("a", "path_assumed"))
         return graph.cut(rows.join(got, "address", "left").join(doubt, "address", "left"))
 
     @cached_property
@@ -115,7 +116,7 @@ class Trace:
         else:
             what = max((p.received or {"ETH": 0.0}).items(), key=lambda e: (e[0] in self.cfg.native, e[1]))
             money = f"{what[1]:,.2f} {what[0]}"
-            whose = "of the suspect's funds reached" if (p.any_taint or 0) > 0 else "moved on a path that leads to"
+            whose = "of the suspect's funds reached" if p.any_taint else "moved on a path that leads to"
             text = f"{money} {whose} {p.entity}, {p.hops} hop{'s' * (p.hops != 1)}, {p.score}% confidence"
         return self.transfers.sparkSession.range(1).select(F.lit(text).alias("headline"), F.lit(p is not None and p.type == "exchange").alias("exchange_found"), F.lit(self.termination).alias("termination"))
 
@@ -129,7 +130,7 @@ class Trace:
             one(edges, "edges", ["depth", (-F.col("value")).alias("v"), "from_addr", "to_addr"]),
             one(self.attributions.drop("any_taint"), "attributions", ["hops", (-F.col("raw")).alias("v"), "address"]),
             one(self.risk, "risk_flags", ["rank", (~F.col("on_primary_path")).alias("p"), "depth", "address"]),
-            one(self.clusters, "clusters", ["hop", "cluster_id"]),
+            one(self.clusters, "clusters", ["hop", (-F.col("confidence")).alias("c"), (-F.coalesce("most", F.lit(0))).alias("v"), "cluster_id"]),
             one(typologies.reported(self.detections, self.cfg), "typologies", [(-F.col("strength")).alias("v"), "typology", "wallet", "asset"]),
             one(self.accounting, "accounting", ["rule"]),
         ]
@@ -149,7 +150,7 @@ class Trace:
         path = list(self.primary.path) if self.primary else [self.start]
         places = self.transfers.sparkSession.createDataFrame(list(enumerate(path)), "hop int, address string")
         prev = places.select((F.col("hop") + 1).alias("hop"), F.col("address").alias("previous"))
-        moved = self.hops.groupBy("from_addr", "to_addr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "value")))).alias("assets"), F.sum("tainted").alias("tainted"))
+        moved = self.hops.groupBy("from_addr", "to_addr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "value")))).alias("assets"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "tainted")))).alias("tainted"))
         rows = places.join(prev, "hop", "left").join(moved, (F.col("previous") == moved.from_addr) & (F.col("address") == moved.to_addr), "left").join(self.typed.select(F.col("address").alias("a"), "type"), F.col("address") == F.col("a"), "left")
         role = F.when(F.col("hop") == 0, "suspect").otherwise(F.coalesce("type", F.lit("intermediary")))
         return rows.select("hop", role.alias("role"), "address", F.when(F.col("hop") > 0, X.asset_list(F.col("assets"))).alias("moved"), "tainted")

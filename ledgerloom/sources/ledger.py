@@ -92,7 +92,10 @@ def parse_native(raw: DataFrame, asset: str = "ETH") -> DataFrame:
         F.col("blockNumber").try_cast("long").alias("block"),
         F.coalesce(F.col("transactionIndex").try_cast("int"), F.lit(0)).alias("tx_index"),
         F.coalesce("isError", F.lit("0")).alias("err"),
+        *([normal_address(F.col("wallet")).alias("wallet")] if "wallet" in raw.columns else []),
     )
+    if "wallet" in raw.columns:  # a history: rows that the wallet has no part in go
+        rows = rows.filter("wallet = from_addr or wallet = to_addr").drop("wallet")
     good = rows.filter("err <> '1' and value > 0 and ts is not null and block is not null and from_addr <> '' and to_addr <> '' and from_addr <> to_addr")
     return good.drop("err").withColumn("asset", F.lit(asset))
 
@@ -101,7 +104,7 @@ def parse_tokens(raw: DataFrame, allow: DataFrame) -> DataFrame:
     """Token rows with the allowlist's symbol and decimals; ``symbol`` is null for tokens not
     followed, whose claimed symbol stays for the tally.  The allowlist is a short, fixed table."""
     rows = raw.withColumn("contract", F.lower("contractAddress")).join(F.broadcast(allow), ["chain_id", "contract"], "left")
-    claimed = F.when(F.coalesce(F.trim("tokenSymbol"), F.lit("")) == "", "(unnamed token)").otherwise(F.substring("tokenSymbol", 1, 20))
+    claimed = F.when(F.coalesce(F.trim("tokenSymbol"), F.lit("")) == "", "(unnamed token)").otherwise(F.substring(F.trim("tokenSymbol"), 1, 20))
     rows = rows.select(
         "chain_id", "hash", normal_address(F.col("from")).alias("from_addr"), normal_address(F.col("to")).alias("to_addr"), "contract", "symbol",
         claimed.alias("claimed"), unit(F.col("value"), F.col("token_decimals")).alias("value"), F.col("timeStamp").try_cast("long").alias("ts"),
@@ -109,9 +112,15 @@ def parse_tokens(raw: DataFrame, allow: DataFrame) -> DataFrame:
     return rows.filter("from_addr <> to_addr and ts is not null and (symbol is null or value > 0)")
 
 
-def skipped_tokens(parsed: DataFrame) -> DataFrame:
-    """How many rows of each token not followed."""
-    return parsed.filter("symbol is null").groupBy("chain_id", "claimed").agg(F.count("*").alias("n"))
+def skipped_tokens(parsed: DataFrame, visited: DataFrame) -> DataFrame:
+    """How many rows of each token not followed the visited wallets (column address) sent."""
+    own = visited.select(F.col("address").alias("from_addr")).distinct()
+    return parsed.filter("symbol is null").join(own, "from_addr", "left_semi").groupBy("chain_id", "claimed").agg(F.count("*").alias("n"))
+
+
+def merged_histories(native: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Both streams of parsed rows as one ledger; copies stay, they are events of their own."""
+    return native.unionByName(tokens.filter("symbol is not null").withColumnRenamed("symbol", "asset").drop("claimed"), allowMissingColumns=True)
 
 
 def impersonated(skipped: DataFrame, allow: DataFrame) -> DataFrame:
@@ -122,8 +131,13 @@ def impersonated(skipped: DataFrame, allow: DataFrame) -> DataFrame:
 
 def history(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Each wallet's most recent rows of either kind, both directions, at most ``history_rows`` each."""
-    kind = F.when(F.col("contract").isNull(), "native").otherwise("token").alias("kind")
-    both = transfers.select(F.col("from_addr").alias("wallet"), kind, *transfers.columns).unionByName(transfers.select(F.col("to_addr").alias("wallet"), kind, *transfers.columns))
+    both = transfers.select(F.col("from_addr").alias("wallet"), *transfers.columns).unionByName(transfers.select(F.col("to_addr").alias("wallet"), *transfers.columns))
+    return last_rows(both, cfg)
+
+
+def last_rows(both: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """Of rows by wallet the most recent of each kind."""
+    both = both.withColumn("kind", F.when(F.col("contract").isNull(), "native").otherwise("token"))
     w = Window.partitionBy("wallet", "kind").orderBy(F.desc("block"), F.desc("tx_index"), F.desc("tx_hash"), *ORDER[4:])
     return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cfg.history_rows)
 

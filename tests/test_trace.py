@@ -35,7 +35,8 @@ def test_token_rows_follow_the_table_not_the_row(spark):
     raw = spark.createDataFrame([(1, f"h{i}", "0xa", "0xb", c, s, v, "1", d) for i, (c, v, s, d) in enumerate(rows)], "chain_id int, hash string, `from` string, `to` string, contractAddress string, tokenSymbol string, value string, timeStamp string, tokenDecimal string")
     got = src.parse_tokens(raw, src.tokens(spark))
     assert {r.symbol: r.value for r in got.filter("symbol is not null").collect()} == {"USDT": 100.0, "DAI": 5.0}
-    skipped = src.skipped_tokens(got)
+    assert src.skipped_tokens(got, spark.createDataFrame([("0xb",)], "address string")).count() == 0  # what it received
+    skipped = src.skipped_tokens(got, spark.createDataFrame([("0xa",), ("0xa",)], "address string"))
     assert {r.claimed: r.n for r in skipped.collect()} == {"USDT": 1, "(unnamed token)": 1}
     assert [r.claimed for r in src.impersonated(skipped, src.tokens(spark)).collect()] == ["USDT"]
 
