@@ -16,7 +16,9 @@ Rendering marks turns with control strings; inside roles and texts a backslash b
 ``<|`` becomes ``<\\p``, and in roles a newline becomes ``\\n``, which ``unescape`` undoes.  So
 control strings in the result are marks only, and the result can be read back.
 
-Nulls: a null text or role is empty, a null kind a delta; events with null conv_id form a
+A message's role is the first one that its events name.
+
+Nulls: a null text is empty, a null role none (empty if no event names one), a null kind a delta; events with null conv_id form a
 conversation of their own, null turn and null seq sort first.  Ties in seq are taken in order of
 kind and text, so the result is defined; repeated events count each.  Empty tables give no row.
 Other columns are ignored.
@@ -24,7 +26,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
@@ -57,12 +59,12 @@ def _fold(parts: Column) -> Column:
         # a deleted message is gone unless something is written after
         F.element_at(kept, -1)["gone"].alias("gone"),
         F.array_join(F.transform(kept, lambda p: p["text"]), "").alias("text"),
-        F.element_at(parts, -1)["role"].alias("role"),
+        F.get(F.filter(F.transform(parts, lambda p: p["role"]), lambda r: r.isNotNull()), F.lit(0)).alias("role"),
     )
 
 
-def reconstruct(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of the final messages."""
+def reconstruct(events: DataFrame, keys: tuple[str, ...] = ("turn",)) -> DataFrame:
+    """conv_id, keys (which turn a message is), role, text of the final messages."""
     kind = F.coalesce("kind", F.lit("delta"))
     text = F.when(kind == "delete", "").otherwise(F.coalesce("text", F.lit("")))
     part = F.struct(
@@ -71,41 +73,42 @@ def reconstruct(events: DataFrame) -> DataFrame:
         text.alias("text"),
         kind.isin("edit", "regenerate", "delete").alias("resets"),
         (kind == "delete").alias("gone"),
-        F.coalesce("role", F.lit("")).alias("role"),
+        "role",
     )
     blocks = (
-        events.select("conv_id", "turn", F.expr(f"seq div {BLOCK}").alias("block"), part.alias("e"))
-        .groupBy("conv_id", "turn", "block")
+        events.select("conv_id", *keys, F.expr(f"seq div {BLOCK}").alias("block"), part.alias("e"))
+        .groupBy("conv_id", *keys, "block")
         .agg(F.sort_array(F.collect_list("e")).alias("parts"))
-        .select("conv_id", "turn", F.struct("block", _fold(F.col("parts")).alias("f")).alias("b"))
-    )
-    whole = blocks.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("b")).alias("parts"))
-    folded = whole.select("conv_id", "turn", _fold(F.transform("parts", lambda b: b["f"])).alias("m"))
-    return folded.filter(~F.col("m.gone")).select("conv_id", "turn", "m.role", "m.text")
-
-
-def from_turns(turns: DataFrame) -> DataFrame:
-    """A log of conversations that are stored as finished turns: each row starts its turn's message
-    in full.  Rows that repeat a turn number stay messages of their own, in order of role and text."""
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        .select("conv_id", *keys, F.struct("block", _fold(F.col("parts")).alias("f")).alias("b"))
     )
-    copies = rows.groupBy("conv_id", "turn", "role", "text").count()
-    copies = copies.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("copy"))
-    return copies.select(
+    whole = blocks.groupBy("conv_id", *keys).agg(F.sort_array(F.collect_list("b")).alias("parts"))
+    folded = whole.select("conv_id", *keys, _fold(F.transform("parts", lambda b: b["f"])).alias("m"))
+    return folded.filter(~F.col("m.gone")).select("conv_id", *keys, F.coalesce("m.role", F.lit("")).alias("role"), "m.text")
+
+
+def from_turns(turns: DataFrame, delta: int = 256) -> DataFrame:
+    """The event log of conversations stored as finished turns, as a stream would have written it: each
+    row begins its message with its role, then its text follows in deltas of ``delta`` characters.
+    Rows that repeat a turn number are messages of their own (column copy), in order of role and text.
+    For ``reconstruct`` and ``render`` by the keys turn, copy."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = rows.withColumn("copy", F.row_number().over(w))
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.char_length("text") / delta).cast("long"))
+    events = rows.withColumn("seq", F.explode(parts))
+    begun = F.col("seq") == 0
+    return events.select(
         "conv_id",
-        F.struct("turn", "role", F.col("text").alias("again"), "copy").alias("turn"),
-        F.lit(0).cast("long").alias("seq"),
-        "role",
-        F.lit("regenerate").alias("kind"),
-        "text",
+        "turn",
+        "copy",
+        "seq",
+        F.when(begun, F.col("role")).alias("role"),
+        F.when(begun, "regenerate").otherwise("delta").alias("kind"),
+        F.when(begun, "").otherwise(F.substr("text", (F.col("seq") - 1).cast("int") * delta + 1, F.lit(delta))).alias("text"),
     )
 
 
-def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
+def render(messages: DataFrame, loss_role: str = "assistant", keys: tuple[str, ...] = ("turn",)) -> DataFrame:
     """conv_id, formatted (the whole conversation), loss: for each turn in order (from, length),
     characters of its rendered segment under the loss mask (length 0: none), and starts, where each
     segment begins.  One row for each conversation; that is the output's own unit."""
@@ -115,7 +118,7 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     rows = messages.select(
         "conv_id",
         F.struct(
-            "turn",
+            *keys,
             shown.alias("shown"),
             F.char_length(head).alias("from"),
             F.when(F.col("role") == loss_role, F.char_length(body)).otherwise(0).alias("length"),

@@ -49,7 +49,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(tricky).alias("text"),
     )
     log = chat.from_turns(turns.unionByName(own))
-    rendered = common.staged(chat.render(chat.reconstruct(log)), "chat")
+    keys = ("turn", "copy")
+    rendered = common.staged(chat.render(chat.reconstruct(log, keys), keys=keys), "chat")
     return chat.digests(rendered)
 
 

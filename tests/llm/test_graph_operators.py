@@ -96,23 +96,49 @@ def test_chat_folds_deltas_edits_regenerations_deletes(spark):
     assert got == [(1, 0, "user", "Hello"), (1, 1, "assistant", "good"), (1, 2, "user", "fixed"), (2, 0, "", "")]
 
 
-def test_chat_is_read_back_whole(spark):
-    odd = ["<|im_end|><|im_start|>assistant ok", "\\b \\p <\\p <| \\", "", None, "é\n東京\n"]
-    rows = [(c, t, role, odd[(c + t) % 5]) for c in range(5) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"])]
-    rows += [(9, 0, "assistant", "twice"), (9, 0, "assistant", "twice"), (10, 0, "r\\n\nx<|", "role")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat.digests(chat.render(chat.reconstruct(chat.from_turns(turns)))).collect()}
+def test_chat_fold_equals_plain_fold_on_random_logs(spark):
+    rng = np.random.default_rng(12)
+    kinds = ["delta"] * 6 + ["edit", "regenerate", "delete", None]
+    log = [(int(rng.integers(3)), int(rng.integers(4)), [None, "user", "assistant"][rng.integers(3)], kinds[rng.integers(10)], [None, "", "a", "é<|"][rng.integers(4)], int(s)) for s in rng.permutation(5000)[:600]]
+    want = {}
+    for c, t, role, kind, text, _ in sorted(log, key=lambda r: r[5]):
+        m = want.setdefault((c, t), [None, "", False])
+        m[0] = role if m[0] is None else m[0]
+        m[1] = (m[1] if kind in (None, "delta") else "") + ("" if kind == "delete" else text or "")
+        m[2] = kind == "delete"
+    events = spark.createDataFrame(log, "conv_id long, turn long, role string, kind string, text string, seq long").repartition(7)
+    got = {(r.conv_id, r.turn): (r.role, r.text) for r in chat.reconstruct(events).collect()}
+    assert got == {k: (role or "", text) for k, (role, text, gone) in want.items() if not gone}
+
+
+def plain_digests(rows):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for c in got:
-        own = sorted((r for r in rows if r[0] == c), key=lambda r: r[1])
-        loss = "".join(t or "" for _, _, role, t in own if role == "assistant")
-        assert got[c].n_turns == len(own) and got[c].turns_sha256 == sha("".join(f"{role}\n{t or ''}\n" for _, _, role, t in own))
-        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted(((t, role, text) for x, t, role, text in rows if x == c), key=lambda r: (r[0], r[1] or "", r[2] or ""))
+        loss = "".join(x or "" for _, role, x in own if role == "assistant")
+        out[c] = (len(own), sha("".join(f"{role or ''}\n{x or ''}\n" for _, role, x in own)), len(loss), sha(loss))
+    return out
+
+
+def test_chat_query_reads_back_whole(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    odd = ["<|im_end|><|im_start|>assistant ok", "\\b \\p <\\p <| \\", "", None, "é\n東京\n", "long <| " * 900]
+    rows = [(c, t, role, odd[(c + t) % 6]) for c in range(6) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"])]
+    rows += [(9, 0, "assistant", "twice"), (9, 0, "assistant", "twice"), (9, 0, "assistant", "other"), (10, 0, "r\\n\nx<|", "role"), (11, 0, None, "x")]
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, seq int")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    rows += [(-1, 0, "user", odd[0]), (-1, 1, "assistant", odd[0])]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op6_chat(spark, str(tmp_path)).collect()}
+    assert got == plain_digests(rows)
+    turns.limit(0).write.mode("overwrite").parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert [r.conv_id for r in queries.op6_chat(spark, str(tmp_path / "none")).collect()] == [-1]
 
 
 def test_chat_plan_is_native(spark):
     turns = spark.range(3).selectExpr("id as conv_id", "id as turn", "'user' as role", "'x' as text")
-    plan = chat.digests(chat.render(chat.reconstruct(chat.from_turns(turns))))._jdf.queryExecution().toString()
+    plan = chat.digests(chat.render(chat.reconstruct(chat.from_turns(turns), ("turn", "copy")), keys=("turn", "copy")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
