@@ -2,9 +2,7 @@
 
 Merges of a byte-level vocabulary never cross the pieces its splitting rule makes, so a piece's ids
 don't depend on its neighbours: the library encodes each different piece once (``encode_batch``), a
-worker remembers them, and a text's ids are those of its pieces in order.  Where no space follows white
-space, every space begins a piece, so the text is cut at spaces and whole stretches between them are
-remembered too.  Texts holding a special
+worker remembers them, and a text's ids are those of its pieces in order.  Texts holding a special
 token's string, or a character outside PLAIN (on which the splitting rule's Unicode tables might
 differ from the library's by version), are encoded whole by the library, and so is everything if the
 vocabulary splits in another way.
@@ -14,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
@@ -24,13 +21,10 @@ from .common import PLAIN
 
 #: The byte-level splitting rule, a fixed value of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: What a worker remembers twice so many of at most (those in use move to the younger half), and how long.
-PIECES, PIECE_LIMIT = 500_000, 48
-#: Texts encoded together.
-TEXTS = 64
+#: A worker remembers twice so many pieces at most (those in use move to the younger half), and how long.
+PIECES, PIECE_LIMIT = 400_000, 48
 
 _pieces = regex.compile(PATTERN).findall
-_space_after_space = re.compile("[\t-\r \xa0] ").search
 _loaded: dict[str, "ByteLevel"] = {}
 
 
@@ -54,18 +48,15 @@ class ByteLevel:
             spec = json.load(f)
         pre = spec["pre_tokenizer"] or {}
         self.splits = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"]
-        self.known: dict[str, bytes] = {}  # pieces
-        self.after: dict[str, bytes] = {}  # what stands between two spaces, with the first of them
-        self.old_known: dict[str, bytes] = {}
-        self.old_after: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make sure that these are in ``known``."""
+    def _learn(self, pieces: list[str]) -> None:
         if len(self.known) > PIECES:
-            self.old_known, self.known = self.known, {}
+            self.old, self.known = self.known, {}
         new = []
-        for p in pieces.difference(self.known):
-            ids = self.old_known.get(p)
+        for p in set(pieces).difference(self.known):
+            ids = self.old.get(p)
             if ids is None:
                 new.append(p)
             else:
@@ -75,46 +66,19 @@ class ByteLevel:
             made = self.lib.encode_batch_fast(part, add_special_tokens=False)
             self.known.update(zip(part, [array("I", e.ids).tobytes() for e in made]))
 
-    def _learn_after(self, stretches: set[str]) -> None:
-        """Make sure that these are in ``after``."""
-        if len(self.after) > PIECES:
-            self.old_after, self.after = self.after, {}
-        new, parts = [], []
-        for c in stretches.difference(self.after):
-            ids = self.old_after.get(c)
-            if ids is None:
-                new.append(c)
-                parts.append([" " + c] if c.isalpha() else _pieces(" " + c))
-            else:
-                self.after[c] = ids
-        self._learn(set().union(*parts))
-        known = self.known
-        self.after.update(zip(new, [known[own[0]] if len(own) == 1 else b"".join([known[p] for p in own]) for own in parts]))
-
     def encode(self, texts: list[str]):
         """Yields each text's ids as an array of 32-bit integers."""
-        for at in range(0, len(texts), TEXTS):
-            yield from self._encode(texts[at : at + TEXTS])
-
-    def _encode(self, texts: list[str]):
-        cut, by_space = [], []
         for text in texts:
-            whole = not self.splits or PLAIN(text) is None or any(s in text for s in self.specials)
-            by_space.append(not whole and _space_after_space(text) is None)
-            cut.append(None if whole else text.split(" ") if by_space[-1] else _pieces(text))
-        firsts = [_pieces(parts[0]) if spaced else parts or [] for parts, spaced in zip(cut, by_space)]
-        self._learn(set().union(*firsts))
-        begun = [b"".join([self.known[p] for p in own]) for own in firsts]
-        self._learn_after(set().union(*(parts[1:] for parts, spaced in zip(cut, by_space) if spaced)))
-        after = self.after.__getitem__
-        for text, parts, spaced, head in zip(texts, cut, by_space, begun):
-            if parts is None:
+            if not self.splits or PLAIN(text) is None or any(s in text for s in self.specials):
                 yield np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield np.frombuffer(head + b"".join(map(after, parts[1:])) if spaced else head, np.uint32)
-        for table, used in ((self.known, firsts), (self.after, [parts for parts, spaced in zip(cut, by_space) if spaced])):
-            for own in used:  # long ones aren't kept
-                if max(map(len, own), default=0) > PIECE_LIMIT:
-                    for p in own:
-                        if len(p) > PIECE_LIMIT:
-                            table.pop(p, None)
+                continue
+            pieces = _pieces(text)
+            try:
+                made = b"".join(map(self.known.__getitem__, pieces))
+            except KeyError:
+                self._learn(pieces)
+                made = b"".join(map(self.known.__getitem__, pieces))
+                for p in pieces:
+                    if len(p) > PIECE_LIMIT:
+                        self.known.pop(p, None)
+            yield np.frombuffer(made, np.uint32)

@@ -15,16 +15,18 @@ besides id and text are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytelevel import encoder
 from .common import id_and_text
 
+STARTS = "part int, part_start long"
 STORED = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Texts tokenized before a batch of ids is handed on; bounds a worker's memory.
 ROWS_A_BATCH = 256
@@ -73,7 +75,8 @@ def write_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Write the ids of all documents to folder ``out``, file order and row order ascending by id."""
+    """Write the ids of all documents to folder ``out``, file order and row order ascending by id, and
+    beside them (folder ``_starts``, which a reader of the ids does not see) where each file begins."""
     ordered = id_and_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
         ordered.mapInArrow(_tokenize(tokenizer, end_id), STORED)
@@ -86,6 +89,11 @@ def write_tokens(
         .option("parquet.dictionary.page.size", 1 << 20)
         .parquet(out)
     )
+    spark = docs.sparkSession
+    # a row for each file, from the counts' own pages: as many as the writing job had tasks
+    totals = sorted((r.part, r.n) for r in spark.read.schema(STORED).parquet(out).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    starts = accumulate([0, *(n for _, n in totals)])
+    spark.createDataFrame([(p, s) for (p, _), s in zip(totals, starts)], STARTS).coalesce(1).write.parquet(f"{out}/_starts")
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -93,9 +101,7 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     ``start``, the number of ids of all documents before.  Row groups and pages outside the range
     are skipped, columns not asked for are not read."""
     stored = spark.read.schema(STORED).parquet(path)
-    # one row for each file: as many as the writing job had tasks
-    totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    before = spark.read.schema(STARTS).parquet(f"{path}/_starts")
     rows = stored
     if low is not None:
         rows = rows.filter(F.col("doc_id") >= low)
@@ -103,7 +109,7 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
         rows = rows.filter(F.col("doc_id") <= high)
     columns = columns or ["doc_id", "start", "n_tokens", "ids"]
     rows = rows.select(*{c: 0 for c in [*columns, "part", "local_start"] if c != "start"})
-    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("part_start") + F.col("local_start")).select(*columns)
+    return rows.join(before, "part").withColumn("start", F.col("part_start") + F.col("local_start")).select(*columns)
 
 
 def with_crc(rows: DataFrame) -> DataFrame:
