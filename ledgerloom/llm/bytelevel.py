@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -19,12 +20,20 @@ import regex
 
 from .common import PLAIN
 
-#: The byte-level splitting rule, a fixed value of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A worker remembers twice so many pieces at most (those in use move to the younger half), and how long.
 PIECES, PIECE_LIMIT = 400_000, 48
 
-_pieces = regex.compile(PATTERN).findall
+
+
+def _listed(kind: str) -> str:
+    """PLAIN characters of a Unicode kind."""
+    return "".join(re.escape(c) for c in map(chr, range(0x130)) if regex.match(rf"\p{{{kind}}}", c))
+
+
+_L, _N = _listed("L"), _listed("N")
+#: The byte-level splitting rule, a fixed value of the vocabulary, with letters and digits listed, so that
+#: Python's own, faster matcher can apply it.
+_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
 _loaded: dict[str, "ByteLevel"] = {}
 
 
