@@ -24,7 +24,6 @@ from .common import PLAIN
 PIECES, PIECE_LIMIT = 400_000, 48
 
 
-
 def _listed(kind: str) -> str:
     """PLAIN characters of a Unicode kind."""
     return "".join(re.escape(c) for c in map(chr, range(0x130)) if regex.match(rf"\p{{{kind}}}", c))

@@ -72,6 +72,7 @@ def write_tokens(
     page_bytes: int = 1 << 20,
     page_rows: int = 4096,
     compression: str = "zstd",
+    zstd_level: int = 1,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -81,6 +82,7 @@ def write_tokens(
     (
         ordered.mapInArrow(_tokenize(tokenizer, end_id), STORED)
         .write.option("compression", compression)
+        .option("parquet.compression.codec.zstd.level", zstd_level)
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.page.row.count.limit", page_rows)
