@@ -202,7 +202,7 @@ def build(nodes: DataFrame, k: int = 32, trees: int = 4, chunk: int = 128, round
     return graph.select("id", "nbr", "d")
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 192, width: int = 24, seeds: int = 32) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 192, width: int = 64, seeds: int = 32) -> DataFrame:
     """q, id: the best ``beam`` nodes found for each query node (queries: q, a node's id)."""
     packs = nodes.select("id", "x")
     asked = queries.select("q").distinct().join(packs.select(F.col("id").alias("q"), F.col("x").alias("qx")), "q")
