@@ -74,6 +74,11 @@ def totals(transfers: DataFrame) -> DataFrame:
     )
 
 
+def native_total(totals: Column, native: str) -> Column:
+    """The native asset's part of a map of amounts by asset; ETH's where there is none."""
+    return F.coalesce(totals[native], totals["ETH"], F.lit(0.0))
+
+
 def fan_in(edge_rows: DataFrame, wallets: DataFrame) -> DataFrame:
     """Different third-party senders of each wallet (column address), zero kept."""
     n = edge_rows.filter("from_addr <> to_addr").groupBy(F.col("to_addr").alias("address")).agg(F.countDistinct("from_addr").alias("fan_in"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..sources.ledger import ORDER
 from .flows import dust_limit, dwell, totals
 from .graph import chains
 
@@ -147,6 +148,21 @@ def round_amounts(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, ta
     return by.select(F.lit("round_amounts").alias("typology"), "wallet", "asset", F.array("wallet").alias("wallets"), strength(0.25 + 0.35 * F.col("share"), 15, cfg).alias("strength"), measured(round=F.col("round"), share=F.col("share")).alias("measure"))
 
 
+def evidence(transfers: DataFrame, found: DataFrame, cfg: EngineConfig, each: int = 3, rounds: int = 8) -> DataFrame:
+    """wallet, asset, typology, side, place and the transfer of what supports a finding: a pass-through's first
+    ``each`` incoming and outgoing transfers, the first ``rounds`` round amounts sent."""
+    keys, parts = found.select("typology", "wallet", "asset").distinct(), []
+    for typology, side, own, shown in (("rapid_pass_through", "in", "to_addr", each), ("rapid_pass_through", "out", "from_addr", each), ("round_amounts", "out", "from_addr", rounds)):
+        rows = transfers.withColumn("wallet", F.col(own))
+        if typology == "round_amounts":
+            rows = rows.filter(significant_digits(F.col("value")) <= cfg.round_digits)
+        rows = rows.join(keys.filter(F.col("typology") == typology), ["wallet", "asset"])
+        first = Window.partitionBy("wallet", "asset").orderBy(*ORDER)
+        rows = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= shown)
+        parts.append(rows.select("typology", "wallet", "asset", F.lit(side).alias("side"), "place", "tx_hash", "from_addr", "to_addr", F.round(F.col("value").cast("double"), 8).alias("value"), "ts"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 DETECTORS = [peel_chains, layering, structuring, pass_through, round_amounts]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..config import EngineConfig
-from ..operators import entities, flows, graph, label_feeds, taint, typologies
+from ..operators import entities, flows, graph, graph_store, label_feeds, taint, typologies
 from ..sources import ledger as src
 from . import oracle as O
 from .trace import Trace
@@ -134,6 +134,29 @@ def f6(spark, d):
     return src.impersonated(src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), src.tokens(spark)), labels(spark, d)), src.tokens(spark)).select("claimed", "n")
 
 
+@query("Y3_token_note", O.statement("""SELECT CAST(sum(n) AS BIGINT) AS skipped_transfers, count(*) AS distinct_tokens, 'DAI,USDT' AS followed, string_agg(claimed || ':' || n || ':' || fake, ',' ORDER BY n DESC, claimed) FILTER (r <= 8) AS top_skipped,
+  coalesce(string_agg(claimed, ',' ORDER BY claimed) FILTER (fake), '') AS impersonated FROM (
+  SELECT claimed, count(*) AS n, upper(claimed) IN ('USDT', 'DAI') AS fake, row_number() OVER (ORDER BY count(*) DESC, claimed) AS r FROM rawt WHERE symbol IS NULL AND from_addr IN (SELECT address FROM tags) GROUP BY claimed)
+  HAVING count(*) > 0""", _RAW_TOKENS))
+def y3(spark, d):
+    allow = src.tokens(spark)
+    note = src.token_note(src.skipped_tokens(src.parse_tokens(raw_tokens(spark, d), allow), labels(spark, d)), allow, 1)
+    shown = F.transform("top_skipped", lambda x: F.concat_ws(":", x["asset"], x["transfers"].cast("string"), x["impersonating"].cast("string")))
+    return note.select("skipped_transfers", "distinct_tokens", F.array_join("followed_assets", ",").alias("followed"), F.array_join(shown, ",").alias("top_skipped"), F.array_join("impersonated_symbols", ",").alias("impersonated"))
+
+
+@query("U1_merged_histories", O.statement("""SELECT tx_hash AS hash, from_addr, to_addr, 'ETH' AS asset, CAST(CAST(value * 100 AS DECIMAL(20,0)) AS DOUBLE) / 1e18 AS value, ts FROM ledger WHERE contract IS NULL AND block % 13 <> 0 AND block % 17 <> 0 AND block % 11 <> 0
+  UNION ALL SELECT tx_hash, from_addr, to_addr, symbol, CAST(CAST(value * 100 AS DECIMAL(20,0)) AS DOUBLE) / CASE symbol WHEN 'USDT' THEN 1e6 ELSE 1e18 END, ts FROM rawt WHERE symbol IS NOT NULL""", _RAW_TOKENS))
+def u1(spark, d):
+    rows = src.merged_histories(src.parse_native(raw_native(spark, d)), src.parse_tokens(raw_tokens(spark, d), src.tokens(spark)))
+    return rows.select("hash", "from_addr", "to_addr", "asset", "value", "ts")
+
+
+@query("F12_chains", "SELECT * FROM (VALUES (1, 'ethereum', 'Ethereum', 'ETH'), (137, 'polygon', 'Polygon', 'POL'), (56, 'bnb', 'BNB Chain', 'BNB'), (42161, 'arbitrum', 'Arbitrum One', 'ETH')) t(chain_id, slug, name, native)")
+def f12(spark, d):
+    return src.chain_table(spark)
+
+
 @query("F5_followed_assets", "SELECT * FROM (VALUES (1, 'DAI,USDT'), (137, 'USDT')) t(chain_id, symbols)")
 def f5(spark, d):
     return src.tokens(spark).groupBy("chain_id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"))
@@ -263,6 +286,12 @@ def all_wallets(e):
     return e.select(F.col("from_addr").alias("address")).union(e.select("to_addr")).distinct()
 
 
+@query("F13_native_total", O.statement("SELECT to_addr AS address, coalesce(CAST(sum(value) FILTER (asset = 'DAI') AS DOUBLE), CAST(sum(value) FILTER (asset = 'ETH') AS DOUBLE), 0) AS value FROM flows GROUP BY to_addr", O.FLOWS))
+def f13(spark, d):
+    by = a3(spark, d).groupBy("address").agg(F.map_from_entries(F.collect_list(F.struct("asset", "received"))).alias("got"))
+    return by.select("address", flows.native_total(F.col("got"), "DAI").alias("value"))
+
+
 @query("A5_fan_in", O.statement("SELECT address, fan_in FROM fan", O.FLOWS, _FAN))
 def a5(spark, d):
     e = flows.edges(clean_flows(spark, d), CFG)
@@ -315,6 +344,32 @@ def j1(spark, d):
     return by.join(labels(spark, d).select("address", "entity", "type"), "address")
 
 
+@query("I5_wallet_flags", O.statement("SELECT address, type, type IN ('exchange', 'suspected_exchange') AS is_vasp, type = 'mixer' AS is_mixer, type = 'bridge' AS is_bridge FROM tags"))
+def i5(spark, d):
+    return entities.flagged(labels(spark, d)).select("address", "type", "is_vasp", "is_mixer", "is_bridge")
+
+
+#: Writes to the graph: labels first, then a review of the mixers, then every transfer.
+@query("K3_graph_wallets", O.statement("""SELECT address, coalesce(string_agg(k || '=' || v, ',' ORDER BY k), '') AS props FROM (SELECT address FROM tags UNION SELECT from_addr FROM ledger UNION SELECT to_addr FROM ledger) LEFT JOIN (
+  SELECT address, 'label' AS k, entity AS v FROM tags WHERE type <> 'mixer' UNION ALL SELECT address, 'type', CASE type WHEN 'mixer' THEN 'reviewed' ELSE type END FROM tags UNION ALL SELECT address, 'note', 'seen' FROM tags WHERE type = 'mixer') USING (address) GROUP BY address"""))
+def k3_wallets(spark, d):
+    return stored(spark, d)[0].select("address", F.array_join(F.transform(F.sort_array(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("props"))
+
+
+@query("K3_graph_transfers", O.statement("SELECT from_addr AS src, to_addr AS dst, arg_max(asset, (ts, block, tx_index, tx_hash)) AS asset, arg_max(tx_hash, (ts, block, tx_index, tx_hash)) AS tx_hash FROM ledger GROUP BY ALL"))
+def k3_transfers(spark, d):
+    return stored(spark, d)[1].select("src", "dst", F.col("props")["asset"].alias("asset"), F.col("props")["tx_hash"].alias("tx_hash"))
+
+
+def stored(spark, d):
+    tags, own, mapped = labels(spark, d), F.lit("t1").alias("trace_id"), lambda **c: F.create_map(*(x for k, v in c.items() for x in (F.lit(k), v))).alias("props")
+    seq = lambda a, b=F.lit(0).cast("long"), c=F.lit(0), h=F.lit(""): F.struct(a.cast("long").alias("a"), b.alias("b"), c.alias("c"), h.alias("h")).alias("seq")
+    old = tags.select(own, "address", seq(F.lit(0)), mapped(label=F.col("entity"), type=F.col("type")))
+    review = tags.filter("type = 'mixer'").select(own, "address", seq(F.lit(1)), mapped(type=F.lit("reviewed"), note=F.lit("seen"), label=F.lit(None).cast("string")))
+    sent = ledger(spark, d).select(own, F.col("from_addr").alias("src"), F.col("to_addr").alias("dst"), seq(F.col("ts"), F.col("block"), F.col("tx_index"), F.col("tx_hash")), mapped(asset=F.col("asset"), tx_hash=F.col("tx_hash")))
+    return graph_store.merge(old, sent.limit(0), review, sent)
+
+
 @query("J7_as_of_dwell", O.statement("SELECT wallet, asset, tx_hash, dwell FROM gaps", O.TOTALS))
 def j7(spark, d):
     return flows.dwell(ledger(spark, d)).select("wallet", "asset", "tx_hash", "dwell")
@@ -396,6 +451,12 @@ def p1(spark, d):
     return findings(spark, d).select("address", "entity", "type", "hops", F.col("score").cast("int").alias("score"))
 
 
+@query("P2_breakdown", O.statement("""SELECT c.address, array_to_string(list_filter(['method (+50)', CASE WHEN h <> 0 THEN 'hops (+' || h || ')' END, CASE WHEN m THEN 'mixer (-30)' END, CASE WHEN b THEN 'bridge (-12)' END, CASE WHEN NOT m AND NOT b THEN 'clean path (+15)' END], lambda x: x IS NOT NULL), ', ') AS breakdown
+  FROM (SELECT address, CASE WHEN hops <= 0 THEN 30 ELSE greatest(0, 30 - 7 * (hops - 1)) END AS h, list_contains(crossed, 'mixer') AS m, list_contains(crossed, 'bridge') AS b FROM crossed) c JOIN tags t ON t.address = c.address""", O.FLOWS, O.WALK, _PATHS, recursive=True))
+def p2(spark, d):
+    return findings(spark, d).select("address", entities.breakdown(F.col("components")).alias("breakdown"))
+
+
 @query("W5_attribution_order", O.statement("SELECT address, row_number() OVER (ORDER BY hops, raw DESC, address) AS place FROM scores", O.FLOWS, O.WALK, _PATHS, _SCORES, recursive=True))
 def w5(spark, d):
     # findings of one trace: a report, ordered as a whole
@@ -446,6 +507,17 @@ def c1(spark, d):
     return cl.select("cluster_id", F.array_join("members", ",").alias("members"), "hop", F.round("confidence", 6).alias("confidence"))
 
 
+@query("C4_cluster_index", O.statement("""SELECT address, arg_min(cluster_id, (named, hop, cluster_id)) AS cluster_id FROM (SELECT *, min(depth) OVER (PARTITION BY cluster_id) AS hop FROM (
+  SELECT 'label:' || lower(entity) AS cluster_id, 0 AS named, address FROM typed WHERE method = 'known_label'
+  UNION SELECT 'hub:' || t.address, 1, t.address FROM typed t WHERE method = 'consolidation'
+  UNION SELECT 'hub:' || t.address, 1, e.from_addr FROM typed t JOIN (SELECT b.* FROM best b JOIN opened o ON o.address = b.from_addr) e ON e.to_addr = t.address AND e.from_addr <> e.to_addr WHERE method = 'consolidation')
+  JOIN seen USING (address)) GROUP BY address""", O.FLOWS, O.WALK, _TYPED, recursive=True))
+def c4(spark, d):
+    w, typed = typed_walk(spark, d)
+    received = w.hops.groupBy(F.col("to_addr").alias("address"), "asset").agg(F.sum("value").alias("received"))
+    return entities.first_clusters(entities.clusters(w.wallets, typed, w.edges, received))
+
+
 @query("A14_statistics", O.statement("SELECT (SELECT count(*) FROM seen) AS nodes, (SELECT count(*) FROM best b JOIN opened o ON o.address = b.from_addr) AS edges, (SELECT max(depth) FROM seen) AS max_depth, (SELECT count(*) FROM seen JOIN tags USING (address)) AS identified", O.FLOWS, O.WALK, recursive=True))
 def a14(spark, d):
     w = walked(spark, d)
@@ -580,6 +652,15 @@ def q8(spark, d):
     return rows.select("wallet", "asset", F.col("measure")["round"].alias("round_count"), F.round(F.col("measure")["share"], 6).alias("share"))
 
 
+@query("W12_evidence", O.statement(f"""SELECT typology, wallet, asset, side, place, tx_hash FROM (SELECT *, row_number() OVER (PARTITION BY typology, wallet, asset, side ORDER BY ts, block, tx_index, tx_hash, from_addr, to_addr, value) AS place FROM (
+  SELECT 'rapid_pass_through' AS typology, h.wallet, side, l.* FROM (SELECT *, 'in' AS side, to_addr AS own FROM ledger UNION ALL SELECT *, 'out', from_addr FROM ledger) l
+  JOIN (SELECT wallet, asset FROM through WHERE {_NOT_EXEMPT} AND ratio BETWEEN 0.8 AND 1.25 AND dwell BETWEEN 0 AND 2000000000 AND received {_MATERIAL}) h ON l.own = h.wallet AND l.asset = h.asset)) WHERE place <= 3""", O.TOTALS))
+def w12(spark, d):
+    t = ledger(spark, d)
+    rows = typologies.evidence(t, typologies.pass_through(t, exempt(spark, d), LOOSE), LOOSE)
+    return rows.select("typology", "wallet", "asset", "side", F.col("place").cast("long").alias("place"), "tx_hash")
+
+
 @query("Q10_detections")
 def q10(spark, d):
     return typologies.reported(typologies.detect(ledger(spark, d), exempt(spark, d), LOOSE), LOOSE)

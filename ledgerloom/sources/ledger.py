@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import EngineConfig
+from ..config import CHAINS, EngineConfig
 
 AMOUNT = "decimal(28,8)"
 #: An event's place in time; ties are broken by every field, so the order is total up to copies.
@@ -42,6 +42,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("from_addr <> to_addr")
 
 
+def chain_table(spark: SparkSession) -> DataFrame:
+    """The chains that can be traced."""
+    return spark.createDataFrame([(i, *c) for i, c in CHAINS.items()], "chain_id int, slug string, name string, native string")
+
+
 def wallet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels by residue of the wallet's number: 0 exchange, 1 mixer, 2 bridge, 3 sanctioned."""
     kinds = F.array(*map(F.lit, ("exchange", "mixer", "bridge", "sanctioned")))
@@ -129,6 +134,27 @@ def impersonated(skipped: DataFrame, allow: DataFrame) -> DataFrame:
     return skipped.withColumn("up", F.upper("claimed")).join(F.broadcast(followed), ["chain_id", "up"], "left_semi").select("chain_id", "claimed", "n")
 
 
+def token_note(skipped: DataFrame, allow: DataFrame, chain_id: int, shown: int = 8) -> DataFrame:
+    """One row that tells which token transfers of a chain were not followed, none if all were.  Tokens that
+    bear a followed asset's symbol are no gap: their contract is another one."""
+    own = skipped.filter(F.col("chain_id") == chain_id).groupBy("chain_id", "claimed").agg(F.sum("n").alias("n"))
+    fake = impersonated(own, allow).select("claimed", F.lit(True).alias("fake"))
+    own = own.join(fake, "claimed", "left").withColumn("fake", F.coalesce("fake", F.lit(False)))
+    followed = F.array(*map(F.lit, sorted(r.symbol for r in allow.filter(F.col("chain_id") == chain_id).select("symbol").distinct().collect())))
+    top = own.orderBy(F.desc("n"), "claimed").limit(shown).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "claimed", "n", "fake"))).alias("top"))
+    counts = own.agg(F.sum("n").alias("skipped_transfers"), F.count("*").alias("distinct_tokens"), F.max("fake").alias("any_fake")).filter("distinct_tokens > 0")
+    # claimed symbols that equal a followed one in upper case: few spellings of few symbols
+    fakes = own.filter("fake").agg(F.sort_array(F.collect_set("claimed")).alias("impersonated_symbols"))
+    rows = counts.join(F.broadcast(top)).join(F.broadcast(fakes))  # a row each
+    return rows.select(
+        "skipped_transfers", "distinct_tokens", followed.cast("array<string>").alias("followed_assets"),
+        F.transform("top", lambda x: F.struct(x["claimed"].alias("asset"), x["n"].alias("transfers"), x["fake"].alias("impersonating"))).alias("top_skipped"),
+        "impersonated_symbols",
+        F.lit("Tokens that are not on the list of followed ones were left out. Most are unasked-for spam, but a real trail in one of them would be missed too.").alias("reason"),
+        F.when(F.col("any_fake"), F.concat(F.lit("Refused, not missed: these names are borne by contracts other than the real asset's: "), F.array_join("impersonated_symbols", ", "))).alias("impersonation_note"),
+    )
+
+
 def history(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Each wallet's most recent rows of either kind, both directions, at most ``history_rows`` each."""
     both = transfers.select(F.col("from_addr").alias("wallet"), *transfers.columns).unionByName(transfers.select(F.col("to_addr").alias("wallet"), *transfers.columns))
