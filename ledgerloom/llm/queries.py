@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, language, packing, pii, quality, simhash, token_output, toxicity
+from . import ann, bpe, chat, common, language, merkle, packing, pii, quality, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (hash_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"), merkle.newlines_gone)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
