@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, language, merkle, packing, pii, quality, simhash, token_output, toxicity
+from . import ann, bpe, chat, common, language, merkle, oracle, packing, pii, quality, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -106,4 +106,5 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id""",
+    "op11_merkle": oracle.merkle(),
 }
