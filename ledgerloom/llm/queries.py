@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, language, merkle, oracle, packing, pii, quality, simhash, token_output, toxicity
+from . import ann, bpe, chat, common, language, merkle, oracle, packing, pii, quality, setsketch, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_quality": op2_quality,
@@ -91,6 +95,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op13_setsketch": op13_setsketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
