@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, common, language, merkle, oracle, packing, pii, quality, setsketch, simhash, token_output, toxicity
+from . import ann, bpe, chat, common, language, lexical, merkle, oracle, packing, pii, quality, setsketch, simhash, token_output, toxicity
 from .common import hash_mod, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +79,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_language": op10_language,
     "op11_merkle": op11_merkle,
+    "op12_lexical": op12_lexical,
     "op13_setsketch": op13_setsketch,
 }
 
@@ -112,4 +117,6 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM shown GROUP BY conv_id""",
     "op11_merkle": oracle.merkle(),
+    "op12_lexical": oracle.LEXICAL,
+    "op13_setsketch": oracle.near_sets(),
 }
