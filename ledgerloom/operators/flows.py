@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.ledger import ORDER
+from .ordering import Ranges
 
 
 def dust_limit(asset: Column, cfg: EngineConfig, native_override: bool = True) -> Column:
@@ -74,11 +75,6 @@ def totals(transfers: DataFrame) -> DataFrame:
     )
 
 
-def native_total(totals: Column, native: str) -> Column:
-    """The native asset's part of a map of amounts by asset; ETH's where there is none."""
-    return F.coalesce(totals[native], totals["ETH"], F.lit(0.0))
-
-
 def fan_in(edge_rows: DataFrame, wallets: DataFrame) -> DataFrame:
     """Different third-party senders of each wallet (column address), zero kept."""
     n = edge_rows.filter("from_addr <> to_addr").groupBy(F.col("to_addr").alias("address")).agg(F.countDistinct("from_addr").alias("fan_in"))
@@ -108,11 +104,19 @@ def consolidation_score(n: Column, cfg: EngineConfig) -> Column:
 
 
 def dwell(transfers: DataFrame) -> DataFrame:
-    """As-of: each departure with the wallet's last arrival of that asset at or before it."""
-    ins = transfers.select(F.col("to_addr").alias("wallet"), "asset", "ts", F.lit(0).alias("out"), "tx_hash")
+    """As-of: each departure with the wallet's last arrival of that asset at or before it.  The running
+    maximum goes over ranges of a wallet's time."""
+    ins = transfers.select(F.col("to_addr").alias("wallet"), "asset", "ts", F.lit(0).alias("out"), F.lit(None).cast("string").alias("tx_hash"))
     outs = transfers.select(F.col("from_addr").alias("wallet"), "asset", "ts", F.lit(1).alias("out"), "tx_hash")
-    w = Window.partitionBy("wallet", "asset").orderBy("ts", "out").rowsBetween(Window.unboundedPreceding, 0)
-    seen = ins.unionByName(outs).withColumn("arrived", F.max(F.when(F.col("out") == 0, F.col("ts"))).over(w))
+
+    def local(rows, run, place):
+        return rows.withColumn("arrived", F.max(F.when(F.col("out") == 0, F.col("ts"))).over(run))
+
+    def carry(table, before, whole):
+        return table.withColumn("before_", F.max("last").over(before))
+
+    seen = Ranges(ins.unionByName(outs), ["wallet", "asset"], ["ts", "out"], local).carried([F.max("arrived").alias("last")], carry)
+    seen = seen.withColumn("arrived", F.coalesce("arrived", "before_"))
     return seen.filter("out = 1 and arrived is not null").select("wallet", "asset", "tx_hash", "ts", (F.col("ts") - F.col("arrived")).alias("dwell"))
 
 

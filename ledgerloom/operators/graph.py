@@ -9,21 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.ledger import last_rows
+from .checkpoints import cut
 from .flows import edges as edges_of
 from .flows import adaptive_floor, fan_in, flow_assets, not_dust, ranked
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the cluster's shared checkpoint folder (a local one only if none is named)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or "/tmp/ledgerloom-checkpoints")
-    return df.checkpoint()
-
-
 @dataclass
 class Walk:
     wallets: DataFrame  # address, depth, expanded

@@ -1,42 +1,83 @@
-"""Exact places in a total order, with no group's rows in one task.
+"""Exact places and running values in a total order, with no group's rows in one task.
 
-A window that numbers a whole table, or a group that holds a third of it, runs in one task.  Here rows are
-dealt into ranges of the order, numbered within their range and group, and moved up by what stands in the
-ranges before: a table of a row for each range and group that has rows, so of partitions + groups rows.
+A window over a whole table, or over a group that holds a third of it, runs in one task.  Here rows are
+dealt into ranges of (group, order), a window runs within each range and group, and what stands in a group's
+ranges before is carried over.  Only groups that reach over a range's border need that: a border is
+within one group, so they have at most twice as many (group, range) pairs as there are ranges, and that table
+may be broadcast whatever the data.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut
+from .checkpoints import cut
+
+
+class Ranges:
+    """rows in ranges of ``group`` (columns) and ``order``, with what ``local(rows, run, place)`` adds by the
+    windows ``run`` (all rows of the range and group up to this one) and ``place`` (the order alone).
+    Rows equal in ``order`` share a range and come in any order; the result is cut, so they stay in it."""
 
+    def __init__(self, rows: DataFrame, group: list[str], order: list[str | Column], local: Callable[..., DataFrame], parts: int | None = None):
+        keys = [F.col(c) if isinstance(c, str) else c for c in order]
+        n = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = rows.repartitionByRange(n, *map(F.col, group), *keys).withColumn("range_", F.spark_partition_id())
+        place = Window.partitionBy("range_", *group).orderBy(*keys)
+        self.group = group
+        self.rows = cut(local(dealt, place.rowsBetween(Window.unboundedPreceding, 0), place))
 
-def ranges(rows: DataFrame, keys: list[Column], parts: int | None = None) -> DataFrame:
-    """rows in ranges of ``keys``, the range's number in ``range_``; equal keys share a range.  Cut, so that
-    the ranges stay as they are if a task runs again."""
-    spark = rows.sparkSession
-    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return cut(rows.repartitionByRange(n, *keys).withColumn("range_", F.spark_partition_id()))
+    def carried(self, own: list[Column], carry: Callable[..., DataFrame]) -> DataFrame:
+        """rows, and beside them the columns that ``carry(table, before, whole)`` makes of a table of the
+        aggregates ``own`` of each range and group; null for a group that stands in one range.  Windows:
+        ``before`` has the group's ranges before this one, ``whole`` all of them."""
+        by = self.rows.groupBy("range_", *self.group).agg(*own)
+        many = Window.partitionBy(*self.group)
+        spans = by.withColumn("spans_", F.count("*").over(many)).filter("spans_ > 1").drop("spans_")
+        at = many.orderBy("range_")
+        table = carry(spans, at.rowsBetween(Window.unboundedPreceding, -1), many)
+        new = [c for c in table.columns if c not in ("range_", *self.group) and c not in by.columns]
+        same = F.col("a.range_") == F.col("b.range_")
+        for c in self.group:
+            same &= F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+        out = self.rows.alias("a").join(F.broadcast(table.select("range_", *self.group, *new)).alias("b"), same, "left")
+        return out.select(*(F.col(f"a.`{c}`") for c in self.rows.columns if c != "range_"), *(F.col(f"b.{c}") for c in new))
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str | Column], place: str = "place", size: str | None = None, parts: int | None = None) -> DataFrame:
-    """rows with their ``place`` (from 0) in ``order`` within ``group`` (columns; none: the whole table) and,
-    if named, their group's ``size``.  Rows that are equal in ``order`` are numbered in any order: name
-    enough columns, or cut the result before it is used twice.  Null is a group, and sorts first."""
-    keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = ranges(rows, [*map(F.col, group), *keys], parts)
-    by = dealt.groupBy(*group, "range_").agg(F.count("*").alias("own_"))
-    # a group's ranges are at most as many as there are partitions
-    before = Window.partitionBy(*group).orderBy("range_")
-    whole = Window.partitionBy(*group)
-    by = by.select("range_", *group, (F.sum("own_").over(before) - F.col("own_")).alias("before_"), F.sum("own_").over(whole).alias("size_"))
-    inner = Window.partitionBy("range_", *group).orderBy(*keys)
-    out = dealt.withColumn("row_", F.row_number().over(inner))
-    same = F.col("a.range_") == F.col("b.range_")
-    for c in group:
-        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    out = out.alias("a").join(by.alias("b"), same)
-    more = [] if size is None else [F.col("b.size_").alias(size)]
-    return out.select(*(F.col(f"a.`{c}`") for c in rows.columns), (F.col("a.row_") - 1 + F.col("b.before_")).cast("long").alias(place), *more)
+    """rows with their ``place`` (from 0) in ``order`` within ``group`` (none: the whole table) and, if named,
+    their group's ``size``.  Rows equal in ``order`` are numbered in any order.  Null is a group, and sorts first."""
+    whole = Window.partitionBy("range_", *group)
+
+    def local(dealt, run, at):
+        return dealt.withColumn("row_", F.row_number().over(at)).withColumn("own_", F.count("*").over(whole))
+
+    def carry(table, before, all_):
+        return table.withColumn("before_", F.sum("n_").over(before)).withColumn("size_", F.sum("n_").over(all_))
+
+    out = Ranges(rows, group, order, local, parts).carried([F.count("*").alias("n_")], carry)
+    more = [] if size is None else [F.coalesce("size_", "own_").alias(size)]
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("row_") - 1 + F.coalesce("before_", F.lit(0))).cast("long").alias(place), *more)
+
+
+def medians(rows: DataFrame, group: list[str], value: str, median: str, count: str) -> DataFrame:
+    """Exact median of ``value`` and number of rows of each group: rows are counted by value, the counts
+    summed up in order of value, and the middle ones picked."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n_"))
+    whole = Window.partitionBy("range_", *group)
+
+    def local(dealt, run, at):
+        return dealt.withColumn("upto_", F.sum("n_").over(run)).withColumn("all_", F.sum("n_").over(whole))
+
+    def carry(table, before, all_):
+        return table.withColumn("before_", F.sum("sum_").over(before)).withColumn("total_", F.sum("sum_").over(all_))
+
+    out = Ranges(counts, group, [value], local).carried([F.sum("n_").alias("sum_")], carry)
+    out = out.withColumn("upto_", F.col("upto_") + F.coalesce("before_", F.lit(0))).withColumn("total_", F.coalesce("total_", "all_"))
+    holds = lambda at: (F.col("upto_") - F.col("n_") <= at) & (at < F.col("upto_"))
+    low, high = holds(F.expr("(total_ - 1) div 2")), holds(F.expr("total_ div 2"))
+    picked = out.filter(low | high).groupBy(*group).agg(F.max(F.when(low, F.col(value))).alias("a_"), F.max(F.when(high, F.col(value))).alias("b_"), F.max("total_").alias(count))
+    return picked.select(*group, ((F.col("a_").cast("double") + F.col("b_").cast("double")) / 2).alias(median), count)

@@ -5,7 +5,7 @@ is S = max(0, running max of O - I).  A debit eats the queue's stretch [O' - S',
 it), a credit fills [I', I).  Cutting both into common stretches gives the draws.  A lot's taint is
 spread evenly, so a debit's taint is the sum over its draws of amount / credit * the credit's taint: a
 linear system that ends in as many rounds as the longest chain of draws.  What is left after a number of
-rounds is solved in event order.
+rounds is solved by doubling the draws.
 """
 
 from __future__ import annotations
@@ -14,98 +14,122 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ledger import ORDER
-from .graph import cut
+from .checkpoints import cut
+from .ordering import Ranges
 
 MONEY = "decimal(38,8)"
 
 
 def events(transfers: DataFrame) -> DataFrame:
     """Transfers with an id of their own: equal rows are numbered."""
-    w = Window.partitionBy(*ORDER).orderBy(F.lit(1))
-    rows = transfers.withColumn("copy", F.row_number().over(w))
+    w = Window.partitionBy("tx_hash").orderBy(*(c for c in ORDER if c != "tx_hash"))
+    rows = transfers.withColumn("copy", F.row_number().over(w) - F.rank().over(w) + 1)
     return rows.withColumn("event", F.concat_ws("|", "ts", "block", "tx_index", "tx_hash", "asset", "from_addr", "to_addr", F.col("value").cast("string"), "copy"))
 
 
 def positions(ev: DataFrame, start: str) -> DataFrame:
-    """Each event at its wallets: the stretch of the queue it eats or fills, and its shortfall."""
+    """Each event at its wallets: the stretch of the queue it eats or fills, and its shortfall.  Running
+    sums and the running maximum go over ranges of a wallet's time, so a hot wallet is many tasks' work."""
     keys = [F.col(c) for c in ORDER] + [F.col("copy")]
     cols = ["event", "asset", "value"]
     debit = ev.filter(F.col("from_addr") != start).select(F.col("from_addr").alias("wallet"), *cols, F.struct(*keys).alias("at"), F.lit(1).alias("out"))
     credit = ev.select(F.col("to_addr").alias("wallet"), *cols, F.struct(*keys).alias("at"), F.lit(0).alias("out"))
-    w = Window.partitionBy("wallet", "asset").orderBy("at", "out").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.col("value").cast(MONEY)
-    rows = debit.unionByName(credit)
-    rows = rows.withColumn("o", F.sum(F.when(F.col("out") == 1, value).otherwise(0)).over(w)).withColumn("i", F.sum(F.when(F.col("out") == 0, value).otherwise(0)).over(w))
-    rows = rows.withColumn("s", F.greatest(F.max(F.col("o") - F.col("i")).over(w), F.lit(0).cast(MONEY)))
-    prior = Window.partitionBy("wallet", "asset").orderBy("at", "out")
-    rows = rows.withColumn("s0", F.coalesce(F.lag("s").over(prior), F.lit(0).cast(MONEY)))
+    value, zero = F.col("value").cast(MONEY), F.lit(0).cast(MONEY)
     is_out = F.col("out") == 1
+
+    def local(rows, run, place):
+        rows = rows.withColumn("o", F.sum(F.when(is_out, value).otherwise(zero)).over(run)).withColumn("i", F.sum(F.when(is_out, zero).otherwise(value)).over(run))
+        rows = rows.withColumn("d", F.max(F.col("o") - F.col("i")).over(run))
+        return rows.withColumn("d0", F.lag("d").over(place)).drop("at")
+
+    def carry(table, before, whole):
+        table = table.withColumn("o_", F.coalesce(F.sum("o").over(before), zero)).withColumn("i_", F.coalesce(F.sum("i").over(before), zero))
+        return table.withColumn("d_", F.max(F.col("o_") - F.col("i_") + F.col("d")).over(before))
+
+    own = [F.max(c).alias(c) for c in ("o", "i", "d")]  # sums never fall, so the last is the largest
+    rows = Ranges(debit.unionByName(credit), ["wallet", "asset"], ["at", "out"], local).carried(own, carry)
+    o_, i_, d_ = (F.coalesce(c, zero) for c in ("o_", "i_", "d_"))
+    s = F.greatest(zero, d_, o_ - i_ + F.col("d"))
+    s0 = F.greatest(zero, d_, o_ - i_ + F.col("d0"))  # greatest leaves out the null of a range's first row
+    rows = rows.select("wallet", "asset", "event", "value", "out", (o_ + F.col("o")).alias("o"), (i_ + F.col("i")).alias("i"), s.alias("s"), s0.alias("s0"))
     return rows.select(
         "wallet", "asset", "event", "value", "out",
         F.when(is_out, F.col("o") - value - F.col("s0")).otherwise(F.col("i") - value).alias("lo"),
         F.when(is_out, F.col("o") - F.col("s")).otherwise(F.col("i")).alias("hi"),
-        F.when(is_out, F.col("s") - F.col("s0")).otherwise(F.lit(0).cast(MONEY)).alias("shortfall"),
+        F.when(is_out, F.col("s") - F.col("s0")).otherwise(zero).alias("shortfall"),
     )
 
 
 def draws(pos: DataFrame) -> DataFrame:
-    """debit, credit, amount, credit_value: common stretches, by one sweep (no pair of debit and
-    credit is made but those that overlap)."""
+    """debit, credit, amount, credit_value: common stretches, by one sweep over ranges of the queue (no pair
+    of debit and credit is made but those that overlap)."""
     p = pos.filter("hi > lo")
     is_out = F.col("out") == 1
-    debit = lambda c: F.when(is_out, F.col(c))
-    credit = lambda c: F.when(~is_out, F.col(c))
-    points = p.select("wallet", "asset", "lo", debit("event").alias("d"), debit("hi").alias("d_hi"), credit("event").alias("c"), credit("hi").alias("c_hi"), credit("value").alias("c_value"))
-    points = points.groupBy("wallet", "asset", "lo").agg(*[F.max(c).alias(c) for c in ("d", "d_hi", "c", "c_hi", "c_value")])
-    w = Window.partitionBy("wallet", "asset").orderBy("lo")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c: F.last(c, ignorenulls=True).over(run).alias(c)
-    now = points.select("wallet", "asset", "lo", F.lead("lo").over(w).alias("next"), *[last(c) for c in ("d", "d_hi", "c", "c_hi", "c_value")])
-    hi = F.least(F.coalesce("next", F.col("d_hi")), "d_hi", "c_hi")
-    return now.filter("d is not null and c is not null").withColumn("amount", hi - F.col("lo")).filter("amount > 0").select("wallet", "asset", F.col("d").alias("debit"), F.col("c").alias("credit"), "amount", F.col("c_value").alias("credit_value"))
-
-
-def in_order(ev: DataFrame, drawn: DataFrame, seeds: DataFrame) -> DataFrame:
-    """event, t: what follows from the seeds (event, t) along the draws, the seeds themselves not counted.
-    One pass in event order for each asset, since a debit draws on earlier credits alone.  A worker holds
-    the tainted lots that later debits still draw on and no more; each asset is one task's."""
-    place = ev.select("event", F.struct(*[F.col(c) for c in ORDER], F.col("copy")).alias("at"))
-    assets = seeds.join(ev.select("event", "asset"), "event").select("asset").distinct()
-    rows = drawn.join(assets, "asset", "left_semi").join(place.withColumnRenamed("event", "debit"), "debit")
-    last = F.lead("at").over(Window.partitionBy("credit").orderBy("at")).isNull()
-    rows = rows.select("asset", "at", "debit", "credit", "w", last.alias("last"))
-    own = seeds.join(ev.select("event", "asset"), "event").join(place, "event")
-    rows = rows.unionByName(own.select("asset", "at", F.col("event").alias("debit"), F.lit(None).cast("string").alias("credit"), F.col("t").alias("w"), F.lit(False).alias("last")))
-    later = drawn.select(F.col("credit").alias("debit")).distinct().withColumn("later", F.lit(True))
-    rows = rows.join(later, "debit", "left").withColumn("later", F.coalesce("later", F.lit(False)))
-    rows = rows.repartition("asset").sortWithinPartitions("asset", "at").select("debit", "credit", "w", "last", "later")
-
-    def run(batches):
-        import pyarrow as pa
-
-        held: dict[str, float] = {}
-        for b in batches:
-            events, found = [], []
-            for debit, credit, w, last, later in zip(*(b.column(i).to_pylist() for i in range(5))):
-                t = w
-                if credit is not None:
-                    t = w * held.get(credit, 0.0)
-                    if last:
-                        held.pop(credit, None)
-                    if t:
-                        events.append(debit)
-                        found.append(t)
-                if t and later:
-                    held[debit] = held.get(debit, 0.0) + t
-            yield pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(found, pa.float64())], names=["event", "t"])
-
-    return rows.mapInArrow(run, "event string, t double")
-
-
-def taint(ev: DataFrame, drawn: DataFrame, start: str, max_rounds: int = 64) -> DataFrame:
+    debit = F.when(is_out, F.struct(F.col("event").alias("id"), "hi"))
+    credit = F.when(~is_out, F.struct(F.col("event").alias("id"), "hi", "value"))
+    points = p.groupBy("wallet", "asset", "lo").agg(F.max(debit).alias("d"), F.max(credit).alias("c"))
+
+    def local(rows, run, place):
+        last = lambda c: F.last(c, ignorenulls=True).over(run)
+        return rows.withColumn("next", F.lead("lo").over(place)).withColumn("d", last("d")).withColumn("c", last("c"))
+
+    def carry(table, before, whole):
+        table = table.withColumn("d_", F.last("d", ignorenulls=True).over(before)).withColumn("c_", F.last("c", ignorenulls=True).over(before))
+        return table.withColumn("next_", F.lead("first").over(whole.orderBy("range_")))
+
+    own = [F.max_by("d", "lo").alias("d"), F.max_by("c", "lo").alias("c"), F.min("lo").alias("first")]
+    now = Ranges(points, ["wallet", "asset"], ["lo"], local).carried(own, carry)
+    now = now.select("wallet", "asset", "lo", F.coalesce("next", "next_").alias("next"), F.coalesce("d", "d_").alias("d"), F.coalesce("c", "c_").alias("c"))
+    hi = F.least("next", "d.hi", "c.hi")  # the last point has no next
+    now = now.filter("d is not null and c is not null").withColumn("amount", hi - F.col("lo")).filter("amount > 0")
+    return now.select("wallet", "asset", F.col("d.id").alias("debit"), F.col("c.id").alias("credit"), "amount", F.col("c.value").alias("credit_value"))
+
+
+def doubled(weight: DataFrame, seeds: DataFrame, fill: int = 8) -> DataFrame:
+    """event, t: the seeds (event, t) and all that follows from them along the draws weight (debit, credit, w).
+
+    Chains of draws may be of any length, so draws are composed: after k rounds a table holds the draws over
+    2^k steps and the sum the first 2^k steps' taint.  Where queues mix, composed draws grow in number; once
+    they are more than ``fill`` times the first ones, or none are left, the rest goes on in strides of that
+    length.  Joins and sums alone; the draws of one asset are all tasks' work."""
+    own = lambda v: v.groupBy("event").agg(F.sum("t").alias("t"))
+    step = lambda m, v: m.join(v, m.credit == v.event).groupBy(F.col("debit").alias("event")).agg(F.sum(F.col("w") * F.col("t")).alias("t"))
+    jump, first, total = weight, weight.count(), seeds
+    while True:
+        more = cut(step(jump, total))
+        if more.isEmpty():
+            return total
+        total = cut(own(total.unionByName(more)))
+        far = jump.alias("x").join(jump.alias("y"), F.col("x.credit") == F.col("y.debit"))
+        far = cut(far.groupBy("x.debit", "y.credit").agg(F.sum(F.col("x.w") * F.col("y.w")).alias("w")))
+        n = far.count()
+        if not n:
+            return total
+        jump = far
+        if n > fill * first:
+            break
+    parts, now = [total], total
+    while True:
+        now = cut(step(jump, now))
+        if now.isEmpty():
+            break
+        parts.append(now)
+        if len(parts) > 32:
+            parts = [cut(own(_union(parts)))]
+    return own(_union(parts))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def taint(ev: DataFrame, drawn: DataFrame, start: str, max_rounds: int = 16, fill: int = 8) -> DataFrame:
     """event, tainted: everything the start sends is its own; the rest follows the draws.  Chains of draws
-    longer than ``max_rounds`` are followed to their end in event order, without rounds."""
-    weight = drawn.select("asset", "debit", "credit", (F.col("amount").cast("double") / F.col("credit_value").cast("double")).alias("w"))
+    longer than ``max_rounds`` are followed to their end by ``doubled``."""
+    weight = drawn.select("debit", "credit", (F.col("amount").cast("double") / F.col("credit_value").cast("double")).alias("w"))
     weight = cut(weight)
     now = cut(ev.filter(F.col("from_addr") == start).select("event", F.col("value").cast("double").alias("t")))
     parts = [now]
@@ -115,11 +139,8 @@ def taint(ev: DataFrame, drawn: DataFrame, start: str, max_rounds: int = 64) ->
             break
         parts.append(now)
     else:
-        parts.append(cut(in_order(ev, weight, now)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("event").agg(F.sum("t").alias("tainted"))
+        parts[-1] = doubled(weight, now, fill)
+    return _union(parts).groupBy("event").agg(F.sum("t").alias("tainted"))
 
 
 def edge_taint(ev: DataFrame, pos: DataFrame, tainted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..config import EngineConfig
 from ..sources.ledger import ORDER
 from .flows import dust_limit, dwell, totals
 from .graph import chains
+from .ordering import medians
 
 COLUMNS = ["typology", "wallet", "asset", "wallets", "strength", "measure"]
 
@@ -70,7 +71,7 @@ def peel_chains(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tain
 
 def flow_through(transfers: DataFrame) -> DataFrame:
     """Per wallet and asset: totals, ratio passed on, median dwell."""
-    gaps = dwell(transfers).groupBy("wallet", "asset").agg(F.median("dwell").alias("dwell"), F.count("*").alias("pairs"))
+    gaps = medians(dwell(transfers), ["wallet", "asset"], "dwell", "dwell", "pairs")
     rows = totals(transfers).filter("sent > 0 and received > 0").join(gaps, ["wallet", "asset"])
     return rows.withColumn("ratio", F.col("sent").cast("double") / F.col("received").cast("double"))
 

@@ -79,9 +79,14 @@ pos AS (
   SELECT wallet, asset, event, value, out,
          CASE WHEN out = 1 THEN o - value - s0 ELSE i - value END AS lo, CASE WHEN out = 1 THEN o - s ELSE i END AS hi,
          CASE WHEN out = 1 THEN s - s0 ELSE 0 END AS shortfall FROM prior),
+points AS (
+  SELECT wallet, asset, lo, max((event, hi)) FILTER (out = 1) AS d, max((event, hi, value)) FILTER (out = 0) AS c FROM pos WHERE hi > lo GROUP BY ALL),
+sweep AS (
+  SELECT wallet, asset, lo, lead(lo) OVER w AS next, last_value(d IGNORE NULLS) OVER r AS d, last_value(c IGNORE NULLS) OVER r AS c
+  FROM points WINDOW w AS (PARTITION BY wallet, asset ORDER BY lo), r AS (PARTITION BY wallet, asset ORDER BY lo ROWS UNBOUNDED PRECEDING)),
 draws AS (
-  SELECT d.wallet, d.asset, d.event AS debit, c.event AS credit, least(d.hi, c.hi) - greatest(d.lo, c.lo) AS amount, c.value AS credit_value
-  FROM pos d JOIN pos c ON d.wallet = c.wallet AND d.asset = c.asset AND d.out = 1 AND c.out = 0 AND d.lo < c.hi AND c.lo < d.hi AND d.hi > d.lo)
+  SELECT wallet, asset, d[1] AS debit, c[1] AS credit, least(coalesce(next, d[2]), d[2], c[2]) - lo AS amount, c[3] AS credit_value
+  FROM sweep WHERE d IS NOT NULL AND c IS NOT NULL AND least(coalesce(next, d[2]), d[2], c[2]) > lo)
 """
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..config import EngineConfig
-from ..operators import entities, flows, graph, graph_store, label_feeds, taint, typologies
+from ..operators import entities, flows, graph, graph_store, label_feeds, ordering, taint, typologies
 from ..sources import ledger as src
 from . import oracle as O
 from .trace import Trace
@@ -316,7 +316,7 @@ def a12(spark, d):
 
 @query("A13_median_dwell", O.statement("SELECT wallet, asset, median(dwell) AS dwell, count(*) AS pairs FROM gaps GROUP BY ALL", O.TOTALS))
 def a13(spark, d):
-    return flows.dwell(ledger(spark, d)).groupBy("wallet", "asset").agg(F.median("dwell").alias("dwell"), F.count("*").alias("pairs"))
+    return ordering.medians(flows.dwell(ledger(spark, d)), ["wallet", "asset"], "dwell", "dwell", "pairs")
 
 
 @query("A16_tie_broken", O.statement("""SELECT asset, CAST(sum(value) AS DOUBLE) AS value, count(*) AS events FROM (SELECT DISTINCT asset, tx_hash, value FROM (

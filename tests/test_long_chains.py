@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph, taint
 from tests.books import book
@@ -20,7 +21,25 @@ def test_taint_passed_back_and_forth_is_followed_to_its_end(spark):
         assert got[a, b, "ETH"][1:] == pytest.approx((float(t), float(short)), abs=1e-6)
 
 
-def test_rest_in_event_order_equals_the_queue(spark):
+def test_ten_thousand_draws_in_a_row(spark):
+    """A chain of 10,000 draws of one asset: few rounds, no task that takes the asset whole."""
+    n = 10_000
+    weight = spark.range(1, n + 1).select(F.concat(F.lit("e"), F.col("id")).alias("debit"), F.concat(F.lit("e"), F.col("id") - 1).alias("credit"), F.lit(1.0).alias("w"))
+    got = taint.doubled(weight.repartition(4), spark.createDataFrame([("e0", 7.0)], "event string, t double"))
+    assert got.count() == n + 1 and got.filter("abs(t - 7) < 1e-9").count() == n + 1
+
+
+def test_mixed_queues_go_on_in_strides(spark):
+    rows = [("S", "A", 100, 0), ("S", "B", 70, 0)] + [("AB"[i % 2], "BA"[i % 2], 30 + 7 * i % 41, i + 1) for i in range(400)]
+    ev = taint.events(book(spark, rows))
+    pos = taint.positions(ev, "S")
+    t = taint.taint(ev, taint.draws(pos), "S", max_rounds=4, fill=2)
+    got = {(r.from_addr, r.to_addr): r.tainted for r in taint.edge_taint(ev, pos, t).collect()}
+    for k, (want, _) in sequential(rows, "S").items():
+        assert got[k] == pytest.approx(float(want), abs=1e-6)
+
+
+def test_rest_by_doubling_equals_the_queue(spark):
     rng = random.Random(5)
     rows = [(a, b, rng.randint(1, 50), i) for i in range(200) for a, b in [rng.sample(["S", "A", "B", "C", "D"], 2)]]
     ev = taint.events(book(spark, rows))
