@@ -10,10 +10,9 @@ post each different set under 64 keys; of the buckets those with the same member
 set meets the least set of the buckets it shares most with.  Then, as long as a bucket holds more than one
 component, its members of different components are compared by their registers: a joint likelihood of the
 larger, smaller and equal registers and the known sizes gives the similarity, and a bucket hands on a
-forest of the likeliest links, in later rounds also each member's likeliest, eight times as many each round.
-Every link is verified on the full sets; one that fails isn't offered again, and the rounds end when no
-bucket offers any.
-A large bucket is dealt in blocks, its main component against the others.
+forest of the likeliest links, in later rounds also each member's likeliest, more each round.
+Every link is verified on the full sets; one that fails isn't offered again, and the rounds end when no bucket offers any.  A pair is compared in its lowest common band
+alone, and a large bucket is dealt in pairs of blocks.
 
 A pair at the threshold of 0.8 shares no band with a probability of 3e-7 and is estimated more than five
 standard deviations too low with about as much; above it both vanish quickly.
@@ -39,8 +38,8 @@ WIDTH = 4
 BANDS, ROWS = 64, 7
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Sets of a bucket that are compared in one task, against each other or those of smaller components.
-BLOCK = 1024
+#: Sets in a block of a bucket; a task compares two blocks at a time.
+BLOCK = 2048
 _draw = np.random.Generator(np.random.PCG64(20))
 _MUL = (_draw.integers(0, 1 << 32, REGISTERS, np.uint32) | np.uint32(1))[:, None]
 _ADD = _draw.integers(0, 1 << 32, REGISTERS, np.uint32)[:, None]
@@ -113,7 +112,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, sid: a row for each band of each set."""
+    """key, sid: a row for each band of each set.  A key's lowest bits are its band's number."""
 
     def post(batches):
         for b in batches:
@@ -125,6 +124,7 @@ def postings(sets: DataFrame) -> DataFrame:
                     width = rows.itemsize * ROWS
                     raw = rows.tobytes()
                     keys = np.array([xxhash.xxh64_intdigest(raw[i : i + width], band) for i in range(0, len(raw), width)], np.uint64)
+                    keys = (keys & np.uint64(2**64 - BANDS)) | np.uint64(band)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column(0)], names=["key", "sid"])
 
     return sets.select("sid", "regs").mapInArrow(post, "key long, sid long")
@@ -132,13 +132,14 @@ def postings(sets: DataFrame) -> DataFrame:
 
 def buckets(sets: DataFrame) -> DataFrame:
     """key, sid, first, members, bands: the members of each bucket of two sets or more, its least set, how many
-    it has and in how many bands the same members meet."""
+    it has and in how many bands the same members meet; of such buckets the lowest band's stands."""
     posted = postings(sets)
     own = posted.groupBy("key").agg(
         F.count("*").alias("members"), F.min("sid").alias("first"),
         *(F.sum(F.xxhash64("sid", F.lit(k)).cast("decimal(38,0)")).alias(f"sign{k}") for k in (1, 2)),
     ).filter("members > 1")
-    own = own.groupBy("members", "first", "sign1", "sign2").agg(F.min("key").alias("key"), F.count("*").alias("bands"))
+    lowest = F.struct(F.col("key").bitwiseAND(BANDS - 1).alias("band"), "key")
+    own = own.groupBy("members", "first", "sign1", "sign2").agg(F.min(lowest)["key"].alias("key"), F.count("*").alias("bands"))
     return posted.join(own.select("key", "first", "members", "bands"), "key")
 
 
@@ -181,58 +182,100 @@ def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, own: np.ndarray) -
     return kept
 
 
+def _chosen(key: int, t: dict[str, np.ndarray], tried: list, threshold: float, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that a cell of a bucket offers: a forest of the likeliest, and each asked member's likeliest."""
+    least, band = slack(threshold), key & (BANDS - 1)
+    sid, comp, n, asked, side, regs = (t[c] for c in ("sid", "comp", "n", "asked", "side", "regs"))
+    bad = {(x, int(s)) for s, xs in zip(sid.tolist(), tried) for x in xs or ()}
+    two = side.min() != side.max()
+    head = np.ascontiguousarray(regs[:, :128])
+    low = math.floor(128 * least - 6 * math.sqrt(128 * least * (1 - least)))
+    all_ = np.arange(len(sid))
+    queries = all_[asked]
+    step = max(1, 4096 // len(sid))
+    found = []
+    for at in range(0, len(queries), step):
+        q = queries[at : at + step]
+        i, j = np.repeat(q, len(sid)), np.tile(all_, len(q))
+        ok = (comp[i] != comp[j]) & (~asked[j] | (j > i)) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
+        if two:
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        ok = (head[i] == head[j]).sum(1) >= low
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        x, y = regs[i], regs[j]
+        # a pair is its lowest common band's matter
+        same = (x == y).reshape(len(i), BANDS, ROWS).all(2)
+        ok = same.argmax(1) == band
+        est = np.zeros(len(i))
+        if ok.any():
+            est[ok] = _compare(x[ok], y[ok], n[i[ok]], n[j[ok]])
+        ok &= est >= least
+        if bad:
+            ok &= np.array([(min(s, o), max(s, o)) not in bad for s, o in zip(sid[i].tolist(), sid[j].tolist())])
+        found.append((i[ok], j[ok], est[ok]))
+    if not sum(len(f[0]) for f in found):
+        return sid[:0], sid[:0]
+    i, j, w = map(np.concatenate, zip(*found))
+    order = np.lexsort((-w, i))
+    rank = np.empty(len(i), np.int64)
+    rank[order] = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+    kept = np.union1d(np.array(_forest(i, j, w, comp), np.int64), np.flatnonzero(rank < each))
+    x, y = sid[i[kept]], sid[j[kept]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
 def offered(live: DataFrame, threshold: float, each: int) -> DataFrame:
-    """a, b: of each block (key, block) of live buckets (comp, sid, n, regs, asked, tried) links between
-    different components, of ``asked`` members with any: a forest of the likeliest, and of each asked member
-    the ``each`` likeliest.  What a member has ``tried`` isn't offered again."""
-    least = slack(threshold)
+    """key, a, b: of each cell of the live buckets (key, cell, side, comp, sid, n, regs, asked, tried) links
+    between different components, of ``asked`` members with any: a forest of the likeliest, and of each
+    asked member the ``each`` likeliest.  What a member has ``tried`` isn't offered again."""
 
-    def run(key, table):
-        t = table.combine_chunks()
-        sid, comp, n = (np.asarray(t.column(c)) for c in ("sid", "comp", "n"))
-        order = np.argsort(sid, kind="stable")
-        sid, comp, n, asked = sid[order], comp[order], n[order], np.asarray(t.column("asked"))[order]
-        regs = _matrix(t.column("regs"))[order]
-        bad = {(x, int(s)) for s, xs in zip(np.asarray(t.column("sid"))[order].tolist(), [t.column("tried")[int(k)].as_py() for k in order]) for x in xs or ()}
-        found_i, found_j, found_w, first = [], [], [], []
-        low = math.floor(REGISTERS * max(least - 0.05, 0))
-        for q in np.flatnonzero(asked).tolist():
-            other = (comp != comp[q]) & (np.minimum(n, n[q]) >= threshold * np.maximum(n, n[q]) - 1e-9) & (~asked | (np.arange(len(sid)) > q))
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            equal = (regs[at] == regs[q]).sum(1)
-            at = at[equal >= low]
-            if not len(at):
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            t = pa.Table.from_batches(held).combine_chunks()
+            key, cell = np.asarray(t.column("key")), np.asarray(t.column("cell"))
+            cols = {c: np.asarray(t.column(c)) for c in ("sid", "comp", "n", "asked", "side")}
+            regs, tried = _matrix(t.column("regs")), t.column("tried").to_pylist()
+            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
+            out = [(np.empty(0, np.int64),) * 3]
+            for s, e in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist()):
+                a, b = _chosen(int(key[s]), {c: v[s:e] for c, v in cols.items()} | {"regs": regs[s:e]}, tried[s:e], threshold, each)
+                out.append((np.full(len(a), key[s]), a, b))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
                 continue
-            est = _compare(np.broadcast_to(regs[q], (len(at), REGISTERS)), regs[at], np.full(len(at), n[q]), n[at])
-            ok = est >= least
-            if bad:
-                ok &= np.array([(int(min(sid[q], s)), int(max(sid[q], s))) not in bad for s in sid[at].tolist()])
-            at, est = at[ok], est[ok]
-            first.append(sum(map(len, found_j)) + np.argsort(-est, kind="stable")[:each])
-            found_i.append(np.full(len(at), q))
-            found_j.append(at)
-            found_w.append(est)
-        if not found_i:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        i, j, w = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_w)
-        kept = np.unique(np.concatenate([_forest(i, j, w, comp), *first]).astype(np.int64))
-        x, y = sid[i[kept]], sid[j[kept]]
-        return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-    return live.groupBy("key", "block").applyInArrow(run, "a long, b long").distinct()
-
-
-def in_blocks(members: DataFrame) -> DataFrame:
-    """Live buckets dealt for comparison: members of a bucket's largest component stand in one block each, those
-    of its other components are asked in all of the bucket's blocks."""
+            key, cell = np.asarray(b.column(0)), np.asarray(b.column(1))
+            last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if (key[0], cell[0]) != (key[-1], cell[-1]) else 0
+            if last:  # rows of the last cell wait for the next batch
+                held.append(b.slice(0, last))
+                yield done()
+                held = []
+            elif held and (int(held[-1].column(0)[-1].as_py()), int(held[-1].column(1)[-1].as_py())) != (int(key[0]), int(cell[0])):
+                yield done()
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield done()
+
+    dealt = live.select("key", "cell", "side", "sid", "comp", "n", "asked", "regs", "tried").repartition("key", "cell").sortWithinPartitions("key", "cell", "sid")
+    return dealt.mapInArrow(run, "key long, a long, b long")
+
+
+def in_cells(members: DataFrame) -> DataFrame:
+    """Live buckets (key, comp, sid) dealt for comparison in blocks of ``BLOCK`` members: a cell is a pair of
+    blocks, or one with itself.  Asked are members that aren't of the bucket's largest component."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"))
-    rows = members.join(main, "key").withColumn("blocks", F.greatest(F.ceil(F.col("most") / BLOCK), F.lit(1)).cast("int"))
-    asked = F.col("comp") != F.col("main")
-    deal = F.when(asked, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")))
-    return rows.withColumn("asked", asked).withColumn("block", F.explode(deal)).drop("main", "size", "most", "blocks")
+    main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(main, "key").withColumn("asked", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("cell", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).drop("main", "blocks", "other")
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -284,21 +327,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     star = star.groupBy("sid").agg(F.max_by("first", F.struct("bands", -F.col("first"))).alias("first")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
     tried = staged(likely(star, sets, threshold), "tried")
     links = staged(verified(tried, full, percent), "links")
-    each = 0
+    each, open_ = 0, None
     while True:
         roots = staged(components(links), "roots")
         labelled = members.join(roots, members.sid == roots.id, "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
+        if open_ is not None:  # a bucket that offered nothing has nothing to offer
+            labelled = labelled.join(open_, "key", "left_semi")
         mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        live = in_blocks(labelled.join(mixed, "key", "left_semi"))
-        # what has failed already, with its smaller set; links that hold are within a component by now
+        live = in_cells(labelled.join(mixed, "key", "left_semi"))
+        # what has failed already, with its larger set; links that hold are within a component by now
         failed = tried.join(links, ["a", "b"], "left_anti").groupBy(F.col("b").alias("sid")).agg(F.collect_list("a").alias("tried"))
         live = live.join(sets.select("sid", "n", "regs"), "sid").join(failed, "sid", "left")
         more = staged(offered(live, threshold, each), "offered")
         if more.isEmpty():
             break
+        open_, more = more.select("key").distinct(), more.select("a", "b").distinct()
         tried = staged(tried.unionByName(more), "tried")
         links = staged(links.unionByName(verified(more, full, percent)), "links")
-        each = max(8, 8 * each)
+        each = max(16, 16 * each)
     member = sets.join(roots, sets.sid == roots.id, "left").select("set_key", "first_doc", F.coalesce("root", "sid").alias("root"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component"))
     by_set = member.join(least, "root").select("set_key", "component")
