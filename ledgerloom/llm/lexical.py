@@ -3,10 +3,10 @@
 Documents are put in an order in which like ones stand together: recursive graph bisection, fitted on a
 bounded sample, halves the documents so that the terms' postings in the halves cost least bits, and every
 document of the table is then led down that tree by the same costs.  Runs of that order are shards: each
-holds its documents' postings by term (places within the shard and impacts) and each term's greatest impact.
+holds its documents' postings by term (gaps of places within the shard, counts) and each term's greatest impact.
 
 A query's bound for a shard is the sum of its terms' weights times those greatest impacts.  Shards are
-visited in order of their bounds, a few, then eight times as many, and so on; a query stops exactly when no
+visited in order of their bounds, a few, then many times as many, and so on; a query stops exactly when no
 shard that is left has a bound that reaches its last place's score.  A bound equal to that score is still
 visited, since places within a shard are mapped back to doc_ids and equal scores stand by doc_id.
 
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import numbered
-from .common import bounded_sample, fitted, staged
+from .common import bounded_sample, dropped, fitted, staged, written
 
 SHARD_DOCS, SHARD_POSTINGS = 1024, 1 << 20
 #: Queries that are scored together in a shard.
 GROUP = 256
 #: Shards that a query visits first, and by how much the number grows.
-FIRST, GROWTH = 8, 8
+FIRST, GROWTH = 16, 64
 _TERM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -130,8 +130,8 @@ def fit_tree(docs: DataFrame, max_docs: int = 4096, max_chars: int = 20_000_000)
 
 @dataclass
 class Index:
-    postings: DataFrame  # shard, term, docs (places, 16 bits), impacts (32 bits), df, top
-    shards: DataFrame  # shard, ids (64 bits), nulls (a byte each)
+    postings: DataFrame  # shard, term, gaps (of places), tfs (16 bits each), df, top (impact)
+    shards: DataFrame  # shard, ids and ms (64 bits each), nulls (a byte each)
     n_docs: int
     n_terms: int
 
@@ -158,27 +158,31 @@ def vectors(docs: DataFrame, tree: Tree) -> DataFrame:
     return own.mapInArrow(run, "leaf int, doc_id long, n long, terms binary, tfs binary")
 
 
-def _invert(ids: list, ns: list[int], terms: list[bytes], tfs: list[bytes], n_docs: int, n_terms: int):
-    """Of a shard's documents: distinct terms, and for each its places, impacts, their number and maximum."""
+def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What a posting adds to a score for each unit of its term's weight."""
+    return 1_000_000_000 * tf // (1000 * tf + 20 * m)
+
+
+def _invert(ms: np.ndarray, terms: list[bytes], tfs: list[bytes]):
+    """Of a shard's documents: distinct terms, and where each begins in the places, counts and impacts."""
     at: dict[bytes, int] = {}
     number = [[at.setdefault(t, len(at)) for t in own.split(b" ")] for own in terms]
     lengths = np.array([len(x) for x in number])
     term = np.concatenate([np.array(x, np.int64) for x in number])
-    doc = np.repeat(np.arange(len(ids)), lengths)
+    doc = np.repeat(np.arange(len(ms)), lengths)
     tf = np.concatenate([np.frombuffer(x, np.uint32) for x in tfs]).astype(np.int64)
-    m = np.array([50 + 50 * n * n_docs // n_terms for n in ns], np.int64)
-    impact = 1_000_000_000 * tf // (1000 * tf + 20 * m[doc])
     order = np.argsort(term, kind="stable")
     cuts = np.searchsorted(term[order], np.arange(len(at) + 1))
-    return list(at), cuts, doc[order].astype(np.uint16), impact[order].astype(np.int32)
+    return list(at), cuts, doc[order], tf[order], impact(tf, ms[doc])[order]
 
 
 def build(docs: DataFrame, tree: Tree | None = None) -> Index:
     """The index of docs (doc_id, text), written to the shared folder."""
-    rows = staged(vectors(docs, tree or fit_tree(docs)), "vectors").filter("n > 0")
+    held, folder = written(vectors(docs, tree or fit_tree(docs)), "vectors")
+    rows = held.filter("n > 0")
     counted = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("l")).first()
     n_docs, n_terms = counted.n, counted.l
-    schema = "shard long, term binary, docs binary, impacts binary, df long, top long"
+    schema = "shard long, term binary, a binary, b binary, c binary, df long, top long"
 
     def shards(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -187,18 +191,22 @@ def build(docs: DataFrame, tree: Tree | None = None) -> Index:
 
         def done():
             ids, ns, terms, tfs = map(list, zip(*held))
-            found, cuts, doc, impact = _invert(ids, ns, terms, tfs, n_docs, n_terms)
+            ms = np.array([50 + 50 * n * n_docs // n_terms for n in ns], np.int64)
+            found, cuts, doc, tf, gain = _invert(ms, terms, tfs)
             own = pa.array([base + made], pa.int64())
-            names = ["shard", "term", "docs", "impacts", "df", "top"]
-            id_bytes = np.array([x or 0 for x in ids], np.int64).tobytes()
-            nulls = np.array([x is None for x in ids], np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([own, pa.array([b""], pa.binary()), pa.array([id_bytes], pa.binary()), pa.array([nulls], pa.binary()), pa.array([len(ids)], pa.int64()), pa.array([0], pa.int64())], names=names)
+            names = ["shard", "term", "a", "b", "c", "df", "top"]
+            blobs = [np.array([x or 0 for x in ids], np.int64), ms, np.array([x is None for x in ids], np.uint8)]
+            yield pa.RecordBatch.from_arrays([own, pa.array([b""], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in blobs), pa.array([len(ids)], pa.int64()), pa.array([0], pa.int64())], names=names)
+            gap = np.diff(doc, prepend=0)
+            gap[cuts[:-1]] = doc[cuts[:-1]]
             for at in range(0, len(found), 4096):
                 e = min(at + 4096, len(found))
                 s, c = slice(int(cuts[at]), int(cuts[e])), cuts[at : e + 1] - cuts[at]
                 blob = lambda x: pa.Array.from_buffers(pa.binary(), e - at, [None, pa.py_buffer((c * x.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x[s]).tobytes())])  # noqa: E731, B023
-                top = np.maximum.reduceat(impact[s].astype(np.int64), c[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - at, base + made)), pa.array(found[at:e], pa.binary()), blob(doc), blob(impact), pa.array(np.diff(c)), pa.array(top)], names=names)
+                # a count beyond 16 bits goes as 0 and whole in the third column
+                wide = pa.array([tf[x:y].tobytes() if tf[x:y].max() > 65535 else None for x, y in zip(cuts[at:e].tolist(), cuts[at + 1 : e + 1].tolist())], pa.binary())
+                top = np.maximum.reduceat(gain[s], c[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - at, base + made)), pa.array(found[at:e], pa.binary()), blob(gap.astype(np.uint16)), blob(np.where(tf > 65535, 0, tf).astype(np.uint16)), wide, pa.array(np.diff(c)), pa.array(top)], names=names)
 
         for b in batches:
             for row in zip(*(b.column(i).to_pylist() for i in range(4))):
@@ -212,11 +220,13 @@ def build(docs: DataFrame, tree: Tree | None = None) -> Index:
             yield from done()
 
     keys = ["leaf", "doc_id", F.xxhash64("terms")]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = 4 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)  # long documents make ranges uneven
     ordered = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     both = staged(ordered.select("doc_id", "n", "terms", "tfs").mapInArrow(shards, schema), "index")
-    ids = both.filter(F.octet_length("term") == 0).select("shard", F.col("docs").alias("ids"), F.col("impacts").alias("nulls"))
-    return Index(both.filter(F.octet_length("term") > 0), ids, n_docs, n_terms)
+    dropped(docs.sparkSession, folder)
+    ids = both.filter(F.octet_length("term") == 0).select("shard", F.col("a").alias("ids"), F.col("b").alias("ms"), F.col("c").alias("nulls"))
+    own = both.filter(F.octet_length("term") > 0).select("shard", "term", F.col("a").alias("gaps"), F.col("b").alias("tfs"), F.col("c").alias("wide"), "df", "top")
+    return Index(own, ids, n_docs, n_terms)
 
 
 # --------------------------------------------------------------------------------- the search
@@ -250,8 +260,11 @@ def scored(index: Index, visits: DataFrame, wanted: DataFrame, k: int) -> DataFr
         items = sorted({a["item"] for own in asks for a in own})
         at = {x: i for i, x in enumerate(items)}
         total = np.zeros((len(items), len(ids)), np.int64)
-        for own, docs, impacts in zip(asks, t.column("docs").to_pylist(), t.column("impacts").to_pylist()):
-            places, gain = np.frombuffer(docs, np.uint16), np.frombuffer(impacts, np.int32).astype(np.int64)
+        ms = np.frombuffer(t.column("ms")[0].as_py(), np.int64)
+        for own, gaps, tfs, wide in zip(asks, *(t.column(c).to_pylist() for c in ("gaps", "tfs", "wide"))):
+            places = np.cumsum(np.frombuffer(gaps, np.uint16), dtype=np.int64)
+            tf = np.frombuffer(tfs, np.uint16).astype(np.int64) if wide is None else np.frombuffer(wide, np.int64)
+            gain = impact(tf, ms[places])
             for a in own:
                 total[at[a["item"]], places] += a["weight"] * gain
         out_item, out_doc, out_score = [], [], []
@@ -267,8 +280,8 @@ def scored(index: Index, visits: DataFrame, wanted: DataFrame, k: int) -> DataFr
         return pa.table({"item": pa.array(out_item, pa.int64()), "doc_id": pa.array(out_doc, pa.int64()), "score": pa.array(out_score, pa.int64())})
 
     asks = visits.select("item", "shard").join(wanted, "item").groupBy(F.expr(f"item div {GROUP}").alias("set"), "shard", "term").agg(F.collect_list(F.struct("item", "weight")).alias("asks"))
-    rows = asks.join(index.postings.select("shard", "term", "docs", "impacts"), ["shard", "term"]).join(index.shards, "shard")
-    return rows.select("set", "shard", "asks", "docs", "impacts", "ids", "nulls").groupBy("set", "shard").applyInArrow(run, "item long, doc_id long, score long")
+    rows = asks.join(index.postings.select("shard", "term", "gaps", "tfs", "wide"), ["shard", "term"]).join(index.shards, "shard")
+    return rows.select("set", "shard", "asks", "gaps", "tfs", "wide", "ids", "ms", "nulls").groupBy("set", "shard").applyInArrow(run, "item long, doc_id long, score long")
 
 
 def search(index: Index, items: DataFrame, k: int = 50) -> DataFrame:
