@@ -62,15 +62,19 @@ def fingerprint(text: str, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and, if ``keyed``, text_key, a digest of the text."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            more = [b.column(2)] if keyed else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *more], names=["doc_id", "fp", *(["text_key"] if keyed else [])])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    own = id_and_text(docs, id_col, text_col)
+    if keyed:
+        own = own.withColumn("text_key", F.md5("text"))
+    return own.mapInArrow(run, "doc_id long, fp long" + ", text_key string" * keyed)
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -216,22 +220,27 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = staged(fingerprints(docs, width, id_col, text_col), "fps")
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable), root (the component's
+    smallest fingerprint) and, if ``keyed``, text_key."""
+    fps = staged(fingerprints(docs, width, id_col, text_col, keyed), "fps")
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(distinct.select("fp"), radius))
     member = distinct.join(roots, distinct.fp == roots.id, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = member.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = member.join(least, "root").select("fp", "component_id", "root")
+    more = ["text_key"] if keyed else []
+    return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *more)
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of each component's smallest id; of rows that repeat that id,
-    the one whose text comes first."""
-    found = near_duplicates(docs, width, radius, id_col, text_col)
-    first = found.select(F.col("component_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__first")), "left_semi")
-    w = Window.partitionBy(id_col).orderBy(F.col(text_col))
-    return kept.withColumn("__row", F.row_number().over(w)).filter("__row = 1").drop("__row")
+    """One row of docs, all columns, of each component: of its smallest id (null after all others), of the
+    texts under that id the one whose digest is least; of rows that repeat both, any one (by a hash of all
+    columns).  Rows are told apart by id and text, so other texts under a null or repeated id stay."""
+    found = near_duplicates(docs, width, radius, id_col, text_col, keyed=True)
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    first = found.groupBy("root").agg(F.min(at).alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.text_key").alias("__key"))
+    key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    kept = docs.withColumn("__text", key).join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
+    one = kept.groupBy(id_col, "__text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("__row"))
+    return one.select("__row.*")
