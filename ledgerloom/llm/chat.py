@@ -94,17 +94,18 @@ def from_turns(turns: DataFrame, delta: int = 256) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     w = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
     rows = rows.withColumn("copy", F.row_number().over(w))
-    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.char_length("text") / delta).cast("long"))
-    events = rows.withColumn("seq", F.explode(parts))
+    # cut once, from the start to the end: the begin mark, then the pieces
+    pieces = F.concat(F.array(F.lit("")), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0)))
+    events = rows.select("conv_id", "turn", "copy", "role", F.posexplode(pieces).alias("seq", "piece"))
     begun = F.col("seq") == 0
     return events.select(
         "conv_id",
         "turn",
         "copy",
-        "seq",
+        F.col("seq").cast("long").alias("seq"),
         F.when(begun, F.col("role")).alias("role"),
         F.when(begun, "regenerate").otherwise("delta").alias("kind"),
-        F.when(begun, "").otherwise(F.substr("text", (F.col("seq") - 1).cast("int") * delta + 1, F.lit(delta))).alias("text"),
+        F.col("piece").alias("text"),
     )
 
 
