@@ -326,10 +326,15 @@ def windows(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]
         else:
             out.append((a, b))
     # cut base spans out
-    cut = []
+    cut, first = [], 0
     for a, b in out:
-        for s, e in taken:
-            if e <= a or s >= b:
+        while first < len(taken) and taken[first][1] <= a:
+            first += 1
+        for x in range(first, len(taken)):
+            s, e = taken[x]
+            if s >= b:
+                break
+            if e <= a:
                 continue
             if s > a:
                 cut.append((a, s))
