@@ -29,27 +29,34 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-EDGE = "id long, nbr long, d float"
+EDGE = "id long, nbr long, d double"
 
 
 def packed(nodes: DataFrame) -> DataFrame:
     """nodes (id, v) with x, the vector in a byte for each component and a scale: the graph is built
-    on these, results are not."""
+    on these, results are not.  All vectors are first divided by one power of two, that of the table's largest
+    component, so that no square overflows."""
+    most = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    unit = 2.0 ** min(max(int(np.floor(np.log2(most))), -1022), 1023)
 
     def run(batches):
         for b in batches:
-            v = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            scale = np.abs(v).max(1, keepdims=True) / 127
+            v = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1) / unit
+            # at least the smallest normal number, lest a quotient be none
+            scale = np.maximum(np.abs(v).max(1, keepdims=True) / 127, np.finfo(np.float64).tiny)
             q = np.rint(v / scale).astype(np.int8)
-            raw = np.hstack([scale.astype("<f4").view(np.uint8), q.view(np.uint8)])
+            raw = np.hstack([scale.astype("<f8").view(np.uint8), q.view(np.uint8)])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in raw], pa.binary())], names=["id", "v", "x"])
 
     return nodes.select("id", "v").mapInArrow(run, "id long, v array<double>, x binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Packed vectors as floats; as doubles where some are so small beside others that squares need them."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view("<f4")
+    scale = raw[:, :8].copy().view("<f8")
+    kind = np.float32 if len(scale) and scale.min() > 1e-15 else np.float64
+    return raw[:, 8:].view(np.int8).astype(kind) * scale.astype(kind)
 
 
 def vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -72,13 +79,13 @@ def _nearest_in(ids: np.ndarray, x: np.ndarray, k: int):
     np.fill_diagonal(d, np.inf)
     k = min(k, len(ids) - 1)
     if k <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64)
     best = np.argpartition(d, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[best].ravel(), np.maximum(np.take_along_axis(d, best, 1), 0).ravel().astype(np.float32)
+    return np.repeat(ids, k), ids[best].ravel(), np.maximum(np.take_along_axis(d, best, 1), 0).ravel().astype(np.float64)
 
 
 def _edges(i, j, d) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(d, pa.float32())], names=["id", "nbr", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(d, pa.float64())], names=["id", "nbr", "d"])
 
 
 def start_graph(nodes: DataFrame, k: int, trees: int, chunk: int, sample: int, seed: int) -> DataFrame:
@@ -103,7 +110,7 @@ def start_graph(nodes: DataFrame, k: int, trees: int, chunk: int, sample: int, s
                 mid = np.where(at[0] % 2, cells - 1 - at[1], at[1])
                 low = np.where((at[0] * cells + mid) % 2, cells - 1 - at[2], at[2])
                 cell = ((t * cells + at[0]) * cells + mid) * cells + low
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(own @ planes[t, 3]), b.column(0), b.column(1)], names=["cell", "p", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array((own @ planes[t, 3]).astype(np.float64)), b.column(0), b.column(1)], names=["cell", "p", "id", "x"])
 
     def join(batches):
         ids, xs = np.empty(0, np.int64), None
@@ -116,7 +123,7 @@ def start_graph(nodes: DataFrame, k: int, trees: int, chunk: int, sample: int, s
         if len(ids) > 1:
             yield _edges(*_nearest_in(ids, xs, k))
 
-    placed = nodes.select("id", "x").mapInArrow(place, "cell long, p float, id long, x binary")
+    placed = nodes.select("id", "x").mapInArrow(place, "cell long, p double, id long, x binary")
     return placed.repartitionByRange("cell", "p").sortWithinPartitions("cell", "p", "id").select("cell", "p", "id", "x").mapInArrow(join, EDGE)
 
 
@@ -130,7 +137,7 @@ def best_edges(edges: DataFrame, k: int) -> DataFrame:
 def descend(graph: DataFrame, nodes: DataFrame, k: int, deal: int = 0) -> DataFrame:
     """Candidate edges of one round: neighbours of a node compared with each other."""
     worst = graph.groupBy("id").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-    side = nodes.join(worst, "id", "left").select(F.col("id").alias("member"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("inf")).cast("float").alias("worst"), "x")
+    side = nodes.join(worst, "id", "left").select(F.col("id").alias("member"), F.when(F.col("n") >= k, F.col("worst")).otherwise(float("inf")).cast("double").alias("worst"), "x")
     own = graph.select(F.col("id").alias("block"), F.col("nbr").alias("member"), F.col("fresh").cast("int").alias("fresh"))
     back = graph.select(F.col("nbr").alias("block"), F.col("id").alias("member"), F.col("fresh").cast("int").alias("fresh"))
     # nodes whose list and listing have nothing new have nothing to compare
@@ -186,7 +193,7 @@ def merged(out, k: int) -> pa.RecordBatch:
     i, j, d = i[new], j[new], d[new]
     start = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, bool)
     rank = np.arange(len(i)) - np.maximum.accumulate(np.where(start, np.arange(len(i)), 0)) if len(i) else np.empty(0, int)
-    return _edges(i[rank < k], j[rank < k], d[rank < k].astype(np.float32))
+    return _edges(i[rank < k], j[rank < k], d[rank < k].astype(np.float64))
 
 
 def build(nodes: DataFrame, k: int = 32, trees: int = 4, chunk: int = 128, rounds: int = 7, stop: float = 0.01, sample: int = 4096, seed: int = 5) -> DataFrame:
@@ -212,11 +219,12 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = 1
     def measure(batches):
         for b in batches:
             x, y = _matrix(b.column(2)), _matrix(b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(((x - y) ** 2).sum(1), pa.float32())], names=["q", "id", "d"])
+            d = ((x - y) ** 2).sum(1, dtype=np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], names=["q", "id", "d"])
 
     def measured(pairs):
         rows = pairs.join(packs, "id").join(asked, "q").select("q", "id", "x", "qx")
-        return rows.mapInArrow(measure, "q long, id long, d float").withColumn("done", F.lit(False))
+        return rows.mapInArrow(measure, "q long, id long, d double").withColumn("done", F.lit(False))
 
     first = [r.id for r in packs.select("id").orderBy(F.xxhash64("id"), "id").limit(seeds).collect()]
     begun = asked.select("q", F.explode(F.array_distinct(F.array("q", *map(F.lit, first)))).alias("id"))
