@@ -6,8 +6,8 @@ the mean of those n-grams' log frequencies.  A text's score for each language is
 words.  The posterior takes the mean word's score times at most ``trust`` words, since words of
 one text are not independent.
 
-The model is learned from a bounded sample of documents with a language (``common.bounded_sample``:
-``max_docs``, ``max_chars``) and holds every word and n-gram of it, so it may be broadcast.  Words and
+The model is learned from a bounded sample of each language's documents (``max_docs``, ``max_chars``), so a
+rare language is learned as well, and holds every word and n-gram of it, so it may be broadcast.  Words and
 n-grams are known by 64-bit hashes in one sorted array; that two of some hundred thousand
 share one has a chance below one in ten million.
 
@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, rows_where, temporary
+from .common import rows_where, staged, temporary
 
 LETTERS = regex.compile(r"\p{L}+").findall
 LONGEST = 5
@@ -177,11 +177,24 @@ def _counted(batches):
     yield from out(found)
 
 
+def sampled(rows: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """text, lang: of each language's different rows (doc_id, text, lang) those of the smallest hashes, at most
+    ``max_docs`` with ``max_chars`` characters together; rows longer than a twentieth of that take no part.  A
+    language is sampled however rare it is; the bound is on each."""
+    keyed = rows.filter(F.char_length("text") <= max_chars // 20).withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    keys = keyed.groupBy("lang", "doc_id", "row_hash").agg(F.max(F.char_length("text")).alias("n"))
+    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "row_hash")
+    first = keys.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= max_docs)
+    kept = first.withColumn("upto", F.sum("n").over(own)).filter(F.col("upto") <= max_chars).select("lang", "doc_id", "row_hash")
+    kept = staged(kept, "language-keys")  # at most max_docs rows for each language
+    return staged(keyed.join(F.broadcast(kept), ["lang", "doc_id", "row_hash"], "left_semi").dropDuplicates(["lang", "doc_id", "row_hash"]).select("text", "lang"), "language-sample")
+
+
 def train(
     docs: DataFrame,
     may_learn: Column | None = None,
-    max_docs: int = 10_000,
-    max_chars: int = 30_000_000,
+    max_docs: int = 2_500,
+    max_chars: int = 7_500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -190,7 +203,7 @@ def train(
     rows = rows.filter("doc_id is not null and text is not null and lang is not null")
     if may_learn is not None:
         rows = rows.filter(may_learn)
-    sample = bounded_sample(rows, max_docs, max_chars).select("text", "lang")
+    sample = sampled(rows, max_docs, max_chars)
     counts = sample.mapInArrow(_counted, "kind int, h long, lang string, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n"))
     with temporary(counts, "language-counts") as counts:
         totals = {(r.kind, r.lang): r.n for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
