@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.ledger import last_rows
+from .chains import Chains
 from .checkpoints import cut
 from .flows import edges as edges_of
 from .flows import adaptive_floor, fan_in, flow_assets, not_dust, ranked
@@ -149,22 +150,8 @@ def shortest_paths(w: Walk, start: str, max_depth: int) -> DataFrame:
 
 
 def chains(links: DataFrame, grows: float | None) -> DataFrame:
-    """Walk a table with at most one link (wallet, asset -> next, amount) for each wallet and asset: from
-    every link on, until none follows, a wallet comes again, or, with ``grows``, the amount grows past
-    that factor.  One row for each start: path, amounts.
-
-    Each round joins every open path with the path from its last wallet, so open paths double and the
-    rounds are as many as the longest path's length has binary digits."""
-    state = cut(links.select("wallet", "asset", F.array("wallet", "next").alias("path"), F.array("amount").alias("amounts"), F.lit(True).alias("open")))
-    while not state.filter("open").isEmpty():
-        step = state.select(F.col("wallet").alias("at"), F.col("asset").alias("a"), F.expr("slice(path, 2, size(path))").alias("p"), F.col("amounts").alias("m"), F.col("open").alias("o"))
-        joined = state.join(step, (F.element_at("path", -1) == step.at) & (F.col("asset") == step.a) & F.col("open"), "left")
-        # how many of the path's links may follow: those before the first wallet that has come already
-        again = F.filter(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_contains("path", F.element_at("p", i)))
-        n = F.when(F.arrays_overlap("path", "p"), F.element_at(again, 1) - 1).otherwise(F.size("p"))
-        if grows is not None:
-            n = F.when(F.element_at("m", 1) <= F.element_at("amounts", -1) * grows, n).otherwise(0)
-        joined = joined.withColumn("n", F.when(F.col("at").isNull(), 0).otherwise(n))
-        more = lambda c, by: F.when(F.col("n") > 0, F.concat(c, F.slice(by, F.lit(1), F.col("n")))).otherwise(F.col(c)).alias(c)
-        state = cut(joined.select("wallet", "asset", more("path", "p"), more("amounts", "m"), F.coalesce(F.col("o") & (F.col("n") == F.size("p")), F.lit(False)).alias("open")))
-    return state.drop("open")
+    """wallet, asset, path, amounts of the walk from every link of (wallet, asset, next, amount), laid out whole:
+    rows as long as the walks.  ``Chains`` has their lengths, ends and extremes in rows of bounded size."""
+    own = Chains(links, grows)
+    by = own.places(own.walks).groupBy("wallet", "asset").agg(F.sort_array(F.collect_list(F.struct("place", "member", "amount"))).alias("p"))
+    return by.select("wallet", "asset", F.transform("p", lambda x: x["member"]).alias("path"), F.transform(F.expr("slice(p, 1, size(p) - 1)"), lambda x: x["amount"]).alias("amounts"))

@@ -1,18 +1,44 @@
-"""Laundering patterns.  Each detector takes a ledger and gives rows of one schema:
-typology, wallet, asset, wallets (array), strength, measure (map of named numbers)."""
+"""Laundering patterns.  Each detector takes a ledger and gives ``Found``: rows of bounded size (typology,
+wallet, asset, strength, measure: a map of named numbers), one for each typology, wallet and asset, and
+apart from them who the members of each are, in order, a row for each (typology, wallet, asset, place, member).
+Arrays of members are made for reports alone."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..sources.ledger import ORDER
 from .flows import dust_limit, dwell, totals
-from .graph import chains
-from .ordering import medians
+from .chains import Chains
+from .checkpoints import cut
+from .ordering import medians, numbered
+
+KEY = ["typology", "wallet", "asset"]
+COLUMNS = [*KEY, "wallets", "strength", "measure"]
+
+
+@dataclass
+class Found:
+    rows: DataFrame  # typology, wallet, asset, strength, measure
+    members: Callable[[DataFrame], DataFrame]  # of rows: typology, wallet, asset, place, member
+    involved: Callable[[], DataFrame]  # wallet: all members of all rows
+
+    def with_wallets(self, rows: DataFrame | None = None) -> DataFrame:
+        """rows (all, if none are given) with their members as arrays."""
+        rows = self.rows if rows is None else rows
+        by = self.members(rows).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("place", "member"))).alias("m"))
+        return rows.join(by.select(*KEY, F.transform("m", lambda x: x["member"]).alias("wallets")), KEY, "left").select(*COLUMNS)
 
-COLUMNS = ["typology", "wallet", "asset", "wallets", "strength", "measure"]
+
+def alone(rows: DataFrame) -> Found:
+    """Findings of one wallet each."""
+    own = lambda r: r.select(*KEY, F.lit(0).cast("long").alias("place"), F.col("wallet").alias("member"))
+    return Found(rows, lambda r: own(r.join(rows.select(*KEY), KEY, "left_semi")), lambda: rows.select("wallet").distinct())
 
 
 def strength(ratio: Column, floor: int, cfg: EngineConfig) -> Column:
@@ -59,14 +85,23 @@ def peel_links(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     return by.filter((F.col("recipients") >= 2) & (F.col("share") >= cfg.peel_dominant) & (F.col("side_share") <= cfg.peel_side) & material(F.col("amount"), cfg))
 
 
-def peel_chains(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+def chained(chains: Chains, typology: str, least: int, ratio: Column, floor: int, measure: Column, cfg: EngineConfig) -> Found:
+    """Walks of at least so many links as findings."""
+    starts = chains.walks.filter(F.col("links") >= least)
+    rows = starts.select(F.lit(typology).alias("typology"), "wallet", "asset", strength(ratio, floor, cfg).alias("strength"), measure.alias("measure"))
+
+    def members(some: DataFrame) -> DataFrame:
+        asked = some.filter(F.col("typology") == typology).select("wallet", "asset")
+        return chains.places(starts.join(asked, ["wallet", "asset"], "left_semi")).select(F.lit(typology).alias("typology"), "wallet", "asset", "place", "member")
+
+    return Found(rows, members, lambda: chains.covered(starts))
+
+
+def peel_chains(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     links = considered(peel_links(transfers, cfg), exempt, tainted)
-    walked = chains(links.select("wallet", "asset", "next", "amount"), cfg.peel_growth).filter(F.size("path") > cfg.peel_links)
-    on = walked.select("wallet", "asset", "path", F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("link"))
-    shares = on.join(links.select(F.col("wallet").alias("link"), "asset", "share"), ["link", "asset"]).groupBy("wallet", "asset").agg(F.min("share").alias("least"))
-    rows = walked.join(shares, ["wallet", "asset"]).withColumn("n", F.size("path") - 1)
-    ratio = 0.55 + 0.25 * (F.col("n") - 3) / 3 + 0.20 * (F.col("least") - 0.8) / 0.2
-    return rows.select(F.lit("peel_chain").alias("typology"), "wallet", "asset", F.col("path").alias("wallets"), strength(ratio, 40, cfg).alias("strength"), measured(links=F.col("n"), least_share=F.col("least")).alias("measure"))
+    chains = Chains(links.select("wallet", "asset", "next", "amount", "share"), cfg.peel_growth, least=("share",))
+    ratio = 0.55 + 0.25 * (F.col("links") - 3) / 3 + 0.20 * (F.col("share") - 0.8) / 0.2
+    return chained(chains, "peel_chain", cfg.peel_links, ratio, 40, measured(links=F.col("links"), least_share=F.col("share")), cfg)
 
 
 def flow_through(transfers: DataFrame) -> DataFrame:
@@ -82,57 +117,79 @@ def layering_links(transfers: DataFrame, cfg: EngineConfig) -> DataFrame:
     return rows.join(best.select("wallet", "asset", F.col("other").alias("next"), F.col("v").alias("amount")), ["wallet", "asset"])
 
 
-def layering(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+def layering(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     links = considered(layering_links(transfers, cfg), exempt, tainted)
-    walked = chains(links.select("wallet", "asset", "next", "amount"), None).filter(F.size("path") > cfg.layer_links)
-    on = walked.select("wallet", "asset", F.explode(F.expr("slice(path, 1, size(path) - 1)")).alias("link"))
-    gaps = on.join(links.select(F.col("wallet").alias("link"), "asset", "dwell"), ["link", "asset"]).groupBy("wallet", "asset").agg(F.max("dwell").alias("most"))
-    rows = walked.join(gaps, ["wallet", "asset"])
-    ratio = 0.5 + 0.5 * (1 - F.col("most") / cfg.dwell_high)
-    return rows.select(F.lit("layering").alias("typology"), "wallet", "asset", F.col("path").alias("wallets"), strength(ratio, 35, cfg).alias("strength"), measured(links=F.size("path") - 1, longest_dwell=F.col("most")).alias("measure"))
+    chains = Chains(links.select("wallet", "asset", "next", "amount", "dwell"), None, most=("dwell",))
+    ratio = 0.5 + 0.5 * (1 - F.col("dwell") / cfg.dwell_high)
+    return chained(chains, "layering", cfg.layer_links, ratio, 35, measured(links=F.col("links"), longest_dwell=F.col("dwell")), cfg)
 
 
-def _spread(values: Column) -> Column:
-    """Population coefficient of variation, mean first."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / n
-    var = F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n
-    return F.when(mean > 0, F.sqrt(var) / mean).otherwise(0.0)
+def similar(paid: DataFrame, limit: float, least: int) -> DataFrame:
+    """wallet, asset, other, v of paid (one row for each counterparty) whose amounts are alike: nearest the
+    wallet's median first, each is taken while the spread of those taken stays within the limit.
 
+    Whether a row is taken depends on all taken before, so a wallet's rows are folded in order; what is
+    carried is their number, sum and sum of squares (less the median, so that nothing cancels)."""
+    middle = medians(paid, ["wallet", "asset"], "v", "mid", "parties").filter((F.col("parties") >= max(least, 2)) & (F.col("mid") > 0))
+    rows = paid.join(middle.select("wallet", "asset", "mid"), ["wallet", "asset"]).withColumn("far", F.abs(F.col("v") - F.col("mid")))
+    rows = rows.select("wallet", "asset", "other", "v", "mid", "far").repartition("wallet", "asset").sortWithinPartitions("wallet", "asset", "far", "v", "other")
 
-def similar_group(values: Column, limit: float) -> Column:
-    """Amounts nearest the median first, each kept while the kept ones stay within the spread."""
-    sorted_ = F.sort_array(values)
-    n = F.size(sorted_)
-    mid = (F.element_at(sorted_, ((n + 1) / 2).cast("int")) + F.element_at(sorted_, (n / 2 + 1).cast("int"))) / 2
-    near = F.transform(F.array_sort(F.transform(sorted_, lambda v: F.struct(F.abs(v - mid).alias("far"), v.alias("v")))), lambda s: s["v"])
-    empty = F.array().cast("array<double>")
-    return F.aggregate(near, empty, lambda kept, v: F.when(_spread(F.concat(kept, F.array(v))) <= limit, F.concat(kept, F.array(v))).otherwise(kept))
+    def fold(batches):
+        import math
 
+        import pyarrow as pa
 
-def structuring(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+        at, n, s, q = None, 0, 0.0, 0.0
+        for b in batches:
+            keep = []
+            for wallet, asset, v, mid in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4))):
+                if (wallet, asset) != at:
+                    at, n, s, q = (wallet, asset), 0, 0.0, 0.0
+                x = v - mid
+                m, t, u = n + 1, s + x, q + x * x
+                mean = mid + t / m
+                ok = m < 2 or (mean > 0 and math.sqrt(max(u / m - (t / m) ** 2, 0.0)) / mean <= limit)
+                if ok:
+                    n, s, q = m, t, u
+                keep.append(ok)
+            yield b.select(["wallet", "asset", "other", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(fold, "wallet string, asset string, other string, v double")
+
+
+def structuring(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     """Many counterparties, like amounts; out and in."""
-    parts = []
+    rows, listed = [], []
     for name, own, other in (("structuring_fan_out", "from_addr", "to_addr"), ("structuring_fan_in", "to_addr", "from_addr")):
-        per = transfers.groupBy(F.col(own).alias("wallet"), "asset", F.col(other).alias("other")).agg(F.sum("value").cast("double").alias("v"))
-        per = considered(per, exempt, tainted)
-        by = per.groupBy("wallet", "asset").agg(F.count("*").alias("parties"), F.collect_list(F.struct("v", "other")).alias("own")).withColumn("vs", F.transform("own", lambda x: x["v"])).filter(F.col("parties") >= cfg.structure_parties)
-        by = by.withColumn("group", similar_group(F.col("vs"), cfg.structure_cv)).withColumn("n", F.size("group")).filter(F.col("n") >= cfg.structure_parties)
-        by = by.withColumn("cv", _spread(F.col("group"))).withColumn("mean", F.aggregate("group", F.lit(0.0), lambda s, x: s + x) / F.col("n")).filter(material(F.col("mean"), cfg))
-        # the counterparties whose amounts are in the group, largest first, as many as it has
-        like = F.filter("own", lambda x: F.array_contains("group", x["v"]))
-        like = F.slice(F.transform(F.array_sort(F.transform(like, lambda x: F.struct((-x["v"]).alias("v"), x["other"].alias("other")))), lambda x: x["other"]), F.lit(1), F.col("n"))
-        by = by.withColumn("wallets", F.concat(F.array("wallet"), like))
+        paid = transfers.groupBy(F.col(own).alias("wallet"), "asset", F.col(other).alias("other")).agg(F.sum("value").cast("double").alias("v"))
+        paid = cut(considered(paid, exempt, tainted))
+        like = cut(similar(paid, cfg.structure_cv, cfg.structure_parties))
+        by = like.groupBy("wallet", "asset").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).withColumn("cv", F.col("sd") / F.col("mean"))
+        by = cut(by.filter((F.col("n") >= cfg.structure_parties) & material(F.col("mean"), cfg)))
         ratio = 0.45 + 0.35 * F.least(F.lit(1.0), (F.col("n") - cfg.structure_parties) / 6) + 0.20 * (1 - F.col("cv") / cfg.structure_cv)
-        parts.append(by.select(F.lit(name).alias("typology"), "wallet", "asset", "wallets", strength(ratio, 35, cfg).alias("strength"), measured(parties=F.col("n"), cv=F.col("cv"), mean=F.col("mean")).alias("measure")))
-    return parts[0].unionByName(parts[1])
+        rows.append(by.select(F.lit(name).alias("typology"), "wallet", "asset", strength(ratio, 35, cfg).alias("strength"), measured(parties=F.col("n"), cv=F.col("cv"), mean=F.col("mean")).alias("measure")))
+        listed.append((name, paid, like, by))
+
+    def members(some: DataFrame) -> DataFrame:
+        """The wallet, then the counterparties whose amounts are in the group, largest first, as many as it has."""
+        out = []
+        for name, paid, like, by in listed:
+            asked = by.join(some.filter(F.col("typology") == name).select("wallet", "asset"), ["wallet", "asset"], "left_semi").select("wallet", "asset", "n")
+            same = paid.join(like.select("wallet", "asset", "v").distinct(), ["wallet", "asset", "v"]).join(asked, ["wallet", "asset"])
+            placed = numbered(same, ["wallet", "asset"], [F.desc("v"), F.col("other")], "place").filter("place < n")
+            both = placed.select("wallet", "asset", (F.col("place") + 1).alias("place"), F.col("other").alias("member"))
+            out.append(both.unionByName(asked.select("wallet", "asset", F.lit(0).cast("long").alias("place"), F.col("wallet").alias("member"))).select(F.lit(name).alias("typology"), "wallet", "asset", "place", "member"))
+        return out[0].unionByName(out[1])
+
+    both = rows[0].unionByName(rows[1])
+    return Found(both, members, lambda: members(both).select(F.col("member").alias("wallet")).distinct())
 
 
-def pass_through(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+def pass_through(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     rows = considered(flow_through(transfers), exempt, tainted)
     rows = rows.filter(F.col("ratio").between(*cfg.pass_ratio) & F.col("dwell").between(cfg.dwell_low, cfg.dwell_high) & material(F.col("received"), cfg))
     ratio = 0.45 + 0.35 * (1 - F.col("dwell") / cfg.dwell_high) + 0.20 * F.least(F.lit(1.0), F.col("ratio"))
-    return rows.select(F.lit("rapid_pass_through").alias("typology"), "wallet", "asset", F.array("wallet").alias("wallets"), strength(ratio, 30, cfg).alias("strength"), measured(dwell=F.col("dwell"), ratio=F.col("ratio")).alias("measure"))
+    return alone(rows.select(F.lit("rapid_pass_through").alias("typology"), "wallet", "asset", strength(ratio, 30, cfg).alias("strength"), measured(dwell=F.col("dwell"), ratio=F.col("ratio")).alias("measure")))
 
 
 def significant_digits(v: Column) -> Column:
@@ -142,11 +199,11 @@ def significant_digits(v: Column) -> Column:
     return F.when(v <= 0, 99).otherwise(F.greatest(n, F.lit(1)))
 
 
-def round_amounts(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+def round_amounts(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     rows = considered(transfers.select(F.col("from_addr").alias("wallet"), "asset", "value"), exempt, tainted)
     by = rows.groupBy("wallet", "asset").agg(F.count("*").alias("n"), F.count(F.when(significant_digits(F.col("value")) <= cfg.round_digits, 1)).alias("round"))
     by = by.withColumn("share", F.col("round") / F.col("n")).filter((F.col("n") >= 3) & (F.col("round") >= cfg.round_count) & (F.col("share") >= cfg.round_share))
-    return by.select(F.lit("round_amounts").alias("typology"), "wallet", "asset", F.array("wallet").alias("wallets"), strength(0.25 + 0.35 * F.col("share"), 15, cfg).alias("strength"), measured(round=F.col("round"), share=F.col("share")).alias("measure"))
+    return alone(by.select(F.lit("round_amounts").alias("typology"), "wallet", "asset", strength(0.25 + 0.35 * F.col("share"), 15, cfg).alias("strength"), measured(round=F.col("round"), share=F.col("share")).alias("measure")))
 
 
 def evidence(transfers: DataFrame, found: DataFrame, cfg: EngineConfig, each: int = 3, rounds: int = 8) -> DataFrame:
@@ -167,19 +224,28 @@ def evidence(transfers: DataFrame, found: DataFrame, cfg: EngineConfig, each: in
 DETECTORS = [peel_chains, layering, structuring, pass_through, round_amounts]
 
 
-def detect(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+def findings(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> Found:
     """All detections; round amounts only where another detection shares a wallet."""
-    found = None
-    for d in DETECTORS:
-        rows = d(transfers, exempt, cfg, tainted)
-        found = rows if found is None else found.unionByName(rows)
-    return corroborated(found)
+    found = [d(transfers, exempt, cfg, tainted) for d in DETECTORS]
+    others, rounds = found[:-1], found[-1]
+    rows, shared = others[0].rows, others[0].involved()
+    for f in others[1:]:
+        rows, shared = rows.unionByName(f.rows), shared.unionByName(f.involved())
+    shared = cut(shared.distinct())
+    rows = cut(rows.unionByName(rounds.rows.join(shared, "wallet", "left_semi").select(*rows.columns)))
+
+    def members(some: DataFrame) -> DataFrame:
+        out = found[0].members(some)
+        for f in found[1:]:
+            out = out.unionByName(f.members(some))
+        return out
 
+    return Found(rows, members, lambda: shared)
 
-def corroborated(found: DataFrame) -> DataFrame:
-    others = found.filter("typology <> 'round_amounts'")
-    shared = others.select(F.explode("wallets").alias("wallet")).distinct()
-    return others.unionByName(found.filter("typology = 'round_amounts'").join(shared, "wallet", "left_semi").select(*COLUMNS))
+
+def detect(transfers: DataFrame, exempt: DataFrame, cfg: EngineConfig, tainted: DataFrame | None = None) -> DataFrame:
+    """All detections with their members as arrays."""
+    return findings(transfers, exempt, cfg, tainted).with_wallets()
 
 
 def reported(found: DataFrame, cfg: EngineConfig) -> DataFrame:

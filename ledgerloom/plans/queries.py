@@ -16,6 +16,7 @@ from .. import functions as X
 from ..config import EngineConfig
 from ..operators import entities, flows, graph, graph_store, label_feeds, ordering, taint, typologies
 from ..sources import ledger as src
+from ..operators.chains import Chains
 from . import oracle as O
 from .trace import Trace
 
@@ -582,6 +583,27 @@ def exempt(spark, d):
     return labels(spark, d).filter(F.col("type").isin(*CFG.terminal))
 
 
+def planted(spark, d):
+    """The ledger with chains of customers: number k sends most to the next of its ten and a slice aside, but for
+    every seventh."""
+    k = F.col("c_custkey")
+    c = src.table(spark, d, "customer").filter(k % 7 != 0).select(k.cast("long").alias("k"))
+    at = lambda i: F.concat(F.lit("p"), F.expr(f"(k + {i}) div 10"), F.lit("_"), (F.col("k") + i) % 10)
+    row = lambda to, index, value: F.struct(F.concat(F.lit("p"), F.col("k"), F.lit(f"-{index}")).alias("tx_hash"), to.alias("to_addr"), value.cast("decimal(18,2)").cast(src.AMOUNT).alias("value"), F.lit(index).alias("tx_index"))
+    both = F.array(row(at(1), 1, 9000 - (F.col("k") % 10) * 500), row(F.concat(F.lit("s"), "k"), 2, 200 + F.col("k") % 10))
+    rows = c.filter("k % 10 <> 9").select("k", at(0).alias("from_addr"), F.inline(both))
+    rows = rows.select(F.lit(1).alias("chain_id"), "tx_hash", "from_addr", "to_addr", "value", (F.lit(800_000_000) + F.col("k") * 60).alias("ts"), F.col("k").alias("block"), "tx_index", F.lit("ETH").alias("asset"), F.lit(None).cast("string").alias("contract"), F.lit(18).alias("decimals"))
+    return ledger(spark, d).unionByName(rows)
+
+
+_PLANTED = """
+planted AS (SELECT * FROM ledger UNION ALL SELECT 'p' || k || '-' || i, 'p' || (k // 10) || '_' || (k % 10), CASE i WHEN 1 THEN 'p' || ((k + 1) // 10) || '_' || ((k + 1) % 10) ELSE 's' || k END,
+  CAST(CASE i WHEN 1 THEN 9000 - k % 10 * 500 ELSE 200 + k % 10 END AS DECIMAL(28,8)), 800000000 + k * 60, k, CAST(i AS INT), 'ETH', NULL
+  FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer), range(1, 3) t(i) WHERE k % 7 <> 0 AND k % 10 <> 9)
+"""
+_PLANTED_TOTALS = _PLANTED + "," + O.TOTALS.strip().replace("FROM ledger", "FROM planted")
+
+
 _NOT_EXEMPT = "wallet NOT IN (SELECT address FROM tags WHERE type IN ('exchange', 'mixer', 'bridge'))"
 _MATERIAL = ">= CASE asset WHEN 'ETH' THEN 0.1 ELSE 10000 END"
 _PEEL = f"""
@@ -598,24 +620,35 @@ def q1(spark, d):
     return typologies.peel_links(ledger(spark, d), LOOSE).select("wallet", "asset", "next", *dbl("amount"), "recipients", F.round("share", 6).alias("share"))
 
 
-def _chain_sql(table: str, grows: str) -> str:
+def _chain_sql(table: str, grows: str, pick: str, c: str, name: str = "") -> str:
+    """The longest walk from each link of a table, with the least or greatest of a column of its links."""
     return f"""
-open_ AS (SELECT * FROM {table} WHERE {_NOT_EXEMPT}),
-go(wallet, asset, path, amount) AS (
-  SELECT wallet, asset, [wallet, next], amount FROM open_
+open_{name} AS (SELECT * FROM {table} WHERE {_NOT_EXEMPT}),
+go{name}(wallet, asset, path, amount, m) AS (
+  SELECT wallet, asset, [wallet, next], amount, {c} FROM open_{name}
   UNION ALL
-  SELECT g.wallet, g.asset, list_append(g.path, o.next), o.amount FROM go g JOIN open_ o ON o.wallet = g.path[len(g.path)] AND o.asset = g.asset
+  SELECT g.wallet, g.asset, list_append(g.path, o.next), o.amount, {pick}(g.m, o.{c}) FROM go{name} g JOIN open_{name} o ON o.wallet = g.path[len(g.path)] AND o.asset = g.asset
   WHERE NOT list_contains(g.path, o.next) {grows}),
-longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY len(path) DESC) AS r FROM go) WHERE r = 1 AND len(path) > 2)
+longest{name} AS (SELECT *, len(path) - 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY len(path) DESC) AS r FROM go{name}) WHERE r = 1 AND len(path) > 2)
 """
 
 
-@query("Q3_peel_chains", O.statement("SELECT wallet, asset, array_to_string(path, '>') AS path FROM longest", O.TOTALS, _PEEL, _chain_sql("peel", "AND o.amount <= g.amount * 10"), recursive=True))
+_PEEL_CHAIN = _chain_sql("peel", "AND o.amount <= g.amount * 10", "least", "share")
+
+
+@query("Q3_peel_chains", O.statement("SELECT wallet, asset, array_to_string(path, '>') AS path FROM longest", _PLANTED_TOTALS, _PEEL, _PEEL_CHAIN, recursive=True))
 def q3(spark, d):
-    rows = typologies.peel_chains(ledger(spark, d), exempt(spark, d), LOOSE)
+    rows = typologies.peel_chains(planted(spark, d), exempt(spark, d), LOOSE).with_wallets()
     return rows.select("wallet", "asset", F.array_join("wallets", ">").alias("path"))
 
 
+@query("G6_chain_walks", O.statement("SELECT wallet, asset, n AS links, path[len(path)] AS last, round(m, 9) AS least_share FROM longest", _PLANTED_TOTALS, _PEEL, _PEEL_CHAIN, recursive=True))
+def g6(spark, d):
+    links = typologies.considered(typologies.peel_links(planted(spark, d), LOOSE), exempt(spark, d))
+    walks = Chains(links, LOOSE.peel_growth, least=("share",)).walks.filter("links >= 2")
+    return walks.select("wallet", "asset", "links", "last", F.round("share", 9).alias("least_share"))
+
+
 _LAYER = f"""
 layer AS (SELECT t.wallet, t.asset, t.dwell, t.ratio, p.other AS next, p.v AS amount FROM through t
   JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet, asset ORDER BY v DESC, first, other) AS rank FROM paid) WHERE rank = 1) p USING (wallet, asset)
@@ -628,19 +661,48 @@ def q4(spark, d):
     return typologies.layering_links(ledger(spark, d), LOOSE).select("wallet", "asset", "next", "dwell", F.round("ratio", 6).alias("ratio"))
 
 
-@query("Q5_layering", O.statement("SELECT wallet, asset, array_to_string(path, '>') AS path FROM longest", O.TOTALS, _LAYER, _chain_sql("layer", ""), recursive=True))
+@query("Q5_layering", O.statement("SELECT wallet, asset, array_to_string(path, '>') AS path FROM longest", O.TOTALS, _LAYER, _chain_sql("layer", "", "greatest", "dwell"), recursive=True))
 def q5(spark, d):
-    return typologies.layering(ledger(spark, d), exempt(spark, d), LOOSE).select("wallet", "asset", F.array_join("wallets", ">").alias("path"))
+    return typologies.layering(ledger(spark, d), exempt(spark, d), LOOSE).with_wallets().select("wallet", "asset", F.array_join("wallets", ">").alias("path"))
+
+
+#: Like amounts: a wallet's counterparties, nearest the median first, folded one after another.
+_LIKE = f"""
+party AS (SELECT 'structuring_fan_out' AS typology, wallet, asset, other, CAST(v AS DOUBLE) AS v FROM sides WHERE out = 1 AND {_NOT_EXEMPT}
+  UNION ALL SELECT 'structuring_fan_in', wallet, asset, other, CAST(v AS DOUBLE) FROM sides WHERE out = 0 AND {_NOT_EXEMPT}),
+middle AS (SELECT typology, wallet, asset, median(v) AS mid FROM party GROUP BY ALL HAVING count(*) >= 3),
+near AS MATERIALIZED (SELECT p.*, mid, row_number() OVER (PARTITION BY typology, wallet, asset ORDER BY abs(v - mid), v, other) AS rn FROM party p JOIN middle USING (typology, wallet, asset)),
+fold(typology, wallet, asset, rn, v, mid, taken, n, s, q) AS (
+  SELECT typology, wallet, asset, rn, v, mid, true, 1, v - mid, (v - mid) * (v - mid) FROM near WHERE rn = 1
+  UNION ALL
+  SELECT typology, wallet, asset, rn, v, mid, ok, CASE WHEN ok THEN n + 1 ELSE n END, CASE WHEN ok THEN s + x ELSE s END, CASE WHEN ok THEN q + x * x ELSE q END FROM (
+    SELECT a.typology, a.wallet, a.asset, a.rn, a.v, a.mid, n, s, q, a.v - a.mid AS x,
+      sqrt(greatest((q + (a.v - a.mid) * (a.v - a.mid)) / (n + 1) - pow((s + a.v - a.mid) / (n + 1), 2), 0)) / (a.mid + (s + a.v - a.mid) / (n + 1)) <= 0.3 AS ok
+    FROM fold f JOIN near a ON a.typology = f.typology AND a.wallet = f.wallet AND a.asset = f.asset AND a.rn = f.rn + 1)),
+alike AS (SELECT typology, wallet, asset, count(*) AS n, avg(v) AS mean, stddev_pop(v) / avg(v) AS cv FROM fold WHERE taken GROUP BY ALL HAVING count(*) >= 3 AND avg(v) {_MATERIAL}),
+member AS (SELECT a.typology, a.wallet, a.asset, a.n, p.other, row_number() OVER (PARTITION BY a.typology, a.wallet, a.asset ORDER BY p.v DESC, p.other) AS place FROM alike a JOIN party p USING (typology, wallet, asset)
+  WHERE EXISTS (SELECT 1 FROM fold f WHERE f.taken AND f.typology = a.typology AND f.wallet = a.wallet AND f.asset = a.asset AND f.v = p.v)),
+listed AS (SELECT typology, wallet, asset, list(other ORDER BY place) AS others FROM member WHERE place <= n GROUP BY ALL)
+"""
 
 
-@query("Q6_structuring")
+def _strength_sql(ratio: str, floor: int) -> str:
+    return f"least(90, CAST(round_even({floor} + (90 - {floor}) * least(greatest({ratio}, 0), 1), 0) AS INT))"
+
+
+_LIKE_STRENGTH = _strength_sql("0.45::DOUBLE + 0.35::DOUBLE * least(1, (n - 3) / 6) + 0.20::DOUBLE * (1 - cv / 0.3::DOUBLE)", 35)
+
+
+@query("Q6_structuring", O.statement(f"SELECT typology, wallet, asset, wallet || ',' || array_to_string(others, ',') AS wallets, {_LIKE_STRENGTH} AS strength, n AS parties, round(cv, 6) AS cv, round(mean, 6) AS mean FROM alike JOIN listed USING (typology, wallet, asset)", O.TOTALS, _LIKE, recursive=True))
 def q6(spark, d):
-    return typologies.structuring(ledger(spark, d), exempt(spark, d), LOOSE)
+    rows = typologies.structuring(ledger(spark, d), exempt(spark, d), LOOSE).with_wallets()
+    of = lambda c: F.col("measure")[c]
+    return rows.select("typology", "wallet", "asset", F.array_join("wallets", ",").alias("wallets"), "strength", of("parties").cast("long").alias("parties"), F.round(of("cv"), 6).alias("cv"), F.round(of("mean"), 6).alias("mean"))
 
 
 @query("Q7_pass_through", O.statement(f"SELECT wallet, asset, round(dwell, 6) AS dwell, round(ratio, 6) AS ratio FROM through WHERE {_NOT_EXEMPT} AND ratio BETWEEN 0.8 AND 1.25 AND dwell BETWEEN 0 AND 2000000000 AND received {_MATERIAL}", O.TOTALS))
 def q7(spark, d):
-    rows = typologies.pass_through(ledger(spark, d), exempt(spark, d), LOOSE)
+    rows = typologies.pass_through(ledger(spark, d), exempt(spark, d), LOOSE).rows
     return rows.select("wallet", "asset", F.round(F.col("measure")["dwell"], 6).alias("dwell"), F.round(F.col("measure")["ratio"], 6).alias("ratio"))
 
 
@@ -648,7 +710,7 @@ def q7(spark, d):
   SELECT from_addr AS wallet, asset, greatest(length(trim(replace(printf('%.8f', CAST(value AS DOUBLE)), '.', ''), '0')), 1) AS digits FROM ledger) WHERE {_NOT_EXEMPT}
   GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (digits <= 5) >= 1 AND count(*) FILTER (digits <= 5) / count(*) >= 0.2"""))
 def q8(spark, d):
-    rows = typologies.round_amounts(ledger(spark, d), exempt(spark, d), LOOSE)
+    rows = typologies.round_amounts(ledger(spark, d), exempt(spark, d), LOOSE).rows
     return rows.select("wallet", "asset", F.col("measure")["round"].alias("round_count"), F.round(F.col("measure")["share"], 6).alias("share"))
 
 
@@ -657,18 +719,46 @@ def q8(spark, d):
   JOIN (SELECT wallet, asset FROM through WHERE {_NOT_EXEMPT} AND ratio BETWEEN 0.8 AND 1.25 AND dwell BETWEEN 0 AND 2000000000 AND received {_MATERIAL}) h ON l.own = h.wallet AND l.asset = h.asset)) WHERE place <= 3""", O.TOTALS))
 def w12(spark, d):
     t = ledger(spark, d)
-    rows = typologies.evidence(t, typologies.pass_through(t, exempt(spark, d), LOOSE), LOOSE)
+    rows = typologies.evidence(t, typologies.pass_through(t, exempt(spark, d), LOOSE).rows, LOOSE)
     return rows.select("typology", "wallet", "asset", "side", F.col("place").cast("long").alias("place"), "tx_hash")
 
 
-@query("Q10_detections")
+_FOUND = f"""
+rounds AS (SELECT wallet, asset, count(*) FILTER (digits <= 5) / count(*) AS share FROM (
+  SELECT from_addr AS wallet, asset, greatest(length(trim(replace(printf('%.8f', CAST(value AS DOUBLE)), '.', ''), '0')), 1) AS digits FROM planted) WHERE {_NOT_EXEMPT}
+  GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (digits <= 5) >= 1 AND count(*) FILTER (digits <= 5) / count(*) >= 0.2),
+other AS MATERIALIZED (
+  SELECT 'peel_chain' AS typology, wallet, asset, path AS wallets, {_strength_sql("0.55::DOUBLE + 0.25::DOUBLE * (n - 3) / 3 + 0.20::DOUBLE * (m - 0.8::DOUBLE) / 0.2::DOUBLE", 40)} AS strength FROM longest
+  UNION ALL SELECT 'layering', wallet, asset, path, {_strength_sql("0.5 + 0.5 * (1 - m / 2000000000)", 35)} FROM longestl
+  UNION ALL SELECT typology, wallet, asset, list_prepend(wallet, others), {_LIKE_STRENGTH} FROM alike JOIN listed USING (typology, wallet, asset)
+  UNION ALL SELECT 'rapid_pass_through', wallet, asset, [wallet], {_strength_sql("0.45::DOUBLE + 0.35::DOUBLE * (1 - dwell / 2000000000) + 0.20::DOUBLE * least(1, ratio)", 30)} FROM through
+    WHERE {_NOT_EXEMPT} AND ratio BETWEEN 0.8 AND 1.25 AND dwell BETWEEN 0 AND 2000000000 AND received {_MATERIAL}),
+found AS MATERIALIZED (SELECT * FROM other UNION ALL SELECT 'round_amounts', wallet, asset, [wallet], {_strength_sql("0.25::DOUBLE + 0.35::DOUBLE * share", 15)} FROM rounds WHERE wallet IN (SELECT unnest(wallets) FROM other))
+"""
+_DETECTED = (_PLANTED_TOTALS, _PEEL, _PEEL_CHAIN, _LAYER, _chain_sql("layer", "", "greatest", "dwell", "l"), _LIKE, _FOUND)
+
+
+def detected(spark, d):
+    return typologies.findings(planted(spark, d), exempt(spark, d), LOOSE)
+
+
+@query("Q10_detections", O.statement("""SELECT typology, wallet, asset, array_to_string(wallets, ',') AS wallets, strength FROM (
+  SELECT *, row_number() OVER (PARTITION BY typology ORDER BY strength DESC, wallet, asset) AS r FROM found) WHERE r <= 15 ORDER BY CASE r WHEN 1 THEN 0 ELSE 1 END, strength DESC, typology, wallet, asset LIMIT 15""", *_DETECTED, recursive=True))
 def q10(spark, d):
-    return typologies.reported(typologies.detect(ledger(spark, d), exempt(spark, d), LOOSE), LOOSE)
+    found = detected(spark, d)
+    rows = found.with_wallets(typologies.reported(found.rows, LOOSE))
+    return rows.select("typology", "wallet", "asset", F.array_join("wallets", ",").alias("wallets"), "strength")
+
+
+@query("Q9_all_detections", O.statement("SELECT typology, wallet, asset, strength FROM found", *_DETECTED, recursive=True))
+def q9(spark, d):
+    return detected(spark, d).rows.select("typology", "wallet", "asset", "strength")
 
 
-@query("Q11_summary")
+@query("Q11_summary", O.statement("SELECT count(*) AS detections, greatest(count(*) - 15, 0) AS suppressed, string_agg(DISTINCT typology, ',' ORDER BY typology) AS typologies, max(strength) AS strongest FROM found", *_DETECTED, recursive=True))
 def q11(spark, d):
-    return typologies.summary(typologies.detect(ledger(spark, d), exempt(spark, d), LOOSE), LOOSE)
+    one = typologies.summary(detected(spark, d).rows, LOOSE)
+    return one.select("detections", F.col("suppressed").cast("long").alias("suppressed"), F.array_join("typologies", ",").alias("typologies"), "strongest")
 
 
 # -------------------------------------------------------------------------------- label feeds

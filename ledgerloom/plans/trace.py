@@ -88,10 +88,20 @@ class Trace:
         return entities.clusters(self.walk.wallets, self.typed, self.walk.edges, got)
 
     @cached_property
-    def detections(self) -> DataFrame:
+    def findings(self) -> typologies.Found:
         exempt = self.typed.filter(F.col("type").isin(*self.cfg.terminal))
         own = self.node_taint.filter("tainted > 0").select("address").union(self.walk.wallets.filter("depth = 0").select("address"))
-        return graph.cut(typologies.detect(self.seen, exempt, self.cfg, own))
+        return typologies.findings(self.seen, exempt, self.cfg, own)
+
+    @property
+    def detections(self) -> DataFrame:
+        """All detections, their members apart (``findings.members``)."""
+        return self.findings.rows
+
+    @cached_property
+    def reported(self) -> DataFrame:
+        """The strongest detections, with their members."""
+        return graph.cut(self.findings.with_wallets(typologies.reported(self.detections, self.cfg)))
 
     @cached_property
     def termination(self) -> str:
@@ -131,7 +141,7 @@ class Trace:
             one(self.attributions.drop("any_taint"), "attributions", ["hops", (-F.col("raw")).alias("v"), "address"]),
             one(self.risk, "risk_flags", ["rank", (~F.col("on_primary_path")).alias("p"), "depth", "address"]),
             one(self.clusters, "clusters", ["hop", (-F.col("confidence")).alias("c"), (-F.coalesce("most", F.lit(0))).alias("v"), "cluster_id"]),
-            one(typologies.reported(self.detections, self.cfg), "typologies", [(-F.col("strength")).alias("v"), "typology", "wallet", "asset"]),
+            one(self.reported, "typologies", [(-F.col("strength")).alias("v"), "typology", "wallet", "asset"]),
             one(self.accounting, "accounting", ["rule"]),
         ]
         out = self.summary().withColumn("k", F.lit(1))
