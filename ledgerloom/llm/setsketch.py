@@ -10,9 +10,9 @@ post each different set under 64 keys; of the buckets those with the same member
 set meets the least set of the buckets it shares most with.  Then, as long as a bucket holds more than one
 component, its members of different components are compared by their registers: a joint likelihood of the
 larger, smaller and equal registers and the known sizes gives the similarity, and a bucket hands on a
-forest of the likeliest links, in later rounds also each member's likeliest, more each round.
-Every link is verified on the full sets; one that fails isn't offered again, and the rounds end when no bucket offers any.  A pair is compared in its lowest common band
-alone, and a large bucket is dealt in pairs of blocks.
+forest of the likeliest links and each member's few likeliest, more each round.  Every link is verified on
+the full sets; one that fails isn't offered again, and the rounds end when no bucket offers any.  A pair is
+compared in its lowest common band alone, and a large bucket is dealt in pairs of blocks.
 
 A pair at the threshold of 0.8 shares no band with a probability of 3e-7 and is estimated more than five
 standard deviations too low with about as much; above it both vanish quickly.
@@ -133,13 +133,10 @@ def postings(sets: DataFrame) -> DataFrame:
 def buckets(sets: DataFrame) -> DataFrame:
     """key, sid, first, members, bands: the members of each bucket of two sets or more, its least set, how many
     it has and in how many bands the same members meet; of such buckets the lowest band's stands."""
-    posted = postings(sets)
-    own = posted.groupBy("key").agg(
-        F.count("*").alias("members"), F.min("sid").alias("first"),
-        *(F.sum(F.xxhash64("sid", F.lit(k)).cast("decimal(38,0)")).alias(f"sign{k}") for k in (1, 2)),
-    ).filter("members > 1")
-    lowest = F.struct(F.col("key").bitwiseAND(BANDS - 1).alias("band"), "key")
-    own = own.groupBy("members", "first", "sign1", "sign2").agg(F.min(lowest)["key"].alias("key"), F.count("*").alias("bands"))
+    posted = postings(sets).repartition("key")  # dealt once, for the sums and for the join
+    own = posted.groupBy("key").agg(F.count("*").alias("members"), F.min("sid").alias("first"), *(F.bit_xor(F.xxhash64("sid", F.lit(k))).alias(f"sign{k}") for k in (1, 2))).filter("members > 1")
+    band = F.col("key").bitwiseAND(BANDS - 1).alias("band")
+    own = own.groupBy("members", "first", "sign1", "sign2").agg(F.min(F.struct(band, "key"))["key"].alias("key"), F.count("*").alias("bands"))
     return posted.join(own.select("key", "first", "members", "bands"), "key")
 
 
@@ -268,14 +265,16 @@ def offered(live: DataFrame, threshold: float, each: int) -> DataFrame:
 
 
 def in_cells(members: DataFrame) -> DataFrame:
-    """Live buckets (key, comp, sid) dealt for comparison in blocks of ``BLOCK`` members: a cell is a pair of
-    blocks, or one with itself.  Asked are members that aren't of the bucket's largest component."""
+    """Buckets (key, comp, sid) of more than one component dealt for comparison in blocks of ``BLOCK`` members: a
+    cell is a pair of blocks, or one with itself.  Asked are members that aren't of the largest component."""
     by = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(main, "key").withColumn("asked", F.col("comp") != F.col("main"))
+    main = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("comps")).filter("comps > 1")
+    rows = members.join(main.drop("comps"), "key").withColumn("asked", F.col("comp") != F.col("main")).drop("main")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("cell", F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")).drop("main", "blocks", "other")
+    many = rows.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
+    one = rows.filter("blocks = 1").withColumn("cell", F.lit(0))
+    return one.unionByName(many.withColumn("cell", cell).drop("other")).drop("blocks")
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -327,14 +326,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     star = star.groupBy("sid").agg(F.max_by("first", F.struct("bands", -F.col("first"))).alias("first")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
     tried = staged(likely(star, sets, threshold), "tried")
     links = staged(verified(tried, full, percent), "links")
-    each, open_ = 0, None
+    each, open_ = 4, None
     while True:
         roots = staged(components(links), "roots")
         labelled = members.join(roots, members.sid == roots.id, "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
         if open_ is not None:  # a bucket that offered nothing has nothing to offer
             labelled = labelled.join(open_, "key", "left_semi")
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        live = in_cells(labelled.join(mixed, "key", "left_semi"))
+        live = in_cells(staged(labelled, "labelled"))
         # what has failed already, with its larger set; links that hold are within a component by now
         failed = tried.join(links, ["a", "b"], "left_anti").groupBy(F.col("b").alias("sid")).agg(F.collect_list("a").alias("tried"))
         live = live.join(sets.select("sid", "n", "regs"), "sid").join(failed, "sid", "left")
@@ -344,7 +342,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         open_, more = more.select("key").distinct(), more.select("a", "b").distinct()
         tried = staged(tried.unionByName(more), "tried")
         links = staged(links.unionByName(verified(more, full, percent)), "links")
-        each = max(16, 16 * each)
+        each *= 64
     member = sets.join(roots, sets.sid == roots.id, "left").select("set_key", "first_doc", F.coalesce("root", "sid").alias("root"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component"))
     by_set = member.join(least, "root").select("set_key", "component")
