@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..operators.ordering import numbered
 from .common import bounded_sample, dropped, fitted, staged, written
 
-SHARD_DOCS, SHARD_POSTINGS = 1024, 1 << 20
+SHARD_DOCS, SHARD_POSTINGS = 1024, 1 << 18
 #: Queries that are scored together in a shard.
 GROUP = 256
 #: Shards that a query visits first, and by how much the number grows.
@@ -208,14 +208,16 @@ def build(docs: DataFrame, tree: Tree | None = None) -> Index:
                 top = np.maximum.reduceat(gain[s], c[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(e - at, base + made)), pa.array(found[at:e], pa.binary()), blob(gap.astype(np.uint16)), blob(np.where(tf > 65535, 0, tf).astype(np.uint16)), wide, pa.array(np.diff(c)), pa.array(top)], names=names)
 
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                own = len(row[3]) // 4
-                if held and (len(held) == SHARD_DOCS or size + own > SHARD_POSTINGS):
-                    yield from done()
-                    made, size, held = made + 1, 0, []
-                held.append(row)
-                size += own
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                for row in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    own = len(row[3]) // 4
+                    if held and (len(held) == SHARD_DOCS or size + own > SHARD_POSTINGS):
+                        yield from done()
+                        made, size, held = made + 1, 0, []
+                    held.append(row)
+                    size += own
         if held:
             yield from done()
 
