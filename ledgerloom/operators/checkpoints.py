@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage in the cluster's shared checkpoint folder (a local one only if none is named)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or "/tmp/ledgerloom-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "/tmp/ledgerloom-checkpoints").rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/{what}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"

@@ -136,3 +136,29 @@ def first_clusters(cl: DataFrame) -> DataFrame:
     named = F.when(F.col("cluster_id").startswith("label:"), 0).otherwise(1)
     rows = cl.select("cluster_id", "hop", named.alias("named"), F.explode("members").alias("address"))
     return rows.groupBy("address").agg(F.min(F.struct("named", "hop", "cluster_id")).alias("b")).select("address", "b.cluster_id")
+
+
+#: What a finding's wording must not claim, by what the replay says of it.
+CAVEATS = {
+    "fifo": "The suspect's part is counted first in, first out. Another rule (last in, first out; in proportion) gives other amounts for the same transfers.",
+    "none_arrived": "Transfers lead here, but counted first in, first out none of what arrived is the suspect's: other money left the wallets on the way first. Another rule may say otherwise.",
+    "path_only": "A path of transfers leads here; that is no proof that these funds took it.",
+}
+
+#: What to bear in mind about a wallet of each kind on the way.
+NOTES = {
+    "sanctioned": "On a sanctions list; dealings with it may have to be reported.",
+    "scam": "Reported in connection with fraud.",
+    "mixer": "Mixes the money of many; what leaves it can't be tied to what entered.",
+    "bridge": "Moves value to another chain; the trail goes on there.",
+}
+
+
+def caveat(tainted: Column, computed: Column | bool = True) -> Column:
+    """Which caveat a finding carries: ``tainted`` is whether any of the suspect's money arrived."""
+    c = computed if isinstance(computed, Column) else F.lit(computed)
+    return F.when(~c, "path_only").when(F.coalesce(tainted, F.lit(False)), "fifo").otherwise("none_arrived")
+
+
+def worded(key: Column, texts: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for e in texts.items() for x in e))[key]

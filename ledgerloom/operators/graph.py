@@ -149,6 +149,19 @@ def shortest_paths(w: Walk, start: str, max_depth: int) -> DataFrame:
     return out
 
 
+def focus(edge_rows: DataFrame, wallets: DataFrame, path: DataFrame, start: str) -> tuple[DataFrame, DataFrame]:
+    """The part of a walk around a path (column address): the edges that touch it, and the wallets that have
+    such an edge, and the start.  Without a path, the walk as it is."""
+    on = path.select("address").distinct()
+    if on.isEmpty():
+        return edge_rows, wallets
+    sent = edge_rows.join(on.withColumnRenamed("address", "from_addr"), "from_addr", "left_semi")
+    rest = edge_rows.join(on.withColumnRenamed("address", "from_addr"), "from_addr", "left_anti")
+    near = sent.unionByName(rest.join(on.withColumnRenamed("address", "to_addr"), "to_addr", "left_semi").select(*edge_rows.columns))
+    ends = near.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).distinct()
+    return near, wallets.join(ends, "address", "left_semi").unionByName(wallets.join(ends, "address", "left_anti").filter(F.col("address") == start))
+
+
 def chains(links: DataFrame, grows: float | None) -> DataFrame:
     """wallet, asset, path, amounts of the walk from every link of (wallet, asset, next, amount), laid out whole:
     rows as long as the walks.  ``Chains`` has their lengths, ends and extremes in rows of bounded size."""

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..config import EngineConfig
-from ..operators import entities, flows, graph, graph_store, label_feeds, ordering, taint, typologies
+from ..operators import checkpoints, entities, flows, graph, graph_store, label_feeds, ordering, taint, typologies
 from ..sources import ledger as src
 from ..operators.chains import Chains
 from . import oracle as O
+from . import trace as trace_module
 from .trace import Trace
 
 START = "w7"
@@ -153,14 +154,17 @@ def u1(spark, d):
     return rows.select("hash", "from_addr", "to_addr", "asset", "value", "ts")
 
 
-@query("F12_chains", "SELECT * FROM (VALUES (1, 'ethereum', 'Ethereum', 'ETH'), (137, 'polygon', 'Polygon', 'POL'), (56, 'bnb', 'BNB Chain', 'BNB'), (42161, 'arbitrum', 'Arbitrum One', 'ETH')) t(chain_id, slug, name, native)")
+@query("F12_chains", O.statement("""SELECT c.*, coalesce(n, 0) AS transfers FROM (VALUES (1, 'ethereum', 'Ethereum', 'ETH'), (137, 'polygon', 'Polygon', 'POL'), (56, 'bnb', 'BNB Chain', 'BNB'), (42161, 'arbitrum', 'Arbitrum One', 'ETH')) c(chain_id, slug, name, native)
+  LEFT JOIN (SELECT 1 AS chain_id, count(*) AS n FROM ledger) USING (chain_id)"""))
 def f12(spark, d):
-    return src.chain_table(spark)
+    n = ledger(spark, d).groupBy("chain_id").agg(F.count("*").alias("n"))
+    return src.chain_table(spark).join(n, "chain_id", "left").select("chain_id", "slug", "name", "native", F.coalesce("n", F.lit(0)).alias("transfers"))
 
 
-@query("F5_followed_assets", "SELECT * FROM (VALUES (1, 'DAI,USDT'), (137, 'USDT')) t(chain_id, symbols)")
+@query("F5_followed_assets", O.statement("SELECT 1 AS chain_id, asset AS symbol, count(*) AS transfers FROM ledger WHERE contract IN ('0xusdt', '0xdai') GROUP BY asset"))
 def f5(spark, d):
-    return src.tokens(spark).groupBy("chain_id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"))
+    own = ledger(spark, d).join(F.broadcast(src.tokens(spark)), ["chain_id", "contract"])  # the fixed list of followed tokens
+    return own.groupBy("chain_id", "symbol").agg(F.count("*").alias("transfers"))
 
 
 @query("S9_label_count", O.statement("SELECT type, count(*) AS n FROM tags GROUP BY type"))
@@ -248,9 +252,9 @@ def x10(spark, d):
     return src.table(spark, d, "orders").select("o_orderkey", typologies.strength((F.col("o_orderkey") % 150 - 20) / 100.0, 40, CFG).alias("strength"))
 
 
-@query("X11_hop_points", "SELECT CAST(h AS INT) AS hops, CAST(CASE WHEN h <= 0 THEN 30 ELSE greatest(0, 30 - 7 * (h - 1)) END AS INT) AS points FROM range(0, 9) t(h)")
+@query("X11_hop_points", "SELECT o_orderkey, CAST(CASE WHEN h <= 0 THEN 30 ELSE greatest(0, 30 - 7 * (h - 1)) END AS INT) AS points FROM (SELECT o_orderkey, o_orderkey % 9 AS h FROM orders)")
 def x11(spark, d):
-    return spark.range(9).select(F.col("id").cast("int").alias("hops")).withColumn("points", entities.hop_points(F.col("hops"), CFG))
+    return src.table(spark, d, "orders").select("o_orderkey", entities.hop_points((F.col("o_orderkey") % 9).cast("int"), CFG).cast("int").alias("points"))
 
 
 # ---------------------------------------------------------------------- flows and aggregations
@@ -381,6 +385,18 @@ def u2(spark, d):
     return src.observed(ledger(spark, d), labels(spark, d)).select("tx_hash")
 
 
+_MIRRORED = """
+mirrored AS (SELECT from_addr AS wallet, * FROM ledger WHERE from_addr IN (SELECT address FROM tags) UNION ALL SELECT to_addr, * FROM ledger WHERE to_addr IN (SELECT address FROM tags))
+"""
+
+
+@query("U2_owner_rule", O.statement("SELECT tx_hash, from_addr, to_addr, asset, CAST(value AS DOUBLE) AS value FROM mirrored WHERE wallet = CASE WHEN from_addr IN (SELECT address FROM tags) THEN from_addr ELSE to_addr END", _MIRRORED))
+def u2_owner(spark, d):
+    tags = labels(spark, d)
+    rows = src.owned(src.mirrored(ledger(spark, d), tags), tags)
+    return rows.select("tx_hash", "from_addr", "to_addr", "asset", *dbl("value"))
+
+
 # ----------------------------------------------------------------------------------- the walk
 
 
@@ -460,9 +476,8 @@ def p2(spark, d):
 
 @query("W5_attribution_order", O.statement("SELECT address, row_number() OVER (ORDER BY hops, raw DESC, address) AS place FROM scores", O.FLOWS, O.WALK, _PATHS, _SCORES, recursive=True))
 def w5(spark, d):
-    # findings of one trace: a report, ordered as a whole
-    rows = findings(spark, d)
-    return rows.select("address", F.row_number().over(Window.orderBy("hops", F.desc("raw"), "address")).cast("long").alias("place"))
+    rows = ordering.numbered(findings(spark, d), [], ["hops", F.desc("raw"), "address"], "place")
+    return rows.select("address", (F.col("place") + 1).alias("place"))
 
 
 @query("W10_primary_finding", O.statement("SELECT address, entity, type FROM scores WHERE hops > 0 ORDER BY CASE type WHEN 'exchange' THEN 0 WHEN 'suspected_exchange' THEN 1 ELSE 2 END, hops, address LIMIT 1", O.FLOWS, O.WALK, _PATHS, _SCORES, recursive=True))
@@ -829,7 +844,43 @@ def g5(spark, d):
 
 @query("K1_payload")
 def k1(spark, d):
-    return trace(spark, d).payload_json()
+    path = checkpoints.scratch(spark, "payload")
+    trace(spark, d).write_payload(path)
+    return trace_module.read_payload(spark, path).select("section", "shard", "place", "line")
+
+
+@query("K1_sections", O.statement("""SELECT section, rows, (rows + 99) // 100 AS shards FROM (
+  SELECT 'nodes' AS section, count(*) AS rows FROM seen UNION ALL SELECT 'edges', count(*) FROM best b JOIN opened o ON o.address = b.from_addr
+  UNION ALL SELECT 'attributions', count(*) FROM typed UNION ALL SELECT 'risk_flags', count(*) FROM typed WHERE type IN ('mixer', 'bridge', 'sanctioned')) WHERE rows > 0""", O.FLOWS, O.WALK, _TYPED, recursive=True))
+def k1_sections(spark, d):
+    path = checkpoints.scratch(spark, "payload")
+    trace(spark, d).write_payload(path, 100)
+    told = trace_module.payload_manifest(spark, path).groupBy("section").agg(F.sum("rows").alias("rows"), F.count("*").alias("shards"))
+    held = trace_module.read_payload(spark, path).groupBy("section").agg(F.count("*").alias("held"))
+    return told.join(held, "section").filter("held = rows and section in ('nodes', 'edges', 'attributions', 'risk_flags')").select("section", "rows", "shards")
+
+
+_PRIMARY = """
+main AS (SELECT path FROM typed s JOIN crossed USING (address) WHERE hops > 0 ORDER BY CASE s.type WHEN 'exchange' THEN 0 WHEN 'suspected_exchange' THEN 1 ELSE 2 END, hops, s.confidence DESC, address LIMIT 1),
+trail AS (SELECT unnest(path) AS address FROM main),
+walked AS (SELECT b.* FROM best b JOIN opened o ON o.address = b.from_addr)
+"""
+
+
+@query("J14_trail_focus", O.statement("SELECT from_addr, to_addr, asset FROM walked WHERE from_addr IN (SELECT address FROM trail) OR to_addr IN (SELECT address FROM trail)", O.FLOWS, O.WALK, _PATHS, _TYPED, _PRIMARY, recursive=True))
+def j14(spark, d):
+    return trail(spark, d)[0].select("from_addr", "to_addr", "asset")
+
+
+@query("J14_trail_wallets", O.statement("SELECT address, depth FROM seen WHERE address = 'w7' OR address IN (SELECT unnest([from_addr, to_addr]) FROM walked WHERE from_addr IN (SELECT address FROM trail) OR to_addr IN (SELECT address FROM trail))", O.FLOWS, O.WALK, _PATHS, _TYPED, _PRIMARY, recursive=True))
+def j14_wallets(spark, d):
+    return trail(spark, d)[1].select("address", "depth")
+
+
+def trail(spark, d):
+    w, typed = typed_walk(spark, d)
+    main = entities.primary(typed.join(paths_of(w), "address").withColumn("hops", F.size("path") - 1))
+    return graph.focus(w.edges, w.wallets, main.select(F.explode("path").alias("address")), START)
 
 
 @query("R1_path_table", O.statement("""SELECT CAST(g.i AS INT) AS hop, path[g.i + 1] AS address, CASE WHEN g.i = 0 THEN 'suspect' ELSE coalesce((SELECT type FROM typed t WHERE t.address = path[g.i + 1]), 'intermediary') END AS role
@@ -848,11 +899,43 @@ def r2(spark, d):
     return rows.select("address", "label", F.col("points").cast("long").alias("points"))
 
 
-@query("R5_cluster_table")
+_CLUSTERED = """
+clustered AS (SELECT DISTINCT cluster_id, entity, address, depth, confidence FROM (
+  SELECT 'label:' || lower(entity) AS cluster_id, entity, address, confidence FROM typed WHERE method = 'known_label'
+  UNION ALL SELECT 'hub:' || t.address, NULL, t.address, confidence FROM typed t WHERE method = 'consolidation'
+  UNION ALL SELECT 'hub:' || t.address, NULL, e.from_addr, confidence FROM typed t JOIN (SELECT b.* FROM best b JOIN opened o ON o.address = b.from_addr) e ON e.to_addr = t.address AND e.from_addr <> e.to_addr WHERE method = 'consolidation')
+  JOIN seen USING (address))
+"""
+
+
+@query("R4_cluster_members", O.statement("SELECT DISTINCT cluster_id, address, depth AS hop FROM clustered", O.FLOWS, O.WALK, _TYPED, _CLUSTERED, recursive=True))
+def r4(spark, d):
+    return trace(spark, d).member_rows().select("cluster_id", "address", "hop")
+
+
+@query("R5_cluster_table", O.statement("SELECT cluster_id, min(entity) AS entity, min(depth) AS hop, round(max(confidence), 6) AS confidence, CAST(count(DISTINCT address) AS INT) AS n_members FROM clustered GROUP BY cluster_id", O.FLOWS, O.WALK, _TYPED, _CLUSTERED, recursive=True))
 def r5(spark, d):
-    return trace(spark, d).cluster_rows()
+    return trace(spark, d).cluster_rows().select("cluster_id", "entity", "hop", F.round("confidence", 6).alias("confidence"), "n_members")
+
+
+_NOTE = "CASE t.type " + " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in entities.NOTES.items()) + " END"
+
+
+@query("R3_flag_table", O.statement(f"SELECT s.address, t.type, CASE t.type WHEN 'sanctioned' THEN 'critical' WHEN 'mixer' THEN 'high' ELSE 'medium' END AS severity, s.depth, {_NOTE} AS note FROM seen s JOIN tags t USING (address) WHERE t.type <> 'exchange'", O.FLOWS, O.WALK, recursive=True))
+def r3(spark, d):
+    return trace(spark, d).flag_rows().select("address", "type", "severity", "depth", "note")
+
+
+_OUTCOME = """
+hit AS (SELECT t.type, t.entity, c.address, CAST(c.hops AS INT) AS hops, confidence, crossed FROM typed t JOIN crossed c USING (address) WHERE hops > 0 AND type IN ('exchange', 'suspected_exchange')),
+rated AS (SELECT *, CASE type WHEN 'exchange' THEN 50 ELSE 22 END + greatest(0, 30 - 7 * (hops - 1)) + CASE WHEN list_contains(crossed, 'mixer') THEN -30 ELSE 0 END + CASE WHEN list_contains(crossed, 'bridge') THEN -12 ELSE 0 END
+  + CASE WHEN list_contains(crossed, 'mixer') OR list_contains(crossed, 'bridge') THEN 0 ELSE 15 END AS raw FROM hit),
+best_hit AS (SELECT *, CAST(greatest(5, least(95, raw)) AS INT) AS score FROM rated ORDER BY CASE type WHEN 'exchange' THEN 0 ELSE 1 END, hops, raw DESC, address LIMIT 1)
+"""
 
 
-@query("Y1_summary")
+@query("Y1_summary", O.statement("""SELECT coalesce(type = 'exchange', false) AS exchange_found, coalesce(type = 'suspected_exchange', false) AS lead, entity, address, hops, score,
+  greatest((SELECT count(*) FROM hit WHERE type = 'exchange') - 1, 0) AS other_exchanges, (SELECT count(*) FROM hit WHERE type = 'suspected_exchange') AS collection_points, (SELECT count(*) FROM typed WHERE type IN ('mixer', 'bridge')) AS flags
+  FROM (SELECT 1) LEFT JOIN best_hit ON true""", O.FLOWS, O.WALK, _PATHS, _TYPED, _OUTCOME, recursive=True))
 def y1(spark, d):
-    return trace(spark, d).summary()
+    return trace(spark, d).summary().select("exchange_found", "lead", "entity", "address", "hops", F.col("score").cast("int").alias("score"), "other_exchanges", "collection_points", "flags")

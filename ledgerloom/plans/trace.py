@@ -6,13 +6,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..config import EngineConfig
-from ..operators import entities, flows, graph, taint, typologies
-from ..sources.ledger import observed
+from ..operators import entities, flows, graph, ordering, taint, typologies
+from ..sources.ledger import normal_address, observed, valid_address
 
 
 @dataclass
@@ -118,20 +118,83 @@ class Trace:
             "depth_cap": not at_cap.isEmpty(),
         })
 
+    @classmethod
+    def of_address(cls, transfers: DataFrame, labels: DataFrame, address: str, cfg: EngineConfig) -> Trace:
+        """A trace from a chain address, normalised; an error if it is none."""
+        own = transfers.sparkSession.range(1).select(normal_address(F.lit(address)).alias("a"), valid_address(F.lit(address)).alias("ok")).first()
+        if not own.ok:
+            raise ValueError(f"no address: {address!r}; wanted 0x and 40 hexadecimal digits")
+        return cls(transfers, labels, own.a, cfg)
+
+    @cached_property
+    def findings_blocks(self) -> DataFrame:
+        """address, asset, received, tainted, share, path_assumed, caveat: what each finding rests on."""
+        keys = self.attributions.select("address", "any_taint", F.map_keys("received").alias("k"), "received", "tainted", "path_assumed").withColumn("asset", F.explode_outer("k"))
+        got, own = F.col("received")[F.col("asset")], F.col("tainted")[F.col("asset")]
+        kind = entities.caveat(F.col("any_taint"))
+        return keys.select("address", "asset", got.alias("received"), own.alias("tainted"), F.when(got > 0, own / got).otherwise(0.0).alias("share"), F.coalesce(F.col("path_assumed")[F.col("asset")], F.lit(0.0)).alias("path_assumed"), kind.alias("caveat"))
+
     def summary(self) -> DataFrame:
-        """One row: the headline and why the walk ended."""
-        p = self.primary
-        if p is None:
-            text = "No labelled or suspected entity was reached."
-        else:
-            what = max((p.received or {"ETH": 0.0}).items(), key=lambda e: (e[0] in self.cfg.native, e[1]))
-            money = f"{what[1]:,.2f} {what[0]}"
-            whose = "of the suspect's funds reached" if p.any_taint else "moved on a path that leads to"
-            text = f"{money} {whose} {p.entity}, {p.hops} hop{'s' * (p.hops != 1)}, {p.score}% confidence"
-        return self.transfers.sparkSession.range(1).select(F.lit(text).alias("headline"), F.lit(p is not None and p.type == "exchange").alias("exchange_found"), F.lit(self.termination).alias("termination"))
+        """One row: the nearest named exchange; else the nearest collection point as a lead to be confirmed;
+        else that none was found.  With the caveat that the finding calls for, and what else was met."""
+        found = self.attributions.filter("hops > 0 and type in ('exchange', 'suspected_exchange')")
+        first = found.orderBy(F.when(F.col("type") == "exchange", 0).otherwise(1), "hops", F.desc("raw"), "address").limit(1)
+        one = lambda df, **cols: df.agg(*(c.alias(n) for n, c in cols.items())).withColumn("k", F.lit(1))
+        top = one(first, **{c: F.first(c) for c in ("type", "entity", "address", "hops", "score", "any_taint", "tainted", "received")})
+        # of a trace's findings: how many more exchanges, which collection points, which kinds were crossed
+        rest = one(found, exchanges=F.count(F.when(F.col("type") == "exchange", 1)), collection_points=F.count(F.when(F.col("type") == "suspected_exchange", 1)))
+        met = one(self.risk.filter("type in ('mixer', 'bridge')"), flags=F.count("*"))
+        rows = top.join(rest, "k").join(met, "k")
+        named, lead = F.coalesce(F.col("type") == "exchange", F.lit(False)), F.coalesce(F.col("type") == "suspected_exchange", F.lit(False))
+        hops = F.concat(F.col("hops").cast("string"), F.when(F.col("hops") == 1, " hop").otherwise(" hops"))
+        sure = F.concat(F.col("score").cast("string"), F.lit("% confidence"))
+        own = X.asset_list(F.map_filter("tainted", lambda k, v: v > 0))
+        headline = (
+            F.when(named & F.col("any_taint"), F.concat(own, F.lit(" of the suspect's funds reached "), "entity", F.lit(", "), hops, F.lit(", "), sure))
+            .when(named, F.concat(F.lit("Transaction path connects to "), "entity", F.lit(", "), hops, F.lit("; counted first in, first out none of the suspect's funds arrived")))
+            .when(lead, F.concat(F.lit("No named exchange reached. Unconfirmed: a collection point "), hops, F.lit(" away, "), sure))
+            .otherwise(f"No exchange reached within {self.cfg.max_depth} hops")
+        )
+        kind = F.when(named | lead, entities.caveat(F.col("any_taint")))
+        action = F.when(named, F.concat(F.lit("Ask "), "entity", F.lit(" for the records of deposits to "), "address")).when(lead, F.concat(F.lit("Confirm what "), "address", F.lit(" is before anything is asked of anyone: re-pooled funds look the same"))).otherwise("Trace deeper, or add labels: the funds may rest in unknown wallets")
+        return rows.select(
+            headline.alias("headline"), named.alias("exchange_found"), lead.alias("lead"), F.lit(self.termination).alias("termination"), "entity", "address", "hops", "score",
+            F.when(named | lead, X.asset_list(F.col("received"))).alias("received"), kind.alias("caveat"), entities.worded(kind, entities.CAVEATS).alias("caveat_text"), action.alias("action"),
+            F.greatest(F.col("exchanges") - 1, F.lit(0)).alias("other_exchanges"), "collection_points", "flags",
+        )
+
+    # ------------------------------------------------------------------- the result as shards
+
+    def sections(self) -> dict[str, tuple[DataFrame, list]]:
+        """The parts of the result with the order of each."""
+        nodes = self.walk.wallets.join(self.typed.select("address", "method", "entity", "type", "confidence"), "address", "left")
+        edges = self.walk.edges.select("from_addr", "to_addr", "depth", "assets", "asset", "value", "tx_count", "ts", "tx_hash")
+        return {
+            "summary": (self.summary().withColumn("start_address", F.lit(self.start)), ["start_address"]),
+            "nodes": (nodes, ["depth", "address"]),
+            "edges": (edges, ["depth", F.desc("value"), "from_addr", "to_addr"]),
+            "attributions": (self.attributions.drop("any_taint"), ["hops", F.desc("raw"), "address"]),
+            "risk_flags": (self.risk, ["rank", F.desc("on_primary_path"), "depth", "address"]),
+            "clusters": (self.clusters, ["hop", F.desc("confidence"), F.desc("most"), "cluster_id"]),
+            "typologies": (self.reported, [F.desc("strength"), "typology", "wallet", "asset"]),
+            "accounting": (self.accounting, ["rule"]),
+        }
+
+    def write_payload(self, path: str, shard_rows: int = 100_000) -> None:
+        """The whole result in folder ``path``: JSON lines by section and shard, each of ``shard_rows`` lines in the
+        section's order, and in ``_manifest`` (which a reader of the lines doesn't see) each shard's first place
+        and number of lines.  No part of it passes one task or the driver whole."""
+        lines = None
+        for name, (rows, order) in self.sections().items():
+            placed = ordering.numbered(rows.withColumn("line", F.to_json(F.struct(*rows.columns))), [], order, "place").select(F.lit(name).alias("section"), "place", "line")
+            lines = placed if lines is None else lines.unionByName(placed)
+        lines = graph.cut(lines.withColumn("shard", F.expr(f"place div {shard_rows}")))
+        lines.repartition("section", "shard").sortWithinPartitions("section", "shard", "place").write.partitionBy("section", "shard").json(path)
+        lines.groupBy("section", "shard").agg(F.min("place").alias("first"), F.count("*").alias("rows")).write.json(f"{path}/_manifest")
 
     def payload(self) -> DataFrame:
-        """The whole result as one nested row: nodes and edges in order, findings, flags, patterns."""
+        """The whole result as one nested row: nodes and edges in order, findings, flags, patterns.  For walks with
+        a wallet limit; ``write_payload`` is for any."""
         one = lambda df, name, order: df.select(F.lit(1).alias("k"), F.struct(F.struct(*order).alias("o"), F.to_json(F.struct(*df.columns)).alias("row")).alias("s")).groupBy("k").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: F.from_json(s["row"], df.schema)).alias(name))
         nodes = self.walk.wallets.join(self.typed.select("address", "method", "entity", "type", "confidence"), "address", "left")
         edges = self.walk.edges.select("from_addr", "to_addr", "depth", "assets", "asset", "value", "tx_count", "ts", "tx_hash")
@@ -160,10 +223,18 @@ class Trace:
         path = list(self.primary.path) if self.primary else [self.start]
         places = self.transfers.sparkSession.createDataFrame(list(enumerate(path)), "hop int, address string")
         prev = places.select((F.col("hop") + 1).alias("hop"), F.col("address").alias("previous"))
-        moved = self.hops.groupBy("from_addr", "to_addr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "value")))).alias("assets"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "tainted")))).alias("tainted"))
+        moved = self.hops.groupBy("from_addr", "to_addr").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "value")))).alias("assets"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("asset", "tainted")))).alias("tainted"), F.max_by("tx_hash", F.struct("value", "asset")).alias("tx_hash"))
         rows = places.join(prev, "hop", "left").join(moved, (F.col("previous") == moved.from_addr) & (F.col("address") == moved.to_addr), "left").join(self.typed.select(F.col("address").alias("a"), "type"), F.col("address") == F.col("a"), "left")
         role = F.when(F.col("hop") == 0, "suspect").otherwise(F.coalesce("type", F.lit("intermediary")))
-        return rows.select("hop", role.alias("role"), "address", F.when(F.col("hop") > 0, X.asset_list(F.col("assets"))).alias("moved"), "tainted")
+        return rows.select("hop", role.alias("role"), "address", F.when(F.col("hop") > 0, X.asset_list(F.col("assets"))).alias("moved"), "tainted", "tx_hash")
+
+    def flag_rows(self) -> DataFrame:
+        """Risky wallets met, with what to bear in mind about each."""
+        return self.risk.select("address", "type", "entity", "severity", "depth", "on_primary_path", entities.worded(F.col("type"), entities.NOTES).alias("note"))
+
+    def member_rows(self) -> DataFrame:
+        """Members of clusters, a row each."""
+        return self.clusters.select("cluster_id", F.explode("member_hops").alias("address", "hop"))
 
     def confidence_rows(self) -> DataFrame:
         return self.attributions.select("address", "entity", "score", "capped", F.inline("components"))
@@ -172,7 +243,20 @@ class Trace:
         return self.clusters.select("cluster_id", "entity", "hop", "confidence", F.size("members").alias("n_members"), X.asset_list(F.col("received")).alias("received"))
 
     def disclaimer(self) -> str:
+        """What the report rests on, for the chain and the assets at hand (few symbols)."""
+        assets = ", ".join(sorted(r.asset for r in self.walk.hops.select("asset").distinct().collect())) or "no asset"
         return (
-            f"Attribution follows first-in-first-out accounting over the transfers observed from {self.start}. Balances that existed before "
-            "them are assumed and shown as such. Labels and consolidation findings are leads to be confirmed, not proof of ownership."
+            f"Attribution on {self.cfg.chain} follows first-in-first-out accounting over the transfers of {assets} observed from {self.start}. Other assets "
+            "are not followed, and assets are never added together. Balances that existed before are assumed and shown as such. "
+            "Labels and consolidation findings are leads to be confirmed, not proof of ownership."
         )
+
+
+def read_payload(spark: SparkSession, path: str, section: str | None = None) -> DataFrame:
+    """section, shard, place, line of a written result; of one section only its files are read."""
+    rows = spark.read.schema("place long, line string, section string, shard long").json(path)
+    return rows if section is None else rows.filter(F.col("section") == section)
+
+
+def payload_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("section string, shard long, first long, rows long").json(f"{path}/_manifest")

@@ -175,3 +175,20 @@ def observed(transfers: DataFrame, wallets: DataFrame) -> DataFrame:
     sent = transfers.join(a, transfers.from_addr == a.address, "left_semi")
     received = transfers.join(a, transfers.to_addr == a.address, "left_semi").join(a, transfers.from_addr == a.address, "left_anti")
     return sent.unionByName(received)
+
+
+def owned(histories: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Events of histories (column wallet: whose history a row is in; the rest a transfer).  A transfer
+    between two observed wallets (column address) is in both histories: the sender's copy counts where the
+    sender is observed, the recipient's where it isn't.  Equal rows within one history are transfers of
+    their own and stay."""
+    seen = wallets.select(F.col("address").alias("from_addr")).distinct().withColumn("sender_seen", F.lit(True))
+    rows = histories.join(seen, "from_addr", "left")
+    owner = F.when(F.col("sender_seen"), F.col("from_addr")).otherwise(F.col("to_addr"))
+    return rows.filter(F.col("wallet") == owner).select(*(c for c in histories.columns if c != "wallet"))
+
+
+def mirrored(transfers: DataFrame, wallets: DataFrame) -> DataFrame:
+    """The histories of wallets (column address): each transfer once for each end that is one of them."""
+    ends = transfers.select(F.explode(F.array_distinct(F.array("from_addr", "to_addr"))).alias("wallet"), *transfers.columns)
+    return ends.join(wallets.select(F.col("address").alias("wallet")).distinct(), "wallet", "left_semi")

@@ -3,7 +3,7 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-PICK = ["A1_flow_aggregation", "A6_adaptive_floor", "X9_significant_digits", "J7_as_of_dwell", "T4_fifo_taint", "L4_merge", "S4_parse_tokens", "Y3_token_note", "U1_merged_histories", "K3_graph_wallets", "K3_graph_transfers", "W12_evidence"]
+PICK = ["A1_flow_aggregation", "A6_adaptive_floor", "X9_significant_digits", "J7_as_of_dwell", "T4_fifo_taint", "L4_merge", "S4_parse_tokens", "Y3_token_note", "U1_merged_histories", "K3_graph_wallets", "K3_graph_transfers", "W12_evidence", "W4_fifo_positions", "J8_fifo_draws", "A13_median_dwell", "G6_chain_walks", "Q3_peel_chains", "Q6_structuring", "U2_owner_rule", "F12_chains", "F5_followed_assets", "X11_hop_points"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

@@ -1,7 +1,9 @@
 import json
 
+import pytest
+
 from ledgerloom.config import EngineConfig
-from ledgerloom.plans.trace import Trace
+from ledgerloom.plans.trace import Trace, payload_manifest, read_payload
 from ledgerloom.sources import feeds
 from ledgerloom.sources import ledger as src
 from tests.books import book, labels
@@ -17,6 +19,16 @@ def test_trace_payload_and_recordings(spark, tmp_path):
     assert [n["address"] for n in p["nodes"]] == ["A0", "A1", "A2", "X"] and p["attributions"][0]["path"] == ["A0", "A1", "A2", "X"]
     assert p["accounting"][0]["rule"] == "fifo" and len(p["edges"]) == 3
     assert [(r.hop, r.role) for r in t.path_rows().orderBy("hop").collect()] == [(0, "suspect"), (1, "intermediary"), (2, "intermediary"), (3, "exchange")]
+    assert head.caveat == "fifo" and head.entity == "Binance" and head.received == "8.00 ETH" and not head.lead
+    t.write_payload(str(tmp_path / "out"), 2)
+    lines = read_payload(spark, str(tmp_path / "out"))
+    edges = [json.loads(r.line) for r in lines.filter("section = 'edges'").orderBy("place").collect()]
+    assert [(e["from_addr"], e["to_addr"]) for e in edges] == [("A0", "A1"), ("A1", "A2"), ("A2", "X")]
+    told = {(r.section, r.shard): (r.first, r.rows) for r in payload_manifest(spark, str(tmp_path / "out")).collect()}
+    assert told["edges", 0] == (0, 2) and told["edges", 1] == (2, 1) and sum(n for _, n in told.values()) == lines.count()
+    block = t.findings_blocks.first()
+    assert (block.asset, block.received, block.tainted, block.caveat) == ("ETH", 8.0, 8.0, "fifo")
+    assert "ETH" in t.disclaimer() and t.path_rows().filter("hop = 1").first().tx_hash == "0x0000"
     feeds.record(t.payload_json(), str(tmp_path / "rec"))
     assert json.loads(feeds.recordings(spark, str(tmp_path / "rec"), "ethereum", "a0").first().payload)["start_address"] == "A0"
 
@@ -50,3 +62,80 @@ def test_stream_drops_copies(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("moves").count() == 1
+
+
+def test_summary_without_a_named_exchange(spark):
+    cfg = EngineConfig(dust_native=0.001)
+    none = Trace(book(spark, [("A0", "A1", 10, 1000)]), labels(spark, [("Z", "Other", "exchange")]), "A0", cfg).summary().first()
+    assert none.headline == "No exchange reached within 4 hops" and not none.exchange_found and not none.lead and none.caveat is None
+    # money that was there before goes on first: none of the suspect's arrives
+    rows = [("B", "A1", 50, 500), ("A0", "A1", 10, 1000), ("A1", "X", 40, 2000)]
+    no = Trace(book(spark, rows), labels(spark, [("X", "Kraken", "exchange")]), "A0", cfg).summary().first()
+    assert no.exchange_found and no.caveat == "none_arrived" and "none of the suspect's funds arrived" in no.headline
+
+
+def test_a_collection_point_is_a_lead(spark):
+    rows = [("A0", f"M{i}", 10 + i, i) for i in range(12)] + [(f"M{i}", "HUB", 9, 100 + i) for i in range(12)]
+    head = Trace(book(spark, rows), labels(spark, [("Z", "Other", "exchange")]), "A0", EngineConfig(dust_native=0.001)).summary().first()
+    assert head.lead and not head.exchange_found and head.address == "HUB" and head.headline.startswith("No named exchange reached. Unconfirmed")
+
+
+def test_start_address_is_checked(spark):
+    t = book(spark, [("A0", "A1", 10, 1000)])
+    with pytest.raises(ValueError, match="no address"):
+        Trace.of_address(t, labels(spark, []), "0x12", EngineConfig())
+    assert Trace.of_address(t, labels(spark, []), " 0X" + "A" * 40, EngineConfig()).start == "0x" + "a" * 40
+
+
+def test_tag_packs_as_files(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("currency: ETH\ntitle: Pack\ncategory: exchange\ntags:\n  - address: '0x1'\n  - address: '0x2'\n    label: Own\n    currency: BTC\n  - no tag\n")
+    (tmp_path / "b.yml").write_text("label: B\ntags:\n  - {address: 0x3, currency: ETH, category: mixer}\n")
+    (tmp_path / "broken.yaml").write_text("tags: [unclosed\n  - x: {")
+    (tmp_path / "empty.yaml").write_text("")
+    (tmp_path / "notes.txt").write_text("not a pack")
+    rows = feeds.read_tag_packs(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 4
+    got = {(r.file, r.pos, r.currency, r.address, r.label, r.category) for r in rows.filter("error is null").collect()}
+    assert got == {("a.yaml", 0, "ETH", "0x1", "Pack", "exchange"), ("a.yaml", 1, "BTC", "0x2", "Own", "exchange"), ("b.yml", 0, "ETH", "3", "B", "mixer")}
+    assert [r.file for r in rows.filter("error is not null").collect()] == ["broken.yaml"]
+    pack = {"currency": "ETH", "title": "Pack", "category": "exchange", "tags": [{"address": "0x1"}, {"address": "0x2", "label": "Own", "currency": "BTC"}]}
+    one = {(r.currency, r.address, r.label, r.category) for r in feeds.tag_pack(spark, pack).collect()}
+    assert one == {x[2:] for x in got if x[0] == "a.yaml"}
+
+
+def test_recordings_are_a_log(spark, tmp_path):
+    path = str(tmp_path / "rec")
+    made = lambda a, h: spark.createDataFrame([(a, json.dumps({"headline": h, "exchange_found": True, "termination": "exchange"}))], "start_address string, payload string")
+    feeds.record(made("0xA", "first"), path)
+    feeds.record(made("0xA", "second"), path)
+    feeds.record(made("0xB", "other"), path, "polygon")
+    feeds.record(made("", "no address"), path)
+    (tmp_path / "rec" / "chain=ethereum" / "broken.json").write_text('{"address": "0xc", "payl')
+    (tmp_path / "rec" / "chain=ethereum" / "bad.json").write_text('{"address": "0xd", "payload": "{no json", "recorded_at": "2026-01-01T00:00:00.000Z", "gone": false}\n')
+    assert {(r.chain, r.address, r.headline) for r in feeds.listed(spark, path).collect()} == {("ethereum", "0xa", "second"), ("polygon", "0xb", "other")}
+    assert feeds.has_recording(spark, path, "0xA") and not feeds.has_recording(spark, path, "0xB")
+    feeds.delete_recordings(spark.createDataFrame([("0xA",)], "address string"), path)
+    assert not feeds.has_recording(spark, path, "0xa") and feeds.listed(spark, path, "ethereum").count() == 0
+    feeds.record(made("0xA", "third"), path)
+    assert feeds.listed(spark, path, "ethereum").first().headline == "third"
+    feeds.compacted(spark, path, str(tmp_path / "small"))
+    assert feeds.listed(spark, str(tmp_path / "small")).count() == 2 and spark.read.text(str(tmp_path / "small")).count() == 2
+
+
+def test_owner_rule_keeps_repeats_and_drops_mirrors(spark):
+    t = book(spark, [("A", "B", 5, 1, {"hash": "h"}), ("A", "B", 5, 1, {"hash": "h"}), ("C", "B", 7, 2), ("B", "D", 1, 3)])
+    seen = spark.createDataFrame([("A",), ("B",)], "address string")
+    histories = src.mirrored(t, seen)
+    assert histories.count() == 6
+    got = sorted((r.from_addr, r.to_addr, float(r.value)) for r in src.owned(histories, seen).collect())
+    assert got == [("A", "B", 5.0), ("A", "B", 5.0), ("B", "D", 1.0), ("C", "B", 7.0)]
+
+
+def test_focus_keeps_what_touches_the_path(spark):
+    from ledgerloom.operators import graph
+
+    edges = spark.createDataFrame([("S", "A"), ("A", "X"), ("A", "O"), ("O", "P"), ("Q", "R")], "from_addr string, to_addr string")
+    wallets = spark.createDataFrame([(w,) for w in "SAXOPQR"], "address string")
+    near, kept = graph.focus(edges, wallets, spark.createDataFrame([("S",), ("A",), ("X",)], "address string"), "S")
+    assert sorted(map(tuple, near.collect())) == [("A", "O"), ("A", "X"), ("S", "A")] and sorted(r.address for r in kept.collect()) == list("AOSX")
+    assert graph.focus(edges, wallets, spark.createDataFrame([], "address string"), "S")[0].count() == 5
