@@ -7,12 +7,12 @@ sets agree in a register about as often as their Jaccard similarity says.
 
 Sets that are equal are one from the start, so copies make no pairs.  ``BANDS`` bands of ``ROWS`` registers
 post each different set under 64 keys; of the buckets those with the same members count once.  First each
-set meets the least set of the buckets it shares most with.  Then, as long as a bucket holds more than one
-component, its members of different components are compared by their registers: a joint likelihood of the
-larger, smaller and equal registers and the known sizes gives the similarity, and a bucket hands on a
-forest of the likeliest links and each member's few likeliest, more each round.  Every link is verified on
-the full sets; one that fails isn't offered again, and the rounds end when no bucket offers any.  A pair is
-compared in its lowest common band alone, and a large bucket is dealt in pairs of blocks.
+set meets the least set of the buckets it shares most with.  Then the members of a bucket that are still in
+different components are compared by their registers: a joint likelihood of the larger, smaller and equal
+registers and the known sizes gives the similarity, and those that could reach the threshold meet again with their
+full sets, likeliest first.  Every link is verified on the full sets; two that verified links have joined need no
+further one, so a bucket hands on a forest, fewer rows than it has members.  A pair is compared in its lowest
+common band alone, and a large bucket is dealt in pairs of blocks.
 
 A pair at the threshold of 0.8 shares no band with a probability of 3e-7 and is estimated more than five
 standard deviations too low with about as much; above it both vanish quickly.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged
+from .common import dropped, id_and_text, staged, written
 from .simhash import components
 
 WIDTH = 4
@@ -39,7 +39,7 @@ BANDS, ROWS = 64, 7
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Sets in a block of a bucket; a task compares two blocks at a time.
-BLOCK = 2048
+BLOCK = 1024
 _draw = np.random.Generator(np.random.PCG64(20))
 _MUL = (_draw.integers(0, 1 << 32, REGISTERS, np.uint32) | np.uint32(1))[:, None]
 _ADD = _draw.integers(0, 1 << 32, REGISTERS, np.uint32)[:, None]
@@ -161,73 +161,72 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, own: np.ndarray) -> list[int]:
-    """Which of the links (i, j) make a forest of greatest weight over members that stand in components."""
-    root = {c: c for c in own.tolist()}
-
-    def top(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
-
-    kept = []
-    for k in np.argsort(-weight, kind="stable").tolist():
-        a, b = top(int(own[i[k]])), top(int(own[j[k]]))
-        if a != b:
-            root[a] = b
-            kept.append(k)
-    return kept
-
-
-def _chosen(key: int, t: dict[str, np.ndarray], tried: list, threshold: float, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that a cell of a bucket offers: a forest of the likeliest, and each asked member's likeliest."""
+def _near(key: int, t: dict[str, np.ndarray], threshold: float):
+    """Pairs (i, j, estimate) of a cell's members of different components whose registers allow the
+    threshold; a pair is its lowest common band's matter."""
     least, band = slack(threshold), key & (BANDS - 1)
-    sid, comp, n, asked, side, regs = (t[c] for c in ("sid", "comp", "n", "asked", "side", "regs"))
-    bad = {(x, int(s)) for s, xs in zip(sid.tolist(), tried) for x in xs or ()}
+    comp, n, asked, side, regs = (t[c] for c in ("comp", "n", "asked", "side", "regs"))
     two = side.min() != side.max()
     head = np.ascontiguousarray(regs[:, :128])
     low = math.floor(128 * least - 6 * math.sqrt(128 * least * (1 - least)))
-    all_ = np.arange(len(sid))
+    all_ = np.arange(len(comp))
     queries = all_[asked]
-    step = max(1, 4096 // len(sid))
-    found = []
+    step = max(1, 4096 // len(comp))
     for at in range(0, len(queries), step):
         q = queries[at : at + step]
-        i, j = np.repeat(q, len(sid)), np.tile(all_, len(q))
+        i, j = np.repeat(q, len(comp)), np.tile(all_, len(q))
         ok = (comp[i] != comp[j]) & (~asked[j] | (j > i)) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9)
         if two:
             ok &= side[i] != side[j]
         i, j = i[ok], j[ok]
         ok = (head[i] == head[j]).sum(1) >= low
         i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        x, y = regs[i], regs[j]
-        # a pair is its lowest common band's matter
-        same = (x == y).reshape(len(i), BANDS, ROWS).all(2)
-        ok = same.argmax(1) == band
-        est = np.zeros(len(i))
-        if ok.any():
-            est[ok] = _compare(x[ok], y[ok], n[i[ok]], n[j[ok]])
-        ok &= est >= least
-        if bad:
-            ok &= np.array([(min(s, o), max(s, o)) not in bad for s, o in zip(sid[i].tolist(), sid[j].tolist())])
-        found.append((i[ok], j[ok], est[ok]))
-    if not sum(len(f[0]) for f in found):
-        return sid[:0], sid[:0]
-    i, j, w = map(np.concatenate, zip(*found))
-    order = np.lexsort((-w, i))
-    rank = np.empty(len(i), np.int64)
-    rank[order] = np.arange(len(i)) - np.searchsorted(i[order], i[order])
-    kept = np.union1d(np.array(_forest(i, j, w, comp), np.int64), np.flatnonzero(rank < each))
-    x, y = sid[i[kept]], sid[j[kept]]
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def offered(live: DataFrame, threshold: float, each: int) -> DataFrame:
-    """key, a, b: of each cell of the live buckets (key, cell, side, comp, sid, n, regs, asked, tried) links
-    between different components, of ``asked`` members with any: a forest of the likeliest, and of each
-    asked member the ``each`` likeliest.  What a member has ``tried`` isn't offered again."""
+        if len(i):
+            x, y = regs[i], regs[j]
+            ok = (x == y).reshape(len(i), BANDS, ROWS).all(2).argmax(1) == band
+            est = np.zeros(len(i))
+            if ok.any():
+                est[ok] = _compare(x[ok], y[ok], n[i[ok]], n[j[ok]])
+            ok &= est >= least
+            if ok.any():
+                yield i[ok], j[ok], est[ok]
+
+
+def share(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share ``percent`` of their union or more."""
+    p, q = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(p) < percent * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _linked(key: int, t: dict[str, np.ndarray], sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Verified links of a cell, likeliest first, that join what no link has joined yet."""
+    found = list(_near(key, t, percent / 100))
+    if not found:
+        return []
+    i, j, est = map(np.concatenate, zip(*found))
+    root = {c: c for c in t["comp"].tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out, comp, full = [], t["comp"].tolist(), [np.frombuffer(x, np.uint64) for x in sets]
+    for k in np.argsort(-est, kind="stable").tolist():
+        x, y = int(i[k]), int(j[k])
+        a, b = top(comp[x]), top(comp[y])
+        if a != b and share(full[x], full[y], percent):
+            root[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
+
+
+def _by_cell(rows: DataFrame, own, schema: str) -> DataFrame:
+    """rows (key, cell, side, sid, comp, n, asked, regs and maybe hashes) a cell at a time through
+    own(key, cell, columns, hashes), which gives a batch's columns; a task holds one cell and one batch."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -236,32 +235,56 @@ def offered(live: DataFrame, threshold: float, each: int) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             key, cell = np.asarray(t.column("key")), np.asarray(t.column("cell"))
             cols = {c: np.asarray(t.column(c)) for c in ("sid", "comp", "n", "asked", "side")}
-            regs, tried = _matrix(t.column("regs")), t.column("tried").to_pylist()
+            regs, hashes = _matrix(t.column("regs")), t.column("hashes").to_pylist() if "hashes" in t.column_names else None
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1
-            out = [(np.empty(0, np.int64),) * 3]
+            out = []
             for s, e in zip(np.append(0, cuts).tolist(), np.append(cuts, len(key)).tolist()):
-                a, b = _chosen(int(key[s]), {c: v[s:e] for c, v in cols.items()} | {"regs": regs[s:e]}, tried[s:e], threshold, each)
-                out.append((np.full(len(a), key[s]), a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, cell = np.asarray(b.column(0)), np.asarray(b.column(1))
-            last = int(np.flatnonzero((key != key[-1]) | (cell != cell[-1]))[-1]) + 1 if (key[0], cell[0]) != (key[-1], cell[-1]) else 0
-            if last:  # rows of the last cell wait for the next batch
-                held.append(b.slice(0, last))
-                yield done()
-                held = []
-            elif held and (int(held[-1].column(0)[-1].as_py()), int(held[-1].column(1)[-1].as_py())) != (int(key[0]), int(cell[0])):
-                yield done()
-                held = []
-            held.append(b.slice(last))
+                out += own(int(key[s]), int(cell[s]), {c: v[s:e] for c, v in cols.items()} | {"regs": regs[s:e]}, hashes and hashes[s:e])
+            names = [c.split()[0] for c in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*out) if out else [()] * len(names))], names=names)
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                key, cell = np.asarray(b.column(0)), np.asarray(b.column(1))
+                ends = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+                last = int(ends[-1]) + 1 if len(ends) else 0  # rows of the last cell wait for the next batch
+                if last:
+                    held.append(b.slice(0, last))
+                elif held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) == (int(key[0]), int(cell[0])):
+                    held.append(b)
+                    continue
+                if held:
+                    yield done()
+                held = [b.slice(last)]
         if held:
             yield done()
 
-    dealt = live.select("key", "cell", "side", "sid", "comp", "n", "asked", "regs", "tried").repartition("key", "cell").sortWithinPartitions("key", "cell", "sid")
-    return dealt.mapInArrow(run, "key long, a long, b long")
+    return rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "sid").mapInArrow(run, schema)
+
+
+CELL = ["key", "cell", "side", "sid", "comp", "n", "asked", "regs"]
+
+
+def doubtful(live: DataFrame, threshold: float) -> DataFrame:
+    """key, cell, sid: members that could be linked, by their registers, with one of another component.  Members,
+    not pairs: as many rows at most as the cells have."""
+
+    def own(key, cell, t, _):
+        met = {int(x) for i, j, _ in _near(key, t, threshold) for x in (*i.tolist(), *j.tolist())}
+        return [(key, cell, int(t["sid"][x])) for x in sorted(met)]
+
+    return _by_cell(live.select(*CELL), own, "key long, cell long, sid long")
+
+
+def joined(live: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b: links, verified on the full sets within their cell, that join components of live members."""
+
+    def own(key, cell, t, hashes):
+        sid = t["sid"].tolist()
+        return [(min(sid[x], sid[y]), max(sid[x], sid[y])) for x, y in _linked(key, t, hashes, percent)]
+
+    return _by_cell(live.join(full, "sid").select(*CELL, "hashes"), own, "a long, b long").distinct()
 
 
 def in_cells(members: DataFrame) -> DataFrame:
@@ -273,8 +296,8 @@ def in_cells(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("side", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     many = rows.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.least("side", "other") * F.col("blocks") + F.greatest("side", "other")
-    one = rows.filter("blocks = 1").withColumn("cell", F.lit(0))
-    return one.unionByName(many.withColumn("cell", cell).drop("other")).drop("blocks")
+    one = rows.filter("blocks = 1").withColumn("cell", F.lit(0).cast("long"))
+    return one.unionByName(many.withColumn("cell", cell.cast("long")).drop("other")).drop("blocks")
 
 
 def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -282,14 +305,7 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [share(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda s: full.select(F.col("sid").alias(s), F.col("hashes").alias(f"h_{s}"))
@@ -313,39 +329,38 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
-    threshold = percent / 100
+    threshold, spark, folders = percent / 100, docs.sparkSession, []
+
+    def held(df: DataFrame, what: str) -> DataFrame:
+        out, path = written(df, what)
+        folders.append(path)
+        return out
+
     own = id_and_text(docs, id_col, text_col)
-    sketched = staged(own.mapInArrow(_sketched, "doc_id long, n long, set_key binary, regs binary"), "sketches")
+    sketched, first = written(own.mapInArrow(_sketched, "doc_id long, n long, set_key binary, regs binary"), "sketches")
+    rows = staged(sketched.select("doc_id", "n", "set_key"), "rows")
     one = sketched.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    sets = staged(one.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    members = staged(buckets(sets), "buckets")
+    sets = held(one.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    dropped(spark, first)
+    members = held(buckets(sets), "buckets")
     wanted = sets.join(members.select("sid").distinct(), "sid", "left_semi").select("sid", "first_doc", "set_key")
-    full = staged(full_sets(own, wanted), "full")
+    full = held(full_sets(own, wanted), "full")
 
     star = members.filter("sid <> first").groupBy("sid", "first").agg(F.sum("bands").alias("bands"))
     star = star.groupBy("sid").agg(F.max_by("first", F.struct("bands", -F.col("first"))).alias("first")).select(F.col("first").alias("a"), F.col("sid").alias("b"))
-    tried = staged(likely(star, sets, threshold), "tried")
-    links = staged(verified(tried, full, percent), "links")
-    each, open_ = 4, None
-    while True:
-        roots = staged(components(links), "roots")
-        labelled = members.join(roots, members.sid == roots.id, "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
-        if open_ is not None:  # a bucket that offered nothing has nothing to offer
-            labelled = labelled.join(open_, "key", "left_semi")
-        live = in_cells(staged(labelled, "labelled"))
-        # what has failed already, with its larger set; links that hold are within a component by now
-        failed = tried.join(links, ["a", "b"], "left_anti").groupBy(F.col("b").alias("sid")).agg(F.collect_list("a").alias("tried"))
-        live = live.join(sets.select("sid", "n", "regs"), "sid").join(failed, "sid", "left")
-        more = staged(offered(live, threshold, each), "offered")
-        if more.isEmpty():
-            break
-        open_, more = more.select("key").distinct(), more.select("a", "b").distinct()
-        tried = staged(tried.unionByName(more), "tried")
-        links = staged(links.unionByName(verified(more, full, percent)), "links")
-        each *= 64
+    links = held(verified(likely(star, sets, threshold), full, percent), "star")
+    # each set has one star pair, so its least set is a label as it is: sets of one label are connected
+    labelled = members.join(links.select(F.col("b").alias("sid"), "a"), "sid", "left").select("key", "sid", F.coalesce("a", "sid").alias("comp"))
+    live = in_cells(held(labelled, "labelled")).join(sets.select("sid", "n", "regs"), "sid")
+    doubt = held(doubtful(live, threshold), "doubtful")
+    live = live.join(doubt, ["key", "cell", "sid"], "left_semi")
+    links = held(links.unionByName(joined(live, full, percent)), "links")
+    roots = staged(components(links), "roots")
     member = sets.join(roots, sets.sid == roots.id, "left").select("set_key", "first_doc", F.coalesce("root", "sid").alias("root"))
     least = member.groupBy("root").agg(F.min("first_doc").alias("component"))
-    by_set = member.join(least, "root").select("set_key", "component")
-    rows = sketched.select("doc_id", "n", "set_key").join(by_set, "set_key", "left")
+    by_set = staged(member.join(least, "root").select("set_key", "component"), "components")
+    for path in folders:
+        dropped(spark, path)
+    rows = rows.join(by_set, "set_key", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
