@@ -255,15 +255,15 @@ def scored(index: Index, visits: DataFrame, wanted: DataFrame, k: int) -> DataFr
     """item, doc_id, score: of each visit (item, shard) the best k documents, with wanted (item, term, weight)."""
 
     def run(key, table):
-        t = table.combine_chunks()
-        ids = np.frombuffer(t.column("ids")[0].as_py(), np.int64)
-        null = np.frombuffer(t.column("nulls")[0].as_py(), np.uint8).astype(bool)
-        asks = t.column("asks").to_pylist()
-        items = sorted({a["item"] for own in asks for a in own})
+        asks, blobs = table.column("asks").to_pylist(), list(zip(*(table.column(c).to_pylist() for c in ("gaps", "tfs", "wide"))))
+        head = blobs[asks.index(None)]  # the row of the shard itself
+        ids, ms, null = np.frombuffer(head[0], np.int64), np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.uint8).astype(bool)
+        items = sorted({a["item"] for own in asks if own for a in own})
         at = {x: i for i, x in enumerate(items)}
         total = np.zeros((len(items), len(ids)), np.int64)
-        ms = np.frombuffer(t.column("ms")[0].as_py(), np.int64)
-        for own, gaps, tfs, wide in zip(asks, *(t.column(c).to_pylist() for c in ("gaps", "tfs", "wide"))):
+        for own, (gaps, tfs, wide) in zip(asks, blobs):
+            if own is None:
+                continue
             places = np.cumsum(np.frombuffer(gaps, np.uint16), dtype=np.int64)
             tf = np.frombuffer(tfs, np.uint16).astype(np.int64) if wide is None else np.frombuffer(wide, np.int64)
             gain = impact(tf, ms[places])
@@ -282,8 +282,11 @@ def scored(index: Index, visits: DataFrame, wanted: DataFrame, k: int) -> DataFr
         return pa.table({"item": pa.array(out_item, pa.int64()), "doc_id": pa.array(out_doc, pa.int64()), "score": pa.array(out_score, pa.int64())})
 
     asks = visits.select("item", "shard").join(wanted, "item").groupBy(F.expr(f"item div {GROUP}").alias("set"), "shard", "term").agg(F.collect_list(F.struct("item", "weight")).alias("asks"))
-    rows = asks.join(index.postings.select("shard", "term", "gaps", "tfs", "wide"), ["shard", "term"]).join(index.shards, "shard")
-    return rows.select("set", "shard", "asks", "gaps", "tfs", "wide", "ids", "ms", "nulls").groupBy("set", "shard").applyInArrow(run, "item long, doc_id long, score long")
+    rows = asks.join(index.postings.select("shard", "term", "gaps", "tfs", "wide"), ["shard", "term"]).select("set", "shard", "asks", "gaps", "tfs", "wide")
+    # a shard's ids go to each of its groups once, in a row without asks
+    heads = visits.select(F.expr(f"item div {GROUP}").alias("set"), "shard").distinct().join(index.shards, "shard")
+    heads = heads.select("set", "shard", F.lit(None).cast(rows.schema["asks"].dataType).alias("asks"), F.col("ids").alias("gaps"), F.col("ms").alias("tfs"), F.col("nulls").alias("wide"))
+    return rows.unionByName(heads).groupBy("set", "shard").applyInArrow(run, "item long, doc_id long, score long")
 
 
 def search(index: Index, items: DataFrame, k: int = 50) -> DataFrame:
