@@ -110,3 +110,37 @@ def test_chains_are_walked_to_their_end(spark, grows):
     got = {(r.wallet, r.asset): (r.path, r.amounts) for r in graph.chains(rows, grows).collect()}
     assert got == plain(links, grows)
     assert len(got["L0", "ETH"][0]) == 151
+
+
+def test_one_chain_of_a_hundred_thousand_links(spark):
+    from ledgerloom.operators.chains import Chains
+
+    n = 100_000
+    k = F.col("id")
+    links = spark.range(n).select(F.concat(F.lit("c"), k).alias("wallet"), F.lit("ETH").alias("asset"), F.concat(F.lit("c"), k + 1).alias("next"), F.lit(1.0).alias("amount"), (1 - k / (2 * n)).alias("share"))
+    own = Chains(links.repartition(4), 1.05, least=("share",))
+    w = own.walks
+    assert w.count() == w.filter(f"links = {n} - int(substr(wallet, 2)) and last = 'c{n}'").count() == n
+    assert w.agg(F.max(F.abs(F.col("share") - (1 - (n - 1) / (2 * n))))).first()[0] < 1e-12
+    path = own.places(w.filter("wallet = 'c0'"))
+    assert path.count() == path.filter("member = concat('c', place)").count() == n + 1
+    assert own.covered(w.filter(f"links > {n} - 3")).count() == n + 1
+
+
+def test_a_break_at_the_end_of_a_circle(spark):
+    """Three in a circle whose closing link grows too much: it isn't followed, and it leads back, so it isn't walked."""
+    links = {("a", "ETH"): ("b", 10.0), ("b", "ETH"): ("c", 9.0), ("c", "ETH"): ("a", 1.0), ("z", "ETH"): ("b", 9.0)}
+    rows = spark.createDataFrame([(w, a, x, m) for (w, a), (x, m) in links.items()], "wallet string, asset string, next string, amount double")
+    got = {(r.wallet, r.asset): (r.path, r.amounts) for r in graph.chains(rows, 1.5).collect()}
+    want = {}
+    for w, a in links:
+        path, amounts, at = [w], [], w
+        while (at, a) in links:
+            x, m = links[at, a]
+            if x in path or (amounts and m > amounts[-1] * 1.5):
+                break
+            path.append(x)
+            amounts.append(m)
+            at = x
+        want[w, a] = (path, amounts)
+    assert got == want
