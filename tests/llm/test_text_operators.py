@@ -1,6 +1,7 @@
 """Tokenizer, quality, language, toxicity and PII operators against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -361,3 +362,18 @@ def test_toxicity_learns_a_rare_insult_in_spite_of_a_wrong_label():
     s = m.score(texts[110:]) >= 0.7
     assert all(s[i] for i, t in enumerate(texts[110:]) if "vermin" in t)
     assert (s == np.array(labels[110:], bool)).mean() >= 0.95
+
+
+def test_byte_level_pieces_learned_together_are_the_librarys():
+    from ledgerloom.llm import bytelevel
+
+    rng, letters = random.Random(4), " \t\n\r'abdefstlvé1290.,<|>endoftext½²ªĀ \u0085\x1c你"
+    texts = ["", "   a  b", " \n x", "<|endoftext|> x", " " * 700, "x" * 5000, " <|endof text|>", "a" * 3 + " " + "b" * 4000]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.1 else letters[:-4]) for _ in range(rng.randint(0, 60))) for _ in range(4000)]
+    enc = bytelevel.ByteLevel(BYTE_BPE)
+    for round_ in range(2):  # the second from memory
+        for text, ids in zip(texts, enc.encode(texts)):
+            assert ids.tolist() == enc.lib.encode(text, add_special_tokens=False).ids, (round_, text)
+    assert all(len(p) <= bytelevel.PIECE_LIMIT for p in enc.known)
+    # joined pieces that would make a special token are left to the call for each piece
+    assert not enc._learn_joined([" <|endof", "text|>"])
