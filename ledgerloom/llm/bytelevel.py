@@ -125,11 +125,12 @@ class ByteLevel:
         pieces = set().union(*(own for own in cut if own))
         self._learn(pieces)
         known = self.known.__getitem__
-        for text, own in zip(texts, cut):
-            if own is None:
-                yield np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                yield np.frombuffer(b"".join(map(known, own)), np.uint32)
+        joined = [None if own is None else b"".join(map(known, own)) for own in cut]
         for p in pieces:
             if len(p) > PIECE_LIMIT:
                 self.known.pop(p, None)
+        for text, made in zip(texts, joined):
+            if made is None:
+                yield np.array(self.lib.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield np.frombuffer(made, np.uint32)
