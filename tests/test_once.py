@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerloom.operators import ordering, taint
+from ledgerloom.operators import flows, ordering, taint, typologies
 from ledgerloom.operators.checkpoints import cut
 from tests.books import book
 
@@ -59,3 +59,18 @@ def test_taint_by_number_equals_taint_by_name(spark):
     by = lambda e, pos: taint.edge_taint(e, pos, taint.taint(e, taint.draws(pos), "S"))
     rows = lambda df: sorted((r.from_addr, r.to_addr, r.asset, r.value, round(r.tainted, 6), r.assumed, r.events) for r in df.collect())
     assert rows(by(ev, taint.positions(ev, "S"))) == rows(by(kept, taint.positions(kept, "S", named=False)))
+
+
+def test_totals_dwell_and_recipients_are_one_shuffle_each(spark):
+    t = cut(book(spark, moves(40)))
+    assert exchanges(flows.totals(t, [])) == 1
+    assert exchanges(typologies.outs(t, [])) == 1
+    assert exchanges(ordering.medians(flows.dwell(t, []), taint.QUEUE, "dwell", "dwell", "pairs", [], dealt=True)) == 1
+
+
+def test_totals_of_hot_queues_are_the_same(spark):
+    t = book(spark, moves()).repartition(4)
+    assert flows.large_queues(t)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(flows.totals(t)) == rows(flows.totals(t, []))
+    assert rows(typologies.outs(t)) == rows(typologies.outs(t, []))
