@@ -1,10 +1,13 @@
 """What is written and shuffled once."""
 
 import random
+import statistics
+from collections import Counter
 
+from ledgerloom.config import EngineConfig
 from ledgerloom.operators import flows, ordering, taint, typologies
 from ledgerloom.operators.checkpoints import cut
-from tests.books import book
+from tests.books import book, labels
 
 
 def moves(n=600):
@@ -74,3 +77,50 @@ def test_totals_of_hot_queues_are_the_same(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(flows.totals(t)) == rows(flows.totals(t, []))
     assert rows(typologies.outs(t)) == rows(typologies.outs(t, []))
+
+
+def test_structuring_shuffles_both_directions_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(typologies, "cut", lambda df: seen.append(exchanges(df)) or cut(df))
+    t = cut(book(spark, moves(40)))
+    typologies.structuring(t, labels(spark, [("X", "X", "exchange")]), EngineConfig(), large=[])
+    assert sum(seen) <= 6, seen  # of them one of the sides; the rest is exempt wallets and a row for each group
+
+
+def test_leading_recipients_are_looked_for_once(spark, monkeypatch):
+    seen, outs = [], typologies.outs
+    monkeypatch.setattr(typologies, "outs", lambda *a: seen.append(1) or outs(*a))
+    typologies.findings(cut(book(spark, moves(40))), labels(spark, []), EngineConfig())
+    assert len(seen) == 1
+
+
+def alike(rows, cfg):
+    """Groups and members by plain loops; rows: sender, recipient, amount."""
+    paid = Counter()
+    for a, b, v, *_ in rows:
+        paid["structuring_fan_out", a, b] += v
+        paid["structuring_fan_in", b, a] += v
+    out = {}
+    for kind, wallet in {k[:2] for k in paid}:
+        own = [(float(v), other) for (k, w, other), v in paid.items() if (k, w) == (kind, wallet)]
+        mid, taken = statistics.median(v for v, _ in own), []
+        for v, _ in sorted(own, key=lambda x: (abs(x[0] - mid), x)):
+            with_ = [*taken, v]
+            if len(with_) < 2 or statistics.pstdev(with_) / statistics.mean(with_) <= cfg.structure_cv:
+                taken = with_
+        if len(taken) >= cfg.structure_parties and len(own) >= 2:
+            out[kind, wallet] = [wallet] + [o for v, o in sorted(own, key=lambda x: (-x[0], x[1])) if v in taken][: len(taken)]
+    return out
+
+
+def test_like_amounts_with_equal_ones_left_out_and_hot_queues(spark):
+    cfg = EngineConfig(structure_parties=3, structure_cv=0.13, material_factor=1.0)
+    rng = random.Random(9)
+    rows = [("HOT", f"w{i}", rng.choice([70, 100, 100, 130]), i) for i in range(120)]
+    rows += [(f"w{rng.randrange(12)}", f"v{rng.randrange(30)}", rng.choice([60, 90, 100, 140]), i) for i in range(200)]
+    t = cut(book(spark, rows).repartition(4))
+    want, n = alike(rows, cfg), ordering.parts_of(t)
+    for large in ([], list(range(64 * n)), list(range(0, 64 * n, 2))):  # none, all and half of the queues large
+        found = typologies.structuring(t, labels(spark, []), cfg, large=large)
+        assert {(r.typology, r.wallet): r.wallets for r in found.with_wallets().collect()} == want
+        assert {r.wallet for r in found.involved().collect()} == {m for w in want.values() for m in w}
