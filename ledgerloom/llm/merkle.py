@@ -2,14 +2,15 @@
 the proof that it belongs there.
 
 A document's leaf is the digest of its columns, each as its length in bytes and its value.  Per source the
-leaves ascend by doc_id; on each level a window by (group, parent's place) with an ordered full-frame
-``collect_list`` gives both the parent's preimage and the siblings of each child, and of each run the first
-row alone goes on as the parent.  Source roots, in order, are one more tree.  A level is a third of the one
-below and is written to the shared folder; proofs then go from the root down, each node handing its path to
-its children, so that all levels together cost half as much again as the leaves alone.
+leaves ascend by doc_id; two levels at a time, a window by (group, grandparent's place) with an ordered full-frame
+``collect_list`` gives the parents' and the grandparent's preimages and the siblings of each child and of its parent,
+and of each window the first row alone goes on as the grandparent.  Source roots, in order, are one more tree.  What
+goes on is a ninth of the nodes below and is written to the shared folder; proofs then go from the root down, each
+node handing its path to its grandchildren, so that all levels together cost an eighth more than the leaves alone,
+and the driver holds half as many plans and stages.
 
 Places come from ranges of (source, doc_id), not from a window over a source: a source that holds a third of
-all documents is dealt over all tasks.  A run has three nodes at most, so no window or join has a hot key.
+all documents is dealt over all tasks.  A window has nine nodes at most, so no window or join has a hot key.
 
 Nulls: a null column is ``-`` in its leaf; null source is a group of its own, the first; null doc_ids come
 first in their source and their texts are never tampered with.  Equal doc_ids of a source stand in order of
@@ -41,44 +42,53 @@ def leaf(**values: Column) -> Column:
     return digest(F.concat(*(F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in shown)))
 
 
-def levels(nodes: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame]:
-    """From nodes (g, idx, n: how many the group has here, h): the levels that have something to fold, each
-    node with its parent's place and digest and its siblings' digests before and after it, and the groups'
-    last nodes (g, level, h)."""
+def levels(nodes: DataFrame, depth: int, keep: list[str]) -> tuple[list[DataFrame], DataFrame]:
+    """From nodes (g, idx, n: how many the group has here, h, and ``keep``): for each two levels that have something to
+    fold the nodes with their grandparent's place and digest (on its first grandchild) and their steps, the siblings'
+    digests before and after them and then their parent's, and the groups' last nodes (g, level, h).  Where one level is
+    left (three nodes or fewer) the parent is the last."""
     out, now, last = [], nodes, nodes.filter("n = 1").select("g", F.lit(0).alias("level"), "h")
+    step = lambda hashes, first, at: F.struct(F.array_join(F.slice(hashes, first + 1, at), "").alias("before"), F.array_join(F.slice(hashes, first + at + 2, 2 - at), "").alias("after"))
     for k in range(depth):
-        run = F.collect_list("h").over(Window.partitionBy("g", F.expr("idx div 3")).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        at = (F.col("idx") % 3).cast("int")
-        rows = now.filter("n > 1").withColumn("run", run).select(
-            *now.columns, F.expr("idx div 3").alias("parent"), digest(F.array_join("run", "")).alias("up"),
-            F.array_join(F.slice("run", F.lit(1), at), "").alias("before"), F.array_join(F.slice("run", at + 2, F.lit(3)), "").alias("after"),
+        of = Window.partitionBy("g", F.expr("idx div 9")).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = now.filter("n > 1").withColumn("run", F.collect_list("h").over(of))
+        rows = rows.withColumn("ups", F.transform(F.sequence(F.lit(1), F.size("run"), F.lit(3)), lambda i: digest(F.array_join(F.slice("run", i, 3), ""))))
+        at, up_at = (F.col("idx") % 3).cast("int"), F.expr("cast(idx % 9 div 3 as int)")
+        steps, up_steps = step("run", up_at * 3, at), step("ups", F.lit(0), up_at)
+        up = F.when(F.col("n") > 3, digest(F.array_join("ups", ""))).otherwise(F.col("ups")[0])
+        rows = rows.select(
+            "g", "idx", "n", *(keep if k == 0 else []), F.expr("idx div 9").alias("parent"), F.when(F.expr("idx % 9 = 0"), up).alias("up"),
+            F.when(F.col("n") > 3, F.array(steps, up_steps)).otherwise(F.array(steps)).alias("steps"),
         )
         out.append(staged(rows, f"level{k}"))
-        # a run's parent once: from its first child
-        now = out[-1].filter("idx % 3 = 0").select("g", F.col("parent").alias("idx"), F.expr("(n + 2) div 3").alias("n"), F.col("up").alias("h"))
+        now = out[-1].filter("idx % 9 = 0").select("g", F.col("parent").alias("idx"), F.expr("(n + 8) div 9").alias("n"), F.col("up").alias("h"))
         last = last.unionByName(now.filter("n = 1").select("g", F.lit(k + 1).alias("level"), "h"))
     return out, last
 
 
 def depth_of(nodes: DataFrame) -> int:
-    """Levels above the largest group's nodes."""
+    """Pairs of levels above the largest group's nodes."""
     most, depth = nodes.agg(F.max("n")).first()[0] or 0, 0
     while most > 1:
-        most, depth = -(-most // 3), depth + 1
+        most, depth = -(-most // 9), depth + 1
     return depth
 
 
-def paths(tree: list[DataFrame], tops: DataFrame) -> DataFrame:
-    """The bottom level's nodes with their steps up to the root and what their group's top (g, level, path
-    and more) brings; a group with one node is its own top."""
+def paths(tree: list[DataFrame], nodes: DataFrame, keep: list[str], tops: DataFrame, at: set[int]) -> DataFrame:
+    """The bottom level's nodes (``keep``) with their steps up to the root and what their group's top (g, level, path and
+    more) brings; a group with one node is its own top.  Tops stand at the levels ``at`` alone."""
     more = [c for c in tops.columns if c not in ("g", "level", "path")]
     own = lambda k: tops.filter(F.col("level") == k).select("g", F.lit(0).cast("long").alias("idx"), "path", *more)
+    alone = lambda: nodes.filter("n = 1").select("g", *keep).join(own(0), "g").select("g", "idx", "path", *more, *keep)
+    if not tree:
+        return alone()
     above = own(len(tree))
     for k in range(len(tree) - 1, -1, -1):
         up = above.select(F.col("g").alias("g_"), F.col("idx").alias("parent_"), F.col("path").alias("path_"), *more)
         rows = tree[k].join(up, (F.col("g") == F.col("g_")) & (F.col("parent") == F.col("parent_")))
-        rows = rows.select("g", "idx", F.concat(F.array(F.struct("before", "after")), "path_").alias("path"), *more)
-        above = rows.unionByName(own(k))
+        above = rows.select("g", "idx", F.concat("steps", "path_").alias("path"), *more, *(keep if k == 0 else []))
+        if k in at:
+            above = above.unionByName(own(k) if k else alone())
     return above
 
 
@@ -94,16 +104,18 @@ def manifest(docs: DataFrame, tamper: Callable[[Column, Column], Column] | None
     g = F.when(F.col(group).isNull(), "").otherwise(F.concat(F.lit("="), F.col(group)))
     leaves = staged(docs.select(g.alias("g"), F.col(order).alias("doc_id"), own.alias("h"), checked.alias("checked")), "leaves")
     nodes = staged(numbered(leaves, ["g"], ["doc_id", "h"], "idx", "n"), "nodes")
-    tree, tops = levels(nodes, depth_of(nodes))
+    bottom = ["doc_id", "h", "checked"]
+    tree, tops = levels(nodes, depth_of(nodes), bottom)
     tops = staged(tops, "subroots")
-    firsts = staged(numbered(tops.withColumnRenamed("g", "of"), [], ["of"], "idx", "n").withColumn("g", F.lit("")), "tops")
-    crown, top = levels(firsts, depth_of(firsts))
+    at = {r.level for r in tops.select("level").distinct().collect()}
+    firsts = staged(numbered(tops.select(F.col("g").alias("of"), F.col("level").alias("of_level"), "h"), [], ["of"], "idx", "n").withColumn("g", F.lit("")), "tops")
+    group = ["of", "of_level", "h"]
+    crown, top = levels(firsts, depth_of(firsts), group)
     end = top.first()
     root = F.lit(end.h if end else None).cast("string")
-    done = paths(crown, top.select("g", "level", F.array().cast(STEP).alias("path")))
-    steps = done.select("idx", "path").join(firsts.select("idx", "of", F.col("level").alias("top_level"), F.col("h").alias("subroot")), "idx")
-    found = paths(tree, steps.select(F.col("of").alias("g"), F.col("top_level").alias("level"), "path", "subroot"))
-    rows = nodes.select("g", "idx", "doc_id", "h", "checked").join(found, ["g", "idx"])
+    done = paths(crown, firsts, group, top.select("g", "level", F.array().cast(STEP).alias("path")), {end.level} if end else set())
+    steps = done.select(F.col("of").alias("g"), F.col("of_level").alias("level"), "path", F.col("h").alias("subroot"))
+    rows = paths(tree, nodes, bottom, steps, at)
     folded = F.aggregate("path", F.col("checked"), lambda acc, s: digest(F.concat(s["before"], acc, s["after"])))
     return rows.select("doc_id", F.col("h").alias("leaf"), "subroot", root.alias("root"), "path", folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 

@@ -99,6 +99,15 @@ def test_manifest_of_few_documents(spark, tmp_path, n):
     assert sorted(str(tuple(r)) for r in queries.op11_merkle(spark, d).collect()) == (plain_manifest(rows) if rows else [])
 
 
+@pytest.mark.parametrize("n, passes", [(9, 1), (10, 2), (82, 3)])
+def test_manifest_folds_two_levels_at_a_time(spark, tmp_path, monkeypatch, n, passes):
+    rows = [(i, f"t\n{i}", "en", "s", i) for i in range(n)]
+    d, made, real = folder(tmp_path, documents=documents(spark, rows)), [], merkle.staged
+    monkeypatch.setattr(merkle, "staged", lambda df, what: made.append(what) or real(df, what))
+    assert sorted(str(tuple(r)) for r in queries.op11_merkle(spark, d).collect()) == plain_manifest(rows)
+    assert sum(w.startswith("level") for w in made) == passes
+
+
 # -------------------------------------------------------------------------------------- op12
 
 
