@@ -139,3 +139,21 @@ def test_focus_keeps_what_touches_the_path(spark):
     near, kept = graph.focus(edges, wallets, spark.createDataFrame([("S",), ("A",), ("X",)], "address string"), "S")
     assert sorted(map(tuple, near.collect())) == [("A", "O"), ("A", "X"), ("S", "A")] and sorted(r.address for r in kept.collect()) == list("AOSX")
     assert graph.focus(edges, wallets, spark.createDataFrame([], "address string"), "S")[0].count() == 5
+
+
+def test_outcome_flags_and_path_need_no_replay(spark, monkeypatch):
+    rows = [("A0", "A1", 10, 1000), ("A1", "M", 9, 2000), ("A1", "X", 8, 3000), ("A0", "X", 7, 4000), ("A0", "Y", 1, 5000)]
+    made = lambda: Trace(book(spark, rows), labels(spark, [("X", "Binance", "exchange"), ("Y", "Kraken", "exchange"), ("M", "Mixer", "mixer")]), "A0", EngineConfig(dust_native=0.001))
+    full = made()
+    want = full.summary().select(*made().outcome().columns).first()
+    places = full.path_rows().orderBy("hop").select("hop", "role", "address").collect()
+
+    def stop(self):
+        raise AssertionError("replayed")
+
+    monkeypatch.setattr(Trace, "_replay", property(stop))
+    own = made()
+    assert own.outcome().first() == want and want.other_exchanges == 1 and want.flags == 1
+    assert own.termination == "exchange"
+    assert [(r.address, r.severity) for r in own.flag_rows().collect()] == [("M", "high")]
+    assert own.path_places().orderBy("hop").collect() == places and len(places) == 2
