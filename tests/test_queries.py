@@ -31,3 +31,16 @@ def test_entry_imports_without_optional_parts():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_large_tables_are_dealt_by_rows(spark, monkeypatch):
+    from ledgerloom.operators import ordering
+    from ledgerloom.plans import queries as q
+
+    rows = lambda name: sorted(map(str, q.QUERIES[name](spark, SF).collect()))
+    names = ["S13_incoming", "S1_wallet_history", "S2_outgoing_history"]
+    want, n = [rows(name) for name in names], spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(ordering, "TASK_ROWS", 200)
+    assert q.ledger(spark, SF).rdd.getNumPartitions() == -(-n // 200) > 16
+    assert [rows(name) for name in names] == want
