@@ -124,3 +124,21 @@ def test_like_amounts_with_equal_ones_left_out_and_hot_queues(spark):
         found = typologies.structuring(t, labels(spark, []), cfg, large=large)
         assert {(r.typology, r.wallet): r.wallets for r in found.with_wallets().collect()} == want
         assert {r.wallet for r in found.involved().collect()} == {m for w in want.values() for m in w}
+
+
+def test_draws_and_shortfalls_are_one_pass(spark):
+    rows = lambda df: sorted(map(str, df.collect()))
+    kept = taint.kept(book(spark, moves()).repartition(4))
+    n = ordering.parts_of(kept)
+    for large in ([], list(range(64 * n)), list(range(0, 64 * n, 2))):  # none, all and half of the queues large
+        pos = taint.positions(kept, "S", named=False, large=large)
+        both = taint.draws(pos, large, short=True)
+        if not large:
+            assert exchanges(both) == 1
+        both = cut(both)
+        drawn = both.filter("debit is not null").drop("to", "shortfall")
+        assert rows(drawn) == rows(taint.draws(pos, large)) and not drawn.isEmpty()
+        lacking = both.filter("shortfall is not null").selectExpr("wallet as from_addr", "to as to_addr", "asset", "shortfall")
+        want = taint.shortfalls(pos).groupBy("from_addr", "to_addr", "asset").agg({"shortfall": "sum"})
+        assert rows(lacking.selectExpr("from_addr", "to_addr", "asset", "double(shortfall) as s")) == rows(want.selectExpr("from_addr", "to_addr", "asset", "double(`sum(shortfall)`) as s"))
+        assert not lacking.isEmpty() and both.filter("debit is not null and shortfall is not null").isEmpty()
