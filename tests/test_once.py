@@ -5,7 +5,7 @@ import statistics
 from collections import Counter
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators import flows, ordering, taint, typologies
+from ledgerloom.operators import flows, graph, ordering, taint, typologies
 from ledgerloom.operators.checkpoints import cut
 from tests.books import book, labels
 
@@ -142,3 +142,12 @@ def test_draws_and_shortfalls_are_one_pass(spark):
         want = taint.shortfalls(pos).groupBy("from_addr", "to_addr", "asset").agg({"shortfall": "sum"})
         assert rows(lacking.selectExpr("from_addr", "to_addr", "asset", "double(shortfall) as s")) == rows(want.selectExpr("from_addr", "to_addr", "asset", "double(`sum(shortfall)`) as s"))
         assert not lacking.isEmpty() and both.filter("debit is not null and shortfall is not null").isEmpty()
+
+
+def test_no_level_of_a_walk_shuffles_the_ledger(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))) or cut(df))
+    t = cut(book(spark, moves(40)))
+    graph.walk(t, labels(spark, []), "S", EngineConfig(max_wallets=None, history_rows=None))
+    levels = [n for columns, n in seen if "first_seen" in columns and "rank" not in columns]
+    assert levels and max(levels) == 1, levels  # the adding up, behind the frontier's join
