@@ -5,7 +5,7 @@ import statistics
 from collections import Counter
 
 from ledgerloom.config import EngineConfig
-from ledgerloom.operators import flows, graph, ordering, taint, typologies
+from ledgerloom.operators import entities, flows, graph, ordering, taint, typologies
 from ledgerloom.operators.checkpoints import cut
 from tests.books import book, labels
 
@@ -151,3 +151,12 @@ def test_no_level_of_a_walk_shuffles_the_ledger(spark, monkeypatch):
     graph.walk(t, labels(spark, []), "S", EngineConfig(max_wallets=None, history_rows=None))
     levels = [n for columns, n in seen if "first_seen" in columns and "rank" not in columns]
     assert levels and max(levels) == 1, levels  # the adding up, behind the frontier's join
+
+
+def test_first_clusters_gather_no_cluster_in_one_row(spark):
+    wallets = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3), ("h", 2)], "address string, depth int")
+    typed = spark.createDataFrame([("a", "known_label", "E", "exchange", 0.95), ("h", "consolidation", "Unknown", "suspected_exchange", 0.7)], "address string, method string, entity string, type string, confidence double")
+    edges = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "h"), ("h", "h")], "from_addr string, to_addr string")
+    first = entities.first_clusters(entities.cluster_members(wallets, typed, edges))
+    assert {(r.address, r.cluster_id) for r in first.collect()} == {("a", "label:e"), ("b", "hub:h"), ("c", "hub:h"), ("h", "hub:h")}
+    assert "collect" not in first._jdf.queryExecution().optimizedPlan().toString()
