@@ -7,6 +7,7 @@ from collections import Counter
 from ledgerloom.config import EngineConfig
 from ledgerloom.operators import entities, flows, graph, ordering, taint, typologies
 from ledgerloom.operators.checkpoints import cut
+from ledgerloom.plans import trace
 from tests.books import book, labels
 
 
@@ -160,3 +161,12 @@ def test_first_clusters_gather_no_cluster_in_one_row(spark):
     first = entities.first_clusters(entities.cluster_members(wallets, typed, edges))
     assert {(r.address, r.cluster_id) for r in first.collect()} == {("a", "label:e"), ("b", "hub:h"), ("c", "hub:h"), ("h", "hub:h")}
     assert "collect" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_replay_finds_its_transfers_without_a_shuffle_of_the_ledger(spark, monkeypatch):
+    t = trace.Trace(cut(book(spark, moves(40))), labels(spark, []), "S", EngineConfig(max_wallets=None, history_rows=None))
+    assert t.walk
+    seen = []
+    monkeypatch.setattr(graph, "cut", lambda df: seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin"))) or cut(df))
+    rows = t.seen
+    assert [n for columns, n in seen if columns == rows.columns] == [0], seen
